@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tantu.llm import frequency, mixing, packing, relevance, splitting
+from tantu.llm import encoding, frequency, mixing, packing, relevance, splitting
 from tantu.session import table
 
 
@@ -36,6 +36,14 @@ def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.select("lemma", "tf", "df")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_pages(table(spark, d, "doc_raw"))
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_pages(table(spark, d, "doc_raw"), restore=True).select("id", "restored")
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     spec = _spec(spark, d, "pack")
     return packing.pack_texts(table(spark, d, "documents"), spec["n_tokens"])
@@ -60,7 +68,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
 
 
 COUNTED = """
