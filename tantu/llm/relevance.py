@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tantu.llm.tokens import block_counts, counted_rows, distinct_records
 
-#: Parts of a frequent term: its rows are spread over so many tasks.
+#: Parts of a frequent term, a power of two: its rows are spread over so many tasks.
 SALTS = 8
 #: Saturation of the term frequency, and how far the record's length counts.
 K1, B = 1.2, 0.75
@@ -31,7 +31,7 @@ def term_weights(rows: DataFrame, *, k1: float = K1, b: float = B, salts: int =
     lengths = lengths.select("rec", "block", F.sum("block_len").over(Window.partitionBy("rec")).alias("doc_len"))
     tf = (
         blocks.join(lengths, ["rec", "block"])
-        .withColumn("salt", F.pmod("rec", F.lit(salts)).cast("int"))
+        .withColumn("salt", F.col("rec").bitwiseAND(salts - 1))
         .repartition("lemma", "salt")
         .groupBy("lemma", "salt", "rec", "doc_len")
         .agg(F.sum("tf").alias("tf"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A record is split into blocks of so many sentences and token positions before it is shuffled, so
-#: that one huge record never lands in one task; every ordinary record is one block.
-SENTENCES_A_BLOCK, TOKENS_A_BLOCK = 1024, 16384
+#: A record is split into blocks of 2 to the power of so many sentences and token positions before it is
+#: shuffled, so that one huge record never lands in one task; every ordinary record is one block.
+SENTENCE_BITS, TOKEN_BITS = 10, 14
 #: Stands for a null position.
 NO_POSITION = -(2**31)
 
@@ -39,11 +39,12 @@ def counted_rows(rows: DataFrame, seed: int) -> DataFrame:
     Among rows with the same updated_at the larger (is_oov, lemma) counts; a null updated_at is the
     oldest, a null is_oov is false, a null position is a position of its own.
     """
+    # every key is of an expression that cannot be null, so that joins add no filter and the shuffle is reused
     sent, tok = (F.coalesce(F.col(c), F.lit(NO_POSITION)).cast("long") for c in ("sent_no", "tok_no"))
     slim = rows.filter(F.col("doc_id").isNotNull()).select(
         record_key(seed, F.col("doc_id")).alias("rec"),
-        (F.floor(sent / SENTENCES_A_BLOCK) * 65536 + F.floor(tok / TOKENS_A_BLOCK)).cast("long").alias("block"),
-        (F.shiftleft(sent, 32) + tok).alias("at"),
+        F.shiftleft(F.shiftright(sent, SENTENCE_BITS), 32).bitwiseOR(F.shiftright(tok, TOKEN_BITS).bitwiseAND(0xFFFFFFFF)).alias("block"),
+        F.shiftleft(sent, 32).bitwiseOR(tok.bitwiseAND(0xFFFFFFFF)).alias("at"),
         (F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**60))) * 2 + F.coalesce(F.col("is_oov").cast("long"), F.lit(0))).alias("version"),
         "lemma",
     )
