@@ -134,7 +134,8 @@ def search(text: str, readings: tuple[str, ...] = READ_AS) -> tuple[float, str,
     is its implausibility and that of the steps to it, the cost of bytes what they promise.
     """
     start = implausibility(text)
-    best, seen, order, expanded = (start, text, False), {hash(text)}, 0, 0
+    best, order, expanded = (start, text, False), 0, 0
+    seen, seen_bytes = {hash(text)}, set()  # apart: a text and its bytes can hash alike
     heap: list[tuple[float, int, float, int, str | bytes, str]] = [(start, order, 0.0, 0, text, "")]
     while heap and expanded < MOST_EXPANDED:
         cost, _, steps, depth, state, via = heapq.heappop(heap)
@@ -150,9 +151,9 @@ def search(text: str, readings: tuple[str, ...] = READ_AS) -> tuple[float, str,
             found = [(html.unescape(state), 0.0)] if "&" in state else []
             for name in readings:
                 raw = state.encode(name, "tantu-mark" if name in WITH_CONTROLS else "tantu-lose")
-                if raw.count(b"\xff") * 4 > len(raw) or (name not in WRITTEN_IN and hash(raw) in seen) or raw.isascii():
+                if raw.count(b"\xff") * 4 > len(raw) or (name not in WRITTEN_IN and hash(raw) in seen_bytes) or raw.isascii():
                     continue
-                seen.add(hash(raw))
+                seen_bytes.add(hash(raw))
                 order += 1
                 try:  # bytes that are UTF-8 are the likely way on
                     raw.decode("utf-8")
