@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tantu.llm import encoding, frequency, mixing, packing, relevance, splitting
+from tantu.llm import encoding, frequency, mixing, packing, relevance, spelling, splitting
 from tantu.session import table
 
 
@@ -26,6 +26,18 @@ def p1_relevance(spark: SparkSession, d: str) -> DataFrame:
     return relevance.with_doc_id(top, rows).select("doc_id", "rank", "lemma", "tf", "df", F.round("relevance", 6).alias("relevance"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    tokens = spelling.inconsistent(table(spark, d, "lemma_tokens"), "concat_ws(':', doc_id, coalesce(cast(sent_no AS string), ''), coalesce(cast(tok_no AS string), ''))", "token")
+    pages = table(spark, d, "doc_raw").filter(F.coalesce(F.col("meta.origin"), F.lit("")) != "scan")
+    raw = spelling.inconsistent(pages, "id", "text", leave_garbled=True)
+    return tokens.select(F.lit("lemma_tokens").alias("src"), "rec_key").unionByName(raw.select(F.lit("doc_raw").alias("src"), "rec_key"))
+
+
+def p4_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its text in the usual form."""
+    return spelling.consistent(table(spark, d, "doc_raw").select("id", "text"), "text").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     marked = frequency.verdicts(table(spark, d, "lemma_tokens"), table(spark, d, "vocab_builds"))
     return marked.filter("verdict <> 'keep'").select("run_id", "lemma", "verdict")
@@ -68,7 +80,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p5_found, p5_frequencies, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p4_found, p4_pages, p5_found, p5_frequencies, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
 
 
 COUNTED = """
