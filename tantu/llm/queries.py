@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tantu.llm import encoding, frequency, mixing, packing, relevance, spelling, splitting
+from tantu.llm import encoding, frequency, mixing, packing, relevance, sentences, spelling, splitting
 from tantu.session import table
 
 
@@ -48,6 +48,15 @@ def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.select("lemma", "tf", "df")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_bounds(table(spark, d, "doc_raw").filter("meta.origin = 'feed'"))
+
+
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every page."""
+    return sentences.sentence_bounds(table(spark, d, "doc_raw"), with_text=True)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_pages(table(spark, d, "doc_raw"))
 
@@ -80,7 +89,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p4_found, p4_pages, p5_found, p5_frequencies, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
 
 
 COUNTED = """
