@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tantu.llm import encoding, frequency, mixing, packing, relevance, sentences, spelling, splitting
+from tantu.llm import encoding, frequency, mixing, packing, relevance, scans, sentences, spelling, splitting
 from tantu.session import table
 
 
@@ -26,6 +26,18 @@ def p1_relevance(spark: SparkSession, d: str) -> DataFrame:
     return relevance.with_doc_id(top, rows).select("doc_id", "rank", "lemma", "tf", "df", F.round("relevance", 6).alias("relevance"))
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("sha256").alias("doc"), "title")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "doc_raw"), _titles(spark, d))[0]
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_pages(table(spark, d, "doc_raw"), _titles(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     tokens = spelling.inconsistent(table(spark, d, "lemma_tokens"), "concat_ws(':', doc_id, coalesce(cast(sent_no AS string), ''), coalesce(cast(tok_no AS string), ''))", "token")
     pages = table(spark, d, "doc_raw").filter(F.coalesce(F.col("meta.origin"), F.lit("")) != "scan")
@@ -89,7 +101,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
 
 
 COUNTED = """
