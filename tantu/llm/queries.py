@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tantu.llm import encoding, frequency, mixing, packing, relevance, scans, sentences, spelling, splitting
+from tantu.llm import encoding, frequency, mixing, neighbours, packing, relevance, scans, sentences, spelling, splitting
 from tantu.session import table
 
 
@@ -38,6 +38,18 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired_pages(table(spark, d, "doc_raw"), _titles(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.nearest(table(spark, d, "word_vectors"), "idx", "normed", 10))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar words of every word."""
+    vectors = table(spark, d, "word_vectors")
+    found = neighbours.nearest(vectors, "idx", "normed", 10)
+    words = vectors.select(F.col("idx").cast("long").alias("other"), F.col("word").alias("other_word"))
+    return found.join(words, "other").select(F.col("id").alias("idx"), "rank", F.col("other").alias("other_idx"), "other_word", "cosine")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     tokens = spelling.inconsistent(table(spark, d, "lemma_tokens"), "concat_ws(':', doc_id, coalesce(cast(sent_no AS string), ''), coalesce(cast(tok_no AS string), ''))", "token")
     pages = table(spark, d, "doc_raw").filter(F.coalesce(F.col("meta.origin"), F.lit("")) != "scan")
@@ -101,7 +113,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
 
 
 COUNTED = """
