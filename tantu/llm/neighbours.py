@@ -84,7 +84,7 @@ def encoded(x: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
-    """The rows whose vector is neither null nor all zero, has only finite values and the usual length; repeated ids once."""
+    """The rows whose vector is neither null nor all zero, has only finite values and the usual length."""
     ok = vectors.filter(F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0))
     most = ok.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
     return ok.filter(F.size(vector) == (most["n"] if most else 0))
@@ -139,7 +139,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, *, seed: int = 0)
     Vectors are found through cells, their words of the first book: each looks in the PROBES nearest cells. There table lookups score the stored codes, and the best SHORTLIST * k are compared
     exactly. Cells of any size are compared in parts of PART rows by PART queries, so a group of copies is no
     single task. The cell counts sent to all tasks have CELLS rows at most. Equal cosines rank by id. Null, all-zero
-    and non-finite vectors take no part.
+    and non-finite vectors take no part, rows repeated under one id count once.
     """
     rows, books = index(vectors, key, vector, seed=seed)
     rows = materialise(rows, "vector-index")
@@ -200,7 +200,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, *, seed: int = 0)
         if held_over:
             yield compare(last[0], pa.Table.from_batches(held_over))
 
-    found = both.mapInArrow(search, "id long, other long, cosine float").distinct()
+    found = both.mapInArrow(search, "id long, other long, cosine float").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "other", "cosine")
 
