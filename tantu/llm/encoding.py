@@ -27,6 +27,9 @@ LOOK_ALIKE = frozenset("асеорхуіѕјһԁԛԝАВЕКМНОРСТХУІЅ
 QUOTES = frozenset("‘’“”„‚–—…•«»‹›€‐‑")
 INVISIBLE = frozenset("\xad\xa0​‌‍‎‏   ⁠﻿")
 
+#: Runs of more characters than this are not remembered.
+LONG = 300
+
 # what a piece of garbled text is made of: anything beyond ASCII that no script of its own accounts for
 _OWN = "ऀ-ॿ꣠-ꣿ฀-๿؀-ۿݐ-ݿ　-ヿ㐀-鿿豈-﫿＀-￯︰-﹏⺀-⿟"
 _QUIET = "‘’“”„‚–—…•«»‹›€‐‑\xad\xa0​-‏   ⁠﻿"
@@ -170,7 +173,9 @@ def search(text: str, readings: tuple[str, ...] = READ_AS) -> tuple[float, str,
 
 
 def _better(run: str, cjk: bool) -> str | None:
-    gain, text, decoded = search(run, READ_AS_CJK if cjk else READ_AS)
+    # long runs hardly recur and are not kept
+    find = search if len(run) <= LONG else search.__wrapped__
+    gain, text, decoded = find(run, READ_AS_CJK if cjk else READ_AS)
     # ideographs are many: what is merely a rarer reading of a few of them is none
     return text if decoded and gain >= (MARGIN + 0.02 * len(run) if cjk else MARGIN) else None
 

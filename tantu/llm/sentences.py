@@ -20,6 +20,9 @@ ATTRIBUTION = frozenset("असे असं असा अशी ऐसा ऐ
 #: Speech of up to so many words at the start of a sentence belongs to it where nothing else tells.
 SHORT_SPEECH = 3
 
+#: Characters behind a candidate that are looked at, and before it for a list mark.
+AHEAD, MARK = 160, 24
+
 _INVISIBLE = "­​-‏⁠﻿‪-‮"
 _BLANK = regex.compile(rf"\n[\s{_INVISIBLE}]*\n")
 _WIDE = "。！？｡．"
@@ -44,7 +47,7 @@ _NOT_SPEECH = regex.compile(rf"[{_INVISIBLE}]*")
 def _goes_on(p: str, start: int, m: regex.Match, german: bool) -> bool:
     """Whether the sentence that began at ``start`` of the paragraph goes on behind the candidate."""
     mark, closing, end = _STRIP.sub("", m.group("t")), _STRIP.sub("", m.group("c")), m.end()
-    after = p[end:]
+    after = p[end : end + AHEAD]
     lead = _LEAD.match(after).end()
     follow = after[lead:]
     if not follow:
@@ -62,14 +65,14 @@ def _goes_on(p: str, start: int, m: regex.Match, german: bool) -> bool:
     if mark != ".":
         return mark.startswith("...") and head.islower()
     word = _STRIP.sub("", w.group()) if (w := _WORD_BEFORE.search(before)) else ""
-    whole = _STRIP.sub("", before).strip()
-    if _LIST_MARK.match(whole) and (whole[-1:].isdigit() or len(whole.strip("([)]")) <= 2 and _SINGLE.match(whole.strip("([)]"))):
+    whole = _STRIP.sub("", before).strip() if len(before) <= MARK else ""
+    if whole and _LIST_MARK.match(whole) and (whole[-1:].isdigit() or len(whole.strip("([)]")) <= 2 and _SINGLE.match(whole.strip("([)]"))):
         return True
     if not word:
         return False
     last = word[-1]
     if last.isdigit():
-        return german and word.isdigit() and len(word) <= 2 and not whole.endswith("S. " + word)
+        return german and word.isdigit() and len(word) <= 2 and not before.endswith("S. " + word)
     if "\u0e00" <= last <= "\u0e5b":
         return True
     if "ऀ" <= last <= "ॿ":
