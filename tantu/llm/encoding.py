@@ -6,6 +6,7 @@ import codecs
 import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,7 +80,7 @@ def _kind(c: str) -> tuple[float, str]:
     if 0x0E01 <= o < 0x0E5C:
         return 0.05, "T"
     if 0x0600 <= o < 0x0700:
-        return 0.05, "A"
+        return (0.05 if 0x621 <= o < 0x64B or 0x6F0 <= o < 0x6FA or c in "،؛؟ٹپچڈڑژکگںھہیےۂۃۓ۔" else 0.4), "A"
     if 0x3041 <= o < 0x3100:
         return 0.1, "J"
     if 0x3000 <= o < 0x3040 or 0xFF00 <= o < 0xFF61:
@@ -115,45 +116,54 @@ def implausibility(text: str) -> float:
     return total
 
 
-def _decoded(raw: bytes, read_as: str) -> Iterator[tuple[str, float]]:
-    """Texts the bytes may stand for, and what the step costs."""
+#: The way a text went: what it was read as and written in, step by step.
+Way = tuple[tuple[str, str], ...]
+
+
+def _decoded(raw: bytes, read_as: str) -> Iterator[tuple[str, float, str]]:
+    """Texts the bytes may stand for, what the step costs, and the encoding."""
     whole = raw.decode("utf-8", "replace")
     if 2 * whole.count("�") < len(whole):
-        yield whole, STEP
+        yield whole, STEP, "utf-8"
     if "�" in whole and b"\xff" not in raw:
         for name in WRITTEN_IN.get(read_as, ()):
             try:
-                yield raw.decode(name), STEP + OLDER
+                yield raw.decode(name), STEP + OLDER, name
             except UnicodeDecodeError:
                 continue
 
 
+def _encoded(text: str, name: str) -> bytes:
+    return text.encode(name, "tantu-mark" if name in WITH_CONTROLS else "tantu-lose")
+
+
 @lru_cache(20_000)
-def search(text: str, readings: tuple[str, ...] = READ_AS) -> tuple[float, str, bool]:
-    """(fall in cost, cheapest text reached, whether decoding was part of the way).
+def search(text: str, readings: tuple[str, ...] = READ_AS) -> tuple[float, str, Way]:
+    """(fall in cost, cheapest text reached, the encodings on the way; none if nothing was decoded).
 
     Nodes are texts and byte strings; edges encode a text in an encoding it may have been read in, decode
     bytes, or unescape entities. The cheapest node is expanded first and no state twice; the cost of a text
     is its implausibility and that of the steps to it, the cost of bytes what they promise.
     """
     start = implausibility(text)
-    best, order, expanded = (start, text, False), 0, 0
+    best, order, expanded = (start, text, ()), 0, 0
     seen, seen_bytes = {hash(text)}, set()  # apart: a text and its bytes can hash alike
-    heap: list[tuple[float, int, float, int, str | bytes, str]] = [(start, order, 0.0, 0, text, "")]
+    heap: list[tuple[float, int, float, str | bytes, Way, str]] = [(start, order, 0.0, text, (), "")]
     while heap and expanded < MOST_EXPANDED:
-        cost, _, steps, depth, state, via = heapq.heappop(heap)
+        cost, _, steps, state, way, read_as = heapq.heappop(heap)
         expanded += 1
-        found: list[tuple[str, float]] = []
+        found: list[tuple[str, float, Way]] = []
         if isinstance(state, bytes):
-            found = list(_decoded(state, via))
+            found = [(t, step, (*way, (read_as, name))) for t, step, name in _decoded(state, read_as)]
         else:
             if cost < best[0]:
-                best = (cost, state, bool(via))
-            if depth >= 3 or cost > best[0] + 3:
+                best = (cost, state, way)
+            if len(way) >= 3 or cost > best[0] + 3:
                 continue
-            found = [(html.unescape(state), 0.0)] if "&" in state else []
+            if "&" in state:
+                found = [(html.unescape(state), 0.0, way)]
             for name in readings:
-                raw = state.encode(name, "tantu-mark" if name in WITH_CONTROLS else "tantu-lose")
+                raw = _encoded(state, name)
                 if raw.count(b"\xff") * 4 > len(raw) or (name not in WRITTEN_IN and hash(raw) in seen_bytes) or raw.isascii():
                     continue
                 seen_bytes.add(hash(raw))
@@ -163,21 +173,31 @@ def search(text: str, readings: tuple[str, ...] = READ_AS) -> tuple[float, str,
                     promise = cost / 3
                 except UnicodeDecodeError:
                     promise = cost
-                heapq.heappush(heap, (promise, order, steps, depth, raw, name))
-        for t, step in found:
+                heapq.heappush(heap, (promise, order, steps, raw, way, name))
+        for t, step, on in found:
             if hash(t) not in seen:
                 seen.add(hash(t))
                 order += 1
-                heapq.heappush(heap, (implausibility(t) + steps + step, order, steps + step, depth + 1, t, via))
+                heapq.heappush(heap, (implausibility(t) + steps + step, order, steps + step, t, on, ""))
     return start - best[0], best[1], best[2]
 
 
-def _better(run: str, cjk: bool) -> str | None:
+def _better(run: str, cjk: bool) -> tuple[str, Way] | None:
     # long runs hardly recur and are not kept
     find = search if len(run) <= LONG else search.__wrapped__
-    gain, text, decoded = find(run, READ_AS_CJK if cjk else READ_AS)
+    gain, text, way = find(run, READ_AS_CJK if cjk else READ_AS)
     # ideographs are many: what is merely a rarer reading of a few of them is none
-    return text if decoded and gain >= (MARGIN + 0.02 * len(run) if cjk else MARGIN) else None
+    return (text, way) if way and gain >= (MARGIN + 0.02 * len(run) if cjk else MARGIN) else None
+
+
+def _along(run: str, way: Way) -> str | None:
+    """The run restored along a way that other runs of the page went; None where it doesn't lead on."""
+    for read_as, written in way:
+        try:
+            run = _encoded(run, read_as).decode(written)
+        except UnicodeDecodeError:
+            return None
+    return run
 
 
 def _runs(text: str) -> Iterator[tuple[re.Match, bool]]:
@@ -205,10 +225,35 @@ def _restored_entities(text: str) -> str:
 
 
 def restored(text: str) -> str:
-    """The text with every restorable stretch restored; a stretch that no way makes more plausible stays."""
+    """The text with every restorable stretch restored; a stretch that no way makes more plausible stays.
+
+    The way that restores most of the page is tried first on every stretch, so that short ones, which alone
+    could be read in several ways, follow the others.
+    """
     text = _restored_entities(text) if "&" in text else text
     for pattern, cjk in ((_RUN, False), (_CJK, True)):
-        text = pattern.sub(lambda m, cjk=cjk: _better(m.group(), cjk) or m.group(), text)
+        runs = Counter(m.group() for m in pattern.finditer(text))
+        ways = {better[1] for run in runs if (better := _better(run, cjk))}
+        if not ways:
+            continue
+        if any(len(w) == 1 and w[0][1] == "utf-8" for w in ways):
+            ways |= {((name, "utf-8"),) for name in (READ_AS_CJK if cjk else READ_AS)}
+
+        def total(way: Way, runs: Counter = runs) -> float:
+            return sum(n * implausibility(run if (t := _along(run, way)) is None else t) for run, n in runs.items())
+
+        common = min(sorted(ways), key=total)
+
+        def put(m: re.Match, cjk: bool = cjk, common: Way = common) -> str:
+            run = m.group()
+            t = _along(run, common)
+            # that bytes are UTF-8 by chance is less likely than that a short run looks well
+            if t is not None and t != run and (common[-1][1] == "utf-8" or implausibility(t) < implausibility(run)):
+                return t
+            better = _better(run, cjk)
+            return better[0] if better else run
+
+        text = pattern.sub(put, text)
     return text
 
 

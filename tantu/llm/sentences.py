@@ -116,11 +116,11 @@ def _speech_goes_on(p: str, start: int, m: regex.Match, follow: str) -> bool:
     word = _ATTRIBUTION_WORD.match(_STRIP.sub("", follow))
     if word and word.group() in ATTRIBUTION:
         return True
-    if len(words) == 1:
+    mark = _STRIP.sub("", m.group("t"))
+    if len(words) == 1 and mark[0] in "!?؟":
         return True
     if first.isupper():
         return False
-    mark = _STRIP.sub("", m.group("t"))
     devanagari_ends = _DEVANAGARI_VERB.search(sentence)
     return len(words) <= SHORT_SPEECH and mark[0] in "!?؟" and not devanagari_ends
 
@@ -156,11 +156,12 @@ def sentence_ends(text: str) -> list[int]:
                 marks += [(m.start(), m, False) for m in _THAI_GAP.finditer(p)]
                 marks.sort(key=lambda x: x[0])
             for end, m, term in marks:
-                if end > last or m.start() < start:
+                if end > last or m.start() < start or end <= start:
                     continue
                 if term and not _goes_on(p, start, m, german) or not term and _thai_stop(p, m):
                     shown = end - len(_VISIBLE_END.search(p[start:end]).group())
-                    ends.append(at + shown)
+                    if shown > start:
+                        ends.append(at + shown)
                     start = end
             if not ends or ends[-1] < at + last:
                 ends.append(at + last)
