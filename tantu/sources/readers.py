@@ -19,6 +19,37 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     return rows.filter("_corrupt IS NULL AND id IS NOT NULL" if "id string" in schema else "_corrupt IS NULL").drop("_corrupt")
 
 
+def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) lines of zstd files, decompressed as a stream by the task that reads the file, for clusters whose Hadoop lacks the codec."""
+    import io
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        for frame in frames:
+            for content in frame["content"]:
+                lines = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True), encoding="utf-8", newline="\n")
+                part: list[str] = []
+                for line in lines:
+                    part.append(line.rstrip("\n"))
+                    if len(part) == 10_000:
+                        yield pd.DataFrame({"value": part})
+                        part = []
+                yield pd.DataFrame({"value": part})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("content")
+    return files.mapInPandas(unpack, "value string")
+
+
+def zstd_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of zstd JSON lines; blank and malformed lines are left out."""
+    rows = zstd_lines(spark, path).select(F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
+    return rows.filter("_corrupt IS NULL AND id IS NOT NULL" if "id string" in schema else "_corrupt IS NULL").drop("_corrupt")
+
+
 def documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(raw, tokenized) documents of one file of both kinds: those with sentences are tokenized."""
     both = json_lines(spark, path, "id string, lang string, text string, sentences array<array<string>>, meta map<string, string>")

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tantu.operators.registry import latest
 
 
+#: Names of codecs that Spark's JSON writer knows by class only; the cluster's Hadoop needs its native library for them.
+CODECS = {"zstd": "org.apache.hadoop.io.compress.ZStandardCodec"}
+
+
 def write_json_lines(df: DataFrame, path: str, compression: str = "none") -> None:
-    """compression none, gzip or zstd; readers tell it from the suffix."""
+    """compression none, gzip, bzip2 or zstd; readers tell it from the suffix."""
+    compression = CODECS.get(compression, compression)
     df.write.mode("overwrite").option("compression", compression).json(path)
 
 
