@@ -23,10 +23,10 @@ class Svd:
 
 
 def _sums(entries: DataFrame, by: str, other: DataFrame, dims: int) -> DataFrame:
-    """(key, vec): for every ``by`` the sum of value times the vector of the entry's other side. Summed by dimension in the JVM, combined before the shuffle."""
-    terms = entries.join(other, "key").select(F.col(by).alias("key"), "value", F.posexplode("vec").alias("d", "x"))
-    summed = terms.groupBy("key", "d").agg(F.sum(F.col("value") * F.col("x")).alias("x"))
-    return summed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("c")).select("key", F.transform("c", lambda s: s["x"]).alias("vec"))
+    """(key, vec): for every ``by`` the sum of value times the vector of the entry's other side: one aggregate of dims sums, combined before the shuffle."""
+    terms = entries.join(other, "key").select(F.col(by).alias("__by"), "value", "vec")
+    summed = terms.groupBy("__by").agg(*[F.sum(F.col("value") * F.get("vec", F.lit(d))).alias(f"s{d}") for d in range(dims)])
+    return summed.select(F.col("__by").alias("key"), F.array(*[f"s{d}" for d in range(dims)]).alias("vec"))
 
 
 def _gram(tall: DataFrame, dims: int) -> np.ndarray:
@@ -56,11 +56,11 @@ def _times(tall: DataFrame, m: np.ndarray) -> DataFrame:
     return tall.mapInPandas(apply, tall.schema)
 
 
-def _orthonormal(tall: DataFrame, dims: int) -> tuple[DataFrame, np.ndarray]:
-    """Columns made orthonormal by the inverse root of their Gram matrix; directions without length are dropped."""
+def _orthonormal(tall: DataFrame, dims: int) -> tuple[DataFrame, int]:
+    """Columns made orthonormal by the inverse root of their Gram matrix, and their number; directions without length are dropped."""
     values, vectors = np.linalg.eigh(_gram(tall, dims))
     keep = values > max(values.max(), 0) * 1e-12
-    return _times(tall, vectors[:, keep] / np.sqrt(values[keep])), keep
+    return _times(tall, vectors[:, keep] / np.sqrt(values[keep])), int(keep.sum())
 
 
 def truncated(matrix: DataFrame, k: int, *, n_iter: int = 5, oversampling: int = 10, seed: int = 0) -> Svd:
@@ -76,14 +76,13 @@ def truncated(matrix: DataFrame, k: int, *, n_iter: int = 5, oversampling: int =
     cols = a.select(F.col("col").alias("key")).distinct()
     # the start block is a function of the column and the seed alone
     start = cols.select("key", F.array(*[(F.pmod(F.xxhash64("key", F.lit(seed), F.lit(d)), F.lit(2000001)) - 1000000) / 1e6 for d in range(dims)]).alias("vec"))
-    q, keep = _orthonormal(materialise(_sums(by_row, "row", start, dims), "svd-range"), dims)
+    q, rank = _orthonormal(materialise(_sums(by_row, "row", start, dims), "svd-range"), dims)
     for _ in range(n_iter):
-        z = materialise(_sums(by_col, "col", q, dims), "svd-range")
-        z, keep = _orthonormal(z, int(keep.sum()))
-        q, keep = _orthonormal(materialise(_sums(by_row, "row", z, dims), "svd-range"), int(keep.sum()))
+        z, rank = _orthonormal(materialise(_sums(by_col, "col", q, rank), "svd-range"), rank)
+        q, rank = _orthonormal(materialise(_sums(by_row, "row", z, rank), "svd-range"), rank)
     q = materialise(q, "svd-range")
-    bt = materialise(_sums(by_col, "col", q, dims), "svd-range")  # the transpose of q'A: a row for each column of A
-    values, w = np.linalg.eigh(_gram(bt, int(keep.sum())))
+    bt = materialise(_sums(by_col, "col", q, rank), "svd-range")  # the transpose of q'A: a row for each column of A
+    values, w = np.linalg.eigh(_gram(bt, rank))
     order = np.argsort(values)[::-1]
     order = order[values[order] > values.max() * 1e-14][:k]
     sigma, w = np.sqrt(values[order]), w[:, order]
