@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tantu.functions.vectors import normalized
+
 PAGE = "schema_version string, id string, text string, meta struct<page_num: int>"
 TOKENIZED = "schema_version string, id string, lang string, sentences array<array<string>>, meta map<string, string>"
 TOKEN = "struct<token: string, lemma: string, pos: string, is_ne: boolean, ner_result: string, analyses: array<string>, is_oov: boolean, is_ambiguous: boolean>"
@@ -95,11 +97,15 @@ def cooccurrence_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def embeddings_with_vocabulary(vectors: DataFrame, words: DataFrame) -> DataFrame:
-    """vectors (idx, vec) and vocabulary (idx, lemma, tf, df) joined; ValueError unless both have the same number of rows."""
+    """vectors (idx, vec) and vocabulary (idx, lemma, tf, df) joined, with ``normed`` (zero vectors stay zero) and ``centered`` (the mean
+    vector taken away); ValueError unless both have the same number of rows."""
     n, m = vectors.count(), words.count()
     if n != m:
         raise ValueError(f"{n} vectors but {m} words")
-    return vectors.join(words, "idx")
+    means = vectors.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"))
+    mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("__mean"))
+    centred = F.zip_with("vec", "__mean", lambda x, m: x - m)
+    return vectors.join(words, "idx").crossJoin(F.broadcast(mean)).withColumn("normed", normalized(F.col("vec"))).withColumn("centered", centred).drop("__mean")
 
 
 def anchors(html: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tantu.operators import registry
-from tantu.sources import readers, writers
+from tantu.sources import fetch, readers, writers
 from tantu.streaming import incremental
 
 
@@ -48,6 +48,24 @@ def test_vocabulary_file(spark, tmp_path):
         readers.embeddings_with_vocabulary(spark.createDataFrame([(0, [1.0])], "idx int, vec array<double>"), v)
 
 
+def test_vectors_with_words(spark):
+    v = spark.createDataFrame([(0, "a", 3, 2), (1, "b", 1, 1)], readers.VOCABULARY)
+    x = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0])], "idx int, vec array<double>")
+    got = {r["lemma"]: (r["normed"], r["centered"]) for r in readers.embeddings_with_vocabulary(x, v).collect()}
+    assert got == {"a": ([0.6, 0.8], [1.5, 2.0]), "b": ([0.0, 0.0], [-1.5, -2.0])}
+
+
+def test_fetch(spark):
+    def get(url):
+        if url == "slow":
+            raise TimeoutError
+        return (200, b"book-bytes") if url == "good" else (404, b"no")
+
+    links = spark.createDataFrame([("good",), ("good",), ("gone",), ("slow",), (None,)], "url string")
+    got = {r["url"]: (r["status"], r["size_bytes"], r["error"], bool(r["sha256"])) for r in fetch.fetched(links, get).collect()}
+    assert got == {"good": (200, 10, None, True), "gone": (404, 0, "http_404", False), "slow": (0, 0, "TimeoutError", False)}
+
+
 def test_html(spark):
     html = '<a href="/a">x</a><div><A class=b HREF=\'http://h/B.PDF\'>go <b>now</b></A><a href="/c">Download</a></div>'
     df = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id int, html string")
