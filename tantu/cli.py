@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tantu.functions import text
 from tantu.operators import fragments, geometry, lemmatize, matrix, registry, svd, tokens, vocabulary
+from tantu.session import reach_workers
 from tantu.sources import readers, writers
 
 
@@ -104,7 +105,9 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     try:
-        COMMANDS[a.command](spark or SparkSession.builder.getOrCreate(), a)
+        spark = spark or SparkSession.builder.getOrCreate()
+        reach_workers(spark)
+        COMMANDS[a.command](spark, a)
     except KeyboardInterrupt:
         return 130
     except Exception as e:  # noqa: BLE001
