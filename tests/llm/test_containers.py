@@ -43,7 +43,7 @@ def test_split_takes_the_strongest_boundary(spark):
 
 
 def test_split_empty_table_and_bad_limit(spark):
-    assert splitting.split_texts(docs(spark, []) if False else spark.createDataFrame([], DOCS), 100, 10).count() == 0
+    assert splitting.split_texts(spark.createDataFrame([], DOCS), 100, 10).count() == 0
     with pytest.raises(ValueError):
         splitting.split_texts(docs(spark), 20, 20)
 
