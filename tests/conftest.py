@@ -19,4 +19,7 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from tantu.session import reach_workers
+
+    reach_workers(session)
     return session
