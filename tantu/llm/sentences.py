@@ -27,7 +27,11 @@ _INVISIBLE = "­​-‏⁠﻿‪-‮"
 _BLANK = regex.compile(rf"\n[\s{_INVISIBLE}]*\n")
 _WIDE = "。！？｡．"
 _TERM = rf"[\p{{SB=STerm}}\p{{SB=ATerm}}…]"
-_CANDIDATE = regex.compile(rf"(?P<t>{_TERM}[{_INVISIBLE}]*(?:{_TERM}[{_INVISIBLE}]*)*)(?P<c>[\p{{SB=Close}}{_INVISIBLE}]*)(?=\s|$)|(?P<t>[{_WIDE}]+)(?P<c>[”’』」》）】〉〕]*)")
+#: The last is a terminator (no full stop) directly before a letter, with any quotes between.
+_CANDIDATE = regex.compile(
+    rf"(?P<t>{_TERM}[{_INVISIBLE}]*(?:{_TERM}[{_INVISIBLE}]*)*)(?P<c>[\p{{SB=Close}}{_INVISIBLE}]*)(?=\s|$)|(?P<t>[{_WIDE}]+)(?P<c>[”’』」》）】〉〕]*)"
+    rf"|(?P<t>\p{{SB=STerm}}[\p{{SB=STerm}}{_INVISIBLE}]*)(?P<c>[\p{{SB=Close}}{_INVISIBLE}]*)(?P<tight>)(?=\p{{L}})"
+)
 _VISIBLE_END = regex.compile(rf"[\s{_INVISIBLE}]*$")
 _LEAD = regex.compile(rf"[\s{_INVISIBLE}]*")
 _WORD_BEFORE = regex.compile(r"[^\s(\[{“\"‘«„']+$")
@@ -42,11 +46,35 @@ _GERMAN = regex.compile(r"\b(?:der|die|das|und|den|dem|ist|nicht|ein|eine)\b")
 _ATTRIBUTION_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _THAI = regex.compile(r"\p{Thai}")
 _NOT_SPEECH = regex.compile(rf"[{_INVISIBLE}]*")
-
-
-def _goes_on(p: str, start: int, m: regex.Match, german: bool) -> bool:
-    """Whether the sentence that began at ``start`` of the paragraph goes on behind the candidate."""
-    mark, closing, end = _STRIP.sub("", m.group("t")), _STRIP.sub("", m.group("c")), m.end()
+_IN_WORD = regex.compile(r"[a-zß-ÿ][!?][a-zß-ÿ]")
+#: Quotes that close always, and those that close what these opened, or else open.
+_CLOSING = frozenset("”’)]}›")
+_OPENED_BY = {"»": "«", "«": "»", "“": "„", "‘": "‚", "‹": "›"}
+
+
+def _closed(p: str, m: regex.Match) -> int:
+    """The candidate's end with the quotes that close; directly before a letter some may open what follows."""
+    end = m.end("t")
+    if m.group("tight") is None:
+        return m.end()
+    before = p[:end]
+    for k, c in enumerate(m.group("c"), end + 1):
+        if c in "\"'":
+            closes = len(regex.findall(rf"{c}(?<!\w{c}(?=\w))", before)) % 2
+        else:
+            closes = c in _CLOSING or c in _OPENED_BY and before.count(_OPENED_BY[c]) > before.count(c)
+        if closes:
+            end = k
+        elif c not in _INVISIBLE:
+            break
+    return end
+
+
+def _goes_on(p: str, start: int, m: regex.Match, end: int, german: bool) -> bool:
+    """Whether the sentence that began at ``start`` of the paragraph goes on behind the candidate that ends at ``end``."""
+    mark, closing = _STRIP.sub("", m.group("t")), _STRIP.sub("", p[m.end("t") : end])
+    if m.group("tight") is not None and _IN_WORD.fullmatch(p[max(0, m.start() - 1) : m.end() + 1]):
+        return True
     after = p[end : end + AHEAD]
     lead = _LEAD.match(after).end()
     follow = after[lead:]
@@ -151,14 +179,14 @@ def sentence_ends(text: str) -> list[int]:
         p = text[at:stop]
         start, last = 0, len(p) - len(_VISIBLE_END.search(p).group())
         if last > 0:
-            marks = [(m.end(), m, True) for m in _CANDIDATE.finditer(p)]
+            marks = [(_closed(p, m), m, True) for m in _CANDIDATE.finditer(p)]
             if _THAI.search(p):
                 marks += [(m.start(), m, False) for m in _THAI_GAP.finditer(p)]
                 marks.sort(key=lambda x: x[0])
             for end, m, term in marks:
                 if end > last or m.start() < start or end <= start:
                     continue
-                if term and not _goes_on(p, start, m, german) or not term and _thai_stop(p, m):
+                if term and not _goes_on(p, start, m, end, german) or not term and _thai_stop(p, m):
                     shown = end - len(_VISIBLE_END.search(p[start:end]).group())
                     if shown > start:
                         ends.append(at + shown)
@@ -174,8 +202,9 @@ def sentence_bounds(pages: DataFrame, *, with_text: bool = False) -> DataFrame:
     """(id, end_pos[, sent_no, sentence]) of every page; distinct, so repeated rows are one page.
 
     Sentence-break properties of the characters give the candidates: terminators of all scripts with the
-    closing quotes and brackets behind them, blank lines, and spaces in Thai. Suppressed are abbreviations,
-    initials, ordinals and list marks, and ends of quoted speech that the sentence takes up. A null or
+    closing quotes and brackets behind them, blank lines, and spaces in Thai. Behind a terminator other than
+    a full stop a letter may follow without a space. Suppressed are abbreviations, initials, ordinals and
+    list marks, ``!`` and ``?`` inside Latin words, and ends of quoted speech that the sentence takes up. A null or
     blank text has no sentence; texts of any length are judged whole.
     """
 

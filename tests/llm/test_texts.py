@@ -126,6 +126,24 @@ def test_sentences(text, want):
     assert got == want
 
 
+TIGHT = [
+    ("ही नाही!कवितामध्ये ते होते.", ["ही नाही!", "कवितामध्ये ते होते."]),
+    ("ते होते?!ऑक्टोबरमध्ये आहेत।ठाकि गेला॥राम", ["ते होते?!", "ऑक्टोबरमध्ये आहेत।", "ठाकि गेला॥", "राम"]),
+    ("The old saford?Had it gone!Of course", ["The old saford?", "Had it gone!", "Of course"]),
+    ("کیا ہے؟وہ گیا۔یہ کتاب ہے", ["کیا ہے؟", "وہ گیا۔", "یہ کتاب ہے"]),
+    ("ပထမ။ဒုတိယ", ["ပထမ။", "ဒုတိယ"]),
+    ("«ते मोठे घर आहे!»आधी तो गेला।“मी आहे.”", ["«ते मोठे घर आहे!»", "आधी तो गेला।", "“मी आहे.”"]),
+    ('तो नाही?"कधी ते आले?" असे तो म्हणाला.', ["तो नाही?", '"कधी ते आले?" असे तो म्हणाला.']),
+    ("“कोण आहे?”असे तो म्हणाला.", ["“कोण आहे?”असे तो म्हणाला."]),
+    ("The l!fe of x.com/a?b and 3.5.Then १॥२", ["The l!fe of x.com/a?b and 3.5.Then १॥२"]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), TIGHT)
+def test_sentences_without_a_space_between(text, want):
+    test_sentences(text, want)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab A.!?।।“”\"() \n。！กข ๆ१​", max_size=60))
 def test_sentence_ends_cover_the_text(text):
