@@ -111,7 +111,7 @@ def misread_words(vocab: DataFrame) -> DataFrame:
     stems = vocab.filter(has_stem & (F.col("clean") > 0)).groupBy(stem.alias("word")).agg(F.sum("clean").alias("clean")).select(F.concat("word", F.lit("+")).alias("word"), "clean")
     known = whole.unionByName(stems)
     made = known.filter((F.col("clean") >= LEAST_PAGES) & F.col("word").rlike(r"\p{L}")).mapInArrow(forms, "word string, meant string, pages long")
-    suspect = vocab.filter("scanned > 0 AND clean <= 1")
+    suspect = vocab.filter("scanned > 0")
     keys = F.array(F.col("word"), F.when(has_stem, F.concat(stem, F.lit("+"))))
     suspects = suspect.select(F.col("word").alias("read"), "clean", F.explode(F.array_compact(keys)).alias("word"))
     # what is as well known a stem itself is no misreading of another

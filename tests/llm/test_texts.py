@@ -191,6 +191,13 @@ def test_repaired_pages(spark):
     assert out["h#1"] == "" and "farmer" in out["e#1"]
 
 
+@pytest.mark.parametrize("times", [1, 10, 1000])
+def test_misread_words_by_rate_at_any_size(spark, times):
+    rates = [("hatefelder", 52, 36), ("batefelder", 2, 2), ("river", 40, 40), ("rivcr", 1, 9), ("bridge", 49, 9), ("bridgc", 2, 9)]
+    vocab = spark.createDataFrame([(w, c * times, n * times) for w, c, n in rates], "word string, clean long, scanned long")
+    assert {(r["word"], r["meant"]) for r in scans.misread_words(vocab).collect()} == {("batefelder", "hatefelder"), ("rivcr", "river")}
+
+
 def test_scans_empty(spark):
     kinds, words = scans.scan_noise(pages(spark, []))
     assert kinds.count() == 0 and words.count() == 0
