@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tantu.llm import encoding, frequency, mixing, neighbours, packing, relevance, scans, sentences, spelling, splitting
-from tantu.session import table
+from tantu.session import materialise, table
 
 
 def _spec(spark: SparkSession, d: str, name: str):
@@ -95,7 +95,8 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets")).filter("short").select("source")
+    """The sources too small for their share, from the written report, so that the mixture it reports on is made."""
+    return materialise(p9_report(spark, d), "mixture-report").filter("short").select("source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:

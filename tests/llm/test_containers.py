@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tantu.llm import mixing, packing, splitting
+from tantu.llm import mixing, packing, queries, splitting
+from tantu.session import shared_dir
 
 DOCS = "doc_id long, text string, source string, n int, start int, bucket string, first int"
 TEXTS = ["", "a", "शब्द " * 40, "Ein Satz. Noch einer! " * 30, "村庄。" * 100, "x" * 500, "para\n\n" * 60, None, "عالم۔ " * 50, "a" * 200_000]
@@ -137,3 +138,11 @@ def test_mixture_empty(spark):
     assert mixing.mixture(none, targets)[0].count() == 0
     assert mixing.mixture_report(none, targets).first()["short"] is False
     assert mixing.mixture_report(none, targets.limit(0)).count() == 0
+
+
+def test_p9_found_makes_the_mixture(spark, tmp_path):
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("s0", 0.5, 1), ("s1", 0.4, 2), ("none", 0.1, 3)], "source string, target_share double, max_repeat int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert {r["source"] for r in queries.p9_found(spark, str(tmp_path)).collect()} == {"s0", "none"}
+    made = {r["source"]: r["mixed_tokens"] for r in spark.read.parquet(f"{shared_dir(spark)}/mixture-report-*").collect()}
+    assert made["s0"] > 0 and made["s1"] > 0 and made["none"] == 0
