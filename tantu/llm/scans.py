@@ -7,14 +7,15 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tantu.session import materialise
+from tantu.session import materialise, shuffle_partitions
 
-#: Pages of one document that are compared with each other; a longer document is compared in such parts.
-PAGES_AT_ONCE = 256
+#: Pages of one document whose edges are looked at in one task, and different edge lines of one that are compared in one with as many.
+PAGES_AT_ONCE, LINES_AT_ONCE = 256, 1024
 #: A form counts as a misreading of a word that so many clean pages have, if it is itself found in at most one clean page for so many of those.
 LEAST_PAGES, RATIO = 2, 25
 #: Above so many misread forms they are joined by a shuffle in place of being sent to all tasks (8 bytes each).
@@ -222,27 +223,30 @@ def _page_number(line: str, own: int | None) -> bool:
     return n == own if own is not None else adorned or n < 1000
 
 
-def running_lines(group: pd.DataFrame) -> pd.DataFrame:
-    """(id, line_no, kind) of the heads, feet and page numbers of one document's pages, from the lines at their edges.
+EDGE_LINES = "doc string, id string, line_no int, kind string, core string, ends boolean"
 
-    The page's own number is the printed one, or else follows from the pages around. A line is a head if it
-    resembles the title or an edge line of another page, carries the own number set apart, or is a chapter's name.
+
+def edge_lines(group: pd.DataFrame) -> pd.DataFrame:
+    """(doc, id, line_no, kind, core, ends) of the lines at the edges of pages: heads, feet and page numbers that a page tells by itself, and, of null kind, those that are heads if they recur.
+
+    The page's own number is the printed one, or else follows from the document's shift. A line is a head if it
+    resembles the title, carries the own number set apart, or is a chapter's name. ends: it may end a paragraph.
     """
     group = group.drop_duplicates("id")
-    shifts = Counter(int(n) - k for n, k in zip(group["page_num"], group["k"], strict=True) if n is not None and n == n)
-    shift = shifts.most_common(1)[0][0] if shifts else None
     title = next((_core(t) for t in group["title"] if t), "")
-    out, open_ = [], []
+    out = []
     for page in group.itertuples():
-        own = int(page.page_num) if page.page_num is not None and page.page_num == page.page_num else page.k + shift if shift is not None else None
+        own = int(page.page_num) if page.page_num is not None and page.page_num == page.page_num else page.k + int(page.shift) if page.shift is not None and page.shift == page.shift else None
         edges = [(e["line_no"], e["line"]) for e in page.edges]
         top, bottom = edges[:2], edges[2:][::-1]
         for side in (top, bottom):
+            told = False
             for rank, (no, line) in enumerate(side):
-                if rank and not (out and out[-1][0] == page.id and out[-1][1] == side[0][0]):
+                if not no or rank and not told:
                     break
                 if _page_number(line, own):
-                    out.append((page.id, no, "page_number"))
+                    out.append((page.doc, page.id, no, "page_number", None, None))
+                    told = True
                     continue
                 m, text, n = _NUMBER_FIRST.match(line), "", None
                 if m:
@@ -255,45 +259,114 @@ def running_lines(group: pd.DataFrame) -> pd.DataFrame:
                 boxed = indented or bool(re.match(r"^\s*\[ .*\S \]\s*$", line)) and len(line) < 80
                 titled = bool(title) and (_alike(core, title) or len(core) >= 6 and len(core) >= 0.5 * len(title) and _alike(core, title[: len(core)]))
                 if set_apart or boxed or titled or _is_chapter(core):
-                    out.append((page.id, no, "header"))
-                    open_.append((core, None))
+                    out.append((page.doc, page.id, no, "header", core, None))
+                    told = True
                 elif rank == 0 and len(core) < 80:
-                    open_.append((core, (page.id, no, side is top, line)))
-    known: dict[str, int] = Counter(c for c, _ in open_)
-    heads = {c for c, at in open_ if at is None}
-    often = [c for c, n in known.items() if (n >= 2 or len(known) <= 64) and len(c) >= 4]
-    for core, at in open_:
-        if at is None or any(o[:2] == at[:2] for o in out):
+                    # the tail of a paragraph can recur as well: a recurring line must be more than a word, and no end of a sentence
+                    out.append((page.doc, page.id, no, None, core, line.rstrip()[-1:] in "।!?॥…" or len(core.split()) < 2 and len(core) < 9))
+    return pd.DataFrame(out, columns=["doc", "id", "line_no", "kind", "core", "ends"])
+
+
+def _pairs(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, and text and number of every pair of neighbouring characters; the n-th of the same pair in a text is another."""
+    numbers: dict[tuple[str, int], int] = {}
+    at, of = [], []
+    for i, t in enumerate(texts):
+        seen: Counter[str] = Counter()
+        for x in zip(t, t[1:]):
+            at.append(i)
+            of.append(numbers.setdefault(("".join(x), seen["".join(x)]), len(numbers)))
+            seen["".join(x)] += 1
+    return np.array([len(t) for t in texts]), np.array(at, dtype=np.int64), np.array(of, dtype=np.int64)
+
+
+def near_texts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(i, j), i < j, of every two texts that may be alike, by the pairs of characters they share.
+
+    Alike texts of a and b characters match in M >= SAME_HEAD / 2 * (a + b) of them, in at most a + b - 2 M + 1 blocks,
+    and so share at least 3 M - (a + b) - 1 pairs: none that is alike is left out.
+    """
+    length, at, of = _pairs(texts)
+    order = np.argsort(of, kind="stable")
+    at, of = at[order], of[order]
+    first = np.searchsorted(of, of, "left")
+    last = np.searchsorted(of, of, "right")
+    by_text = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[by_text], np.arange(len(texts) + 1))
+    count = last - first
+    for i in range(len(texts) - 1):
+        own = by_text[starts[i] : starts[i + 1]]
+        # the places of all texts that have one of this text's pairs, range behind range
+        ranges = np.arange(count[own].sum()) + np.repeat(first[own] - np.cumsum(count[own]) + count[own], count[own])
+        shared = np.bincount(at[ranges], minlength=len(texts))
+        both = length + length[i]
+        may = (shared >= (1.5 * SAME_HEAD - 1) * both - 1 - 1e-6) & (np.abs(length - length[i]) <= 0.3 * np.maximum(length, length[i]))
+        yield from ((i, int(j)) for j in np.flatnonzero(may[i + 1 :]) + i + 1)
+
+
+def recurring(cores: list[str], head: list[bool], side: list[int] | None) -> tuple[set[int], set[int]]:
+    """Which lines, heads left out, are like a head, and which like any line of some length; with sides, of the other side."""
+    by_head: set[int] = set()
+    again: set[int] = set()
+    for i, j in near_texts(cores):
+        if head[i] and head[j] or side and side[i] == side[j]:
             continue
-        # the tail of a paragraph can recur as well: a recurring line must be more than a word, and no end of a sentence
-        ends = at[3].rstrip()[-1:] in "।!?॥…" or len(core.split()) < 2 and len(core) < 9
-        again = known[core] >= 2 or any(c != core and _alike(core, c) for c in often)
-        if core in heads or any(_alike(core, h) for h in heads) or again and not ends:
-            out.append((at[0], at[1], "header"))
-    return pd.DataFrame(out, columns=["id", "line_no", "kind"])
+        for a, b in ((i, j), (j, i)):
+            if not head[a] and (head[b] and a not in by_head or len(cores[b]) >= 4 and a not in again) and _alike(cores[a], cores[b]):
+                again |= {a} if len(cores[b]) >= 4 else set()
+                by_head |= {a} if head[b] else set()
+    return by_head, again
+
+
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for doc, x, y, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            cores = [r["core"] for r in rows]
+            by_head, again = recurring(cores, [r["head"] for r in rows], [r["side"] for r in rows] if x != y else None)
+            out += [(doc, cores[i], i in by_head, i in again) for i in sorted(by_head | again)]
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc", "core", "by_head", "again"])
 
 
 def heads_and_numbers(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(id, line_no, kind), kind header or page_number, of the scanned pages; distinct.
 
     Only the lines at the edges are shuffled, by document and part of PAGES_AT_ONCE pages, so that no
-    document is one task. titles (doc, title) are the documents' titles, if there are any.
+    document is one task. A line is also a head if it resembles an edge line of another page of the document,
+    however long that is: its different lines are compared in pairs of parts of LINES_AT_ONCE. titles (doc,
+    title) are the documents' titles, if there are any.
     """
     lines = F.transform(F.split(F.translate(F.col("text"), INVISIBLE + "­", ""), "\n", -1), lambda line, k: F.struct((k + 1).alias("line_no"), line.alias("line")))
-    shown = F.filter(lines, lambda x: x["line"].rlike(r"[^\s   ]"))
+    shown = F.filter(lines, lambda x: x["line"].rlike(r"[^\s   ]"))
     k = F.coalesce(F.try_to_number(F.regexp_extract("id", r"#(\d{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(0))
-    near = pages.filter("origin = 'scan'").select(F.regexp_extract("id", r"^([^#]*)", 1).alias("doc"), "id", "page_num", k.alias("k"), shown.alias("shown"))
+    scanned = pages.filter("origin = 'scan'").select(F.regexp_extract("id", r"^([^#]*)", 1).alias("doc"), "id", "page_num", k.alias("k"), "text")
     none = F.struct(F.lit(0).alias("line_no"), F.lit("").alias("line"))
     # the first two and the last two, these no line twice
     size = F.size("shown")
     at = lambda i, ok: F.when(ok, F.struct(F.get("shown", i)["line_no"].alias("line_no"), F.substring(F.get("shown", i)["line"], 1, 120).alias("line"))).otherwise(none)
     edges = F.array(at(F.lit(0), size > 0), at(F.lit(1), size > 1), at(size - 2, size > 3), at(size - 1, size > 2))
-    near = near.select("doc", F.expr(f"k div {PAGES_AT_ONCE}").alias("part"), "id", "page_num", "k", edges.alias("edges"))
+    near = scanned.withColumn("shown", shown).select("doc", F.expr(f"k div {PAGES_AT_ONCE}").alias("part"), "id", "page_num", "k", edges.alias("edges"))
+    # the usual distance of printed and counted number, of each document as a whole
+    shifts = scanned.filter("page_num IS NOT NULL").select("doc", "id", (F.col("page_num") - F.col("k")).cast("long").alias("shift")).distinct().groupBy("doc", "shift").count()
+    shifts = shifts.groupBy("doc").agg(F.max(F.struct("count", -F.abs("shift"), "shift"))["shift"].alias("shift"))
+    near = near.join(shifts, "doc", "left")
     if titles is not None:
         near = near.join(titles.select("doc", "title").filter("title IS NOT NULL").groupBy("doc").agg(F.max("title").alias("title")), "doc", "left")
     else:
         near = near.withColumn("title", F.lit(None).cast("string"))
-    return near.groupBy("doc", "part").applyInPandas(running_lines, "id string, line_no int, kind string").distinct()
+    told = materialise(near.groupBy("doc", "part").applyInPandas(edge_lines, EDGE_LINES), "scan-edge-lines")
+    each = told.filter("core IS NOT NULL").groupBy("doc", "core").agg(F.count("*").alias("n"), F.max(F.col("kind").isNotNull()).alias("head"))
+    parts = each.groupBy("doc").agg(F.ceil(F.count("*") / LINES_AT_ONCE).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("core"), F.col("parts")).cast("int")
+    paired = each.join(parts, "doc").withColumn("side", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    paired = paired.select("doc", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "side", "core", "head")
+    paired = paired.repartition(shuffle_partitions(pages.sparkSession), "doc", "x", "y")
+    blocks = paired.groupBy("doc", "x", "y").agg(F.collect_list(F.struct("core", "head", "side")).alias("rows")).filter("size(rows) > 1")
+    like = blocks.mapInArrow(_recurring, "doc string, core string, by_head boolean, again boolean").groupBy("doc", "core").agg(F.max("by_head").alias("by_head"), F.max("again").alias("again"))
+    heads = each.join(like, ["doc", "core"], "left").select("doc", "core", (F.col("head") | F.coalesce("by_head", F.lit(False))).alias("sure"), ((F.col("n") >= 2) | F.coalesce("again", F.lit(False))).alias("again"))
+    found = told.filter("kind IS NULL").join(heads, ["doc", "core"]).filter("sure OR again AND NOT ends").select("id", "line_no", F.lit("header").alias("kind"))
+    return told.filter("kind IS NOT NULL").select("id", "line_no", "kind").unionByName(found).distinct()
 
 
 def scan_noise(raw: DataFrame, titles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

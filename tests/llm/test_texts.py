@@ -1,5 +1,6 @@
 """Problems 2, 4, 6 and 7 on small texts made by hand, with nulls, empty and very long ones."""
 
+import random
 import unicodedata
 
 import pytest
@@ -198,6 +199,32 @@ def test_misread_words_by_rate_at_any_size(spark, times):
     assert {(r["word"], r["meant"]) for r in scans.misread_words(vocab).collect()} == {("batefelder", "hatefelder"), ("rivcr", "river")}
 
 
+def test_near_texts_leave_out_none_alike():
+    rng = random.Random(1)
+    texts = ["", "a", "aa", "abab"]
+    for _ in range(60):
+        t = "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 40)))
+        texts += [t, "".join(rng.choice("abcde") if rng.random() < 0.15 else c for c in t), "".join(c for c in t if rng.random() > 0.15)]
+    found = set(scans.near_texts(texts))
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if scans._alike(texts[i], texts[j]) or scans._alike(texts[j], texts[i])}
+    assert alike <= found and len(alike) > 60
+
+
+@pytest.mark.parametrize(("pages_of", "lines_of"), [(256, 1024), (7, 5)])
+def test_heads_of_long_documents(spark, monkeypatch, pages_of, lines_of):
+    monkeypatch.setattr(scans, "PAGES_AT_ONCE", pages_of)
+    monkeypatch.setattr(scans, "LINES_AT_ONCE", lines_of)
+    rng = random.Random(2)
+    heads = {3: "of rivers and old bridges", 290: "of riuers amd old brjdges", 10: "letters from the market", 300: "letters from the market"}
+    rows = []
+    for k in range(1, 301):
+        other = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(26)) + " word"
+        # the number of the last page is not known, but that of the others
+        rows.append((f"d#{k}", f"{heads.get(k, other)}\n\n{BODY}\n{k + 12 if k == 300 else 'the end.'}", None if k > 255 else k + 12, "scan"))
+    got = {(r["id"], r["kind"]) for r in scans.heads_and_numbers(pages(spark, rows).select("id", "text", "meta.page_num", "meta.origin")).filter("kind = 'page_number' OR line_no = 1").collect()}
+    assert got == {(f"d#{k}", "header") for k in heads} | {("d#300", "page_number")}
+
+
 def test_scans_empty(spark):
     kinds, words = scans.scan_noise(pages(spark, []))
     assert kinds.count() == 0 and words.count() == 0
