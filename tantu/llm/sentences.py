@@ -20,7 +20,7 @@ ATTRIBUTION = frozenset("असे असं असा अशी ऐसा ऐ
 #: Speech of up to so many words at the start of a sentence belongs to it where nothing else tells.
 SHORT_SPEECH = 3
 
-#: Characters behind a candidate that are looked at, and before it for a list mark.
+#: Characters behind a candidate that are looked at, and before it for a list mark, blanks that lead to them not counted.
 AHEAD, MARK = 160, 24
 
 _INVISIBLE = "­​-‏⁠﻿‪-‮"
@@ -75,9 +75,8 @@ def _goes_on(p: str, start: int, m: regex.Match, end: int, german: bool) -> bool
     mark, closing = _STRIP.sub("", m.group("t")), _STRIP.sub("", p[m.end("t") : end])
     if m.group("tight") is not None and _IN_WORD.fullmatch(p[max(0, m.start() - 1) : m.end() + 1]):
         return True
-    after = p[end : end + AHEAD]
-    lead = _LEAD.match(after).end()
-    follow = after[lead:]
+    lead = _LEAD.match(p, end).end()
+    after, follow = p[end : lead + AHEAD], p[lead : lead + AHEAD]
     if not follow:
         return False
     first = follow[0]
@@ -93,7 +92,8 @@ def _goes_on(p: str, start: int, m: regex.Match, end: int, german: bool) -> bool
     if mark != ".":
         return mark.startswith("...") and head.islower()
     word = _STRIP.sub("", w.group()) if (w := _WORD_BEFORE.search(before)) else ""
-    whole = _STRIP.sub("", before).strip() if len(before) <= MARK else ""
+    bare_start = _LEAD.match(before).end()
+    whole = _STRIP.sub("", before[bare_start:]).strip() if len(before) - bare_start <= MARK else ""
     if whole and _LIST_MARK.match(whole) and (whole[-1:].isdigit() or len(whole.strip("([)]")) <= 2 and _SINGLE.match(whole.strip("([)]"))):
         return True
     if not word:

@@ -140,6 +140,11 @@ TIGHT = [
 ]
 
 
+@pytest.mark.parametrize("text", ["डॉ." + " " * 300 + "जोशी आले.", "He met Dr." + "\u200b" * 300 + " Smith.", " " * 40 + "१. पहिले काम.", "\n" + "\t" * 60 + "(a). First part."])
+def test_wide_blanks_end_no_sentence(text):
+    assert sentences.sentence_ends(text) == [len(text)]
+
+
 @pytest.mark.parametrize(("text", "want"), TIGHT)
 def test_sentences_without_a_space_between(text, want):
     test_sentences(text, want)
