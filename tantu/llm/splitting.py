@@ -33,12 +33,27 @@ def boundary_pattern(most: int) -> str:
     ])
 
 
-def _aligned(bytes_: Column, at: Column) -> Column:
+#: Piece lengths that are summed up in one go; the sums of these groups follow.
+GROUP = 256
+
+
+def _aligned(raw: Column, at: Column) -> Column:
     """The byte offset, or up to three before it, at which a character starts."""
-    inside = lambda k: F.substring(bytes_, at - k + 1, 1).between("\x80", "\xbf")
+    inside = lambda k: F.hex(F.substring(raw, at - k + 1, 1)).between("80", "BF")
     return at - F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(CHAR_TAIL)
 
 
+def _running(values: Column) -> Column:
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))
+    return F.aggregate(values, F.array().cast("array<int>"), lambda done, n: F.concat(done, F.array(last(done) + n)))
+
+
+def _ends(cuts: Column) -> Column:
+    """Running sums of an array that is not empty, group by group, so that a text of many pieces takes no longer for each."""
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / GROUP).cast("int")), lambda g: _running(F.slice(cuts, g * GROUP + 1, F.lit(GROUP))))
+    return F.transform(groups, lambda g: F.struct(g.alias("ends"), F.element_at(g, -1).alias("total")))
+
+
 def split_texts(docs: DataFrame, limit: int, overlap: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece_no, n_pieces, start, n_tokens, piece): texts in pieces of at most ``limit`` tokens, a token being one UTF-8 byte.
 
@@ -54,12 +69,19 @@ def split_texts(docs: DataFrame, limit: int, overlap: int, *, key: str = "doc_id
     one_a_byte = F.decode(F.col("__raw"), "ISO-8859-1")
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key), raw.alias("__raw")).withColumn("__size", F.length("__raw"))
     cuts = F.when(F.col("__size") > limit, F.transform(F.regexp_extract_all(one_a_byte, F.lit(boundary_pattern(most)), F.lit(0)), F.length)).otherwise(F.array(F.col("__size")))
-    ends = F.aggregate("__cuts", F.array().cast("array<int>"), lambda done, n: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n)))
-    rows = rows.withColumn("__bytes", F.when(F.col("__size") > limit, one_a_byte)).withColumn("__cuts", cuts).withColumn("__ends", ends)
-    spans = F.transform(
-        F.arrays_zip(F.col("__cuts").alias("n"), F.col("__ends").alias("stop")),
-        lambda x: F.struct(F.when(x["stop"] == x["n"], F.lit(0)).otherwise(_aligned(F.col("__bytes"), x["stop"] - x["n"] - overlap)).alias("start"), x["stop"].alias("stop")),
+    rows = rows.withColumn("__cuts", cuts).withColumn("__groups", _ends(F.col("__cuts")))
+    rows = rows.withColumn("__before", F.concat(F.array(F.lit(0)), _running(F.transform("__groups", lambda g: g["total"]))))
+    ends = F.flatten(F.transform("__groups", lambda g, i: F.transform(g["ends"], lambda e: e + F.get("__before", i))))
+    spans = F.zip_with("__cuts", ends, lambda n, stop: F.struct(F.when(stop == n, F.lit(0)).otherwise(_aligned(F.col("__raw"), stop - n - overlap)).alias("start"), stop.alias("stop")))
+    rows = rows.withColumn("__spans", spans)
+    # the pieces are cut before the rows are made, so that no row carries the whole text
+    pieces = F.transform(
+        "__spans",
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            (x["stop"] - x["start"]).alias("n_tokens"),
+            F.decode(F.substring(F.col("__raw"), x["start"] + 1, x["stop"] - x["start"]), "UTF-8").alias("piece"),
+        ),
     )
-    out = rows.withColumn("__spans", spans).select(key, "__raw", F.size("__ends").alias("n_pieces"), F.posexplode("__spans").alias("piece_no", "__span"))
-    start, stop = F.col("__span.start"), F.col("__span.stop")
-    return out.select(key, "piece_no", "n_pieces", start.alias("start"), (stop - start).alias("n_tokens"), F.decode(F.substring("__raw", start + 1, stop - start), "UTF-8").alias("piece"))
+    out = rows.select(key, F.size("__cuts").alias("n_pieces"), F.posexplode(pieces).alias("piece_no", "__piece"))
+    return out.select(key, "piece_no", "n_pieces", "__piece.start", "__piece.n_tokens", "__piece.piece")
