@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tantu.llm import encoding, frequency, mixing, neighbours, packing, relevance, scans, sentences, spelling, splitting
 from tantu.session import materialise, table
@@ -20,10 +20,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_relevance(spark: SparkSession, d: str) -> DataFrame:
     """The ten most relevant lemmas of every document."""
-    rows = table(spark, d, "lemma_tokens")
-    w = Window.partitionBy("rec").orderBy(F.desc("relevance"), "lemma")
-    top = relevance.term_weights(rows).withColumn("rank", F.row_number().over(w)).filter("rank <= 10")
-    return relevance.with_doc_id(top, rows).select("doc_id", "rank", "lemma", "tf", "df", F.round("relevance", 6).alias("relevance"))
+    return relevance.most_relevant(table(spark, d, "lemma_tokens"), 10).withColumn("relevance", F.round("relevance", 6))
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +130,16 @@ len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY ALL HAVING sum(tf) >= 100
 SELECT doc_id, lemma FROM (
   SELECT doc_id, lemma, row_number() OVER (PARTITION BY doc_id ORDER BY ln(1 + tf) * ln(n / df) DESC, lemma) AS rn
   FROM tf JOIN df USING (lemma) JOIN len USING (doc_id) CROSS JOIN whole) WHERE rn = 1""",
+    "p1_relevance": COUNTED + """,
+tf AS (SELECT doc_id, lemma, count(*) AS tf FROM counted GROUP BY ALL),
+df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::DOUBLE AS len FROM tf GROUP BY ALL),
+avg AS (SELECT sum(len) / count(*) AS mean FROM len),
+w AS (SELECT doc_id, lemma, tf, df,
+    ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / mean)) AS relevance
+  FROM tf JOIN df USING (lemma) JOIN len USING (doc_id) CROSS JOIN avg CROSS JOIN whole)
+SELECT doc_id, rank, lemma, tf, df, round(relevance, 6) AS relevance FROM (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, lemma))::INT AS rank FROM w) WHERE rank <= 10""",
     "p5_frequencies": COUNTED + " SELECT lemma, count(*) AS tf, count(DISTINCT doc_id) AS df FROM counted GROUP BY lemma",
     "p5_found": COUNTED + """,
 runs AS (SELECT run_id, coalesce(ignore_oov, false) AS ignore_oov, min_tf, low, CASE WHEN high IS NOT NULL THEN greatest(high, low) END AS high FROM (

@@ -4,32 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tantu.session import materialise
+
 #: A record is split into blocks of 2 to the power of so many sentences and token positions before it is
 #: shuffled, so that one huge record never lands in one task; every ordinary record is one block.
 SENTENCE_BITS, TOKEN_BITS = 10, 14
 #: Stands for a null position.
 NO_POSITION = -(2**31)
+#: The block of a record whose sentences and tokens have few numbers: the only one, unless there are others.
+NO_BLOCK = 0
 
 
 def record_key(seed: int, doc: Column) -> Column:
     return F.xxhash64(doc, F.lit(seed))
 
 
-def distinct_records(rows: DataFrame) -> tuple[DataFrame, int, int]:
+def distinct_records(rows: DataFrame, *, keep: bool = False) -> tuple[DataFrame, int, int]:
     """(rec BIGINT, doc_id) of every record, the seed that gives distinct keys, and the number of records.
 
     Shuffling an 8-byte key in place of a 64-character id is exact, because the seed is only taken if
-    no two ids share a key (one aggregate over the distinct ids proves it). A null doc_id is no record.
+    no two ids share a key (one aggregate over the distinct ids proves it). A null doc_id is no record. keep writes the
+    ids, for use again.
     """
     docs = rows.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    seeds = range(4)
-    found = docs.agg(F.count("*").alias("n"), *[F.count_distinct(record_key(s, F.col("doc_id"))).alias(f"k{s}") for s in seeds[:1]]).first()
-    if found["k0"] != found["n"]:
-        for s in seeds[1:]:
-            if docs.agg(F.count_distinct(record_key(s, F.col("doc_id")))).first()[0] == found["n"]:
-                return docs.withColumn("rec", record_key(s, F.col("doc_id"))), s, found["n"]
-        raise ValueError("no seed gives every record a key of its own")
-    return docs.withColumn("rec", record_key(0, F.col("doc_id"))), 0, found["n"]
+    if keep:
+        docs = materialise(docs, "records")
+    n = None
+    for seed in range(4):
+        found = docs.agg(F.count("*").alias("n"), F.count_distinct(record_key(seed, F.col("doc_id"))).alias("keys")).first()
+        n = found["n"]
+        if found["keys"] == n:
+            return docs.withColumn("rec", record_key(seed, F.col("doc_id"))), seed, n
+    raise ValueError("no seed gives every record a key of its own")
 
 
 def counted_rows(rows: DataFrame, seed: int) -> DataFrame:

@@ -48,9 +48,15 @@ def test_bitmaps_are_unions(spark):
     assert n == 700 and {r["lemma"]: r["df"] for r in terms.collect()} == {"all": 350, "even": 350}
 
 
-def test_weights_match_brute_force(spark):
+def weighted(spark, data, **options):
+    weights, docs = relevance.term_weights(spark.createDataFrame(data, SCHEMA), **options)
+    return weights.join(docs, "rec").drop("rec")
+
+
+@pytest.mark.parametrize("term_rows", [1, 1_000_000])
+def test_weights_match_brute_force(spark, term_rows):
     data = rows()
-    got = {(r["doc_id"], r["lemma"]): r for r in relevance.with_doc_id(relevance.term_weights(spark.createDataFrame(data, SCHEMA)), spark.createDataFrame(data, SCHEMA)).collect()}
+    got = {(r["doc_id"], r["lemma"]): r for r in weighted(spark, data, term_rows=term_rows).collect()}
     c = counted(data)
     tf, n = Counter((d, w) for d, w, _ in c), 4
     df = Counter(w for _, w in tf)
