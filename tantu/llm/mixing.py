@@ -11,6 +11,8 @@ from tantu.session import shuffle_partitions
 #: Tokens of a block, slots of an output shard, shards summed together on the way to a source's slot numbers.
 BLOCK, SHARD_SLOTS, SHARD_GROUP = 4096, 4096, 1024
 ROUNDS = 4
+#: Sources a mixture may have: their shares go to every task that draws.
+MOST_SOURCES = 100_000
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -67,21 +69,24 @@ def source_plan(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, text
     return plan.withColumn("n_blocks", F.ceil(F.col("n_tokens") / block).cast("long")).withColumn("short", F.coalesce(short, F.lit(False)))
 
 
-def mixture_slots(plan: DataFrame, *, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """(source, shard, slot, block_no, pass_no): which block of which source fills each slot of each output shard.
+def mixture_slots(plan: DataFrame, *, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(source, shard, slot, block_no, pass_no), which block of which source fills each slot of each output shard, and (source, slots_drawn).
 
     Every shard draws its counts from one multinomial of the target shares. A source's slots are numbered
     through all shards; slot s takes block permutation(s mod blocks) of pass s div blocks, and slots beyond
-    max_repeat passes stay empty. Collected are only the rows of the target table, a configuration.
+    max_repeat passes stay empty. Collected are only the rows of the target table, a configuration; more than
+    MOST_SOURCES are a ValueError.
     """
     spark = plan.sparkSession
-    rows = plan.orderBy("source").collect()
+    rows = plan.orderBy("source").limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     shares = np.array([max(r["target_share"] or 0.0, 0.0) for r in rows])
     total = rows[0]["total_tokens"] if rows else 0
     slots = -(-total // block)
     shards = -(-slots // SHARD_SLOTS)
     if not len(rows) or not slots or shares.sum() <= 0:
-        return spark.createDataFrame([], "source string, shard long, slot long, block_no long, pass_no int")
+        return spark.createDataFrame([], "source string, shard long, slot long, block_no long, pass_no int"), spark.createDataFrame([], "source string, slots_drawn long")
     rest = max(0.0, 1.0 - shares.sum())
     p = np.append(shares, rest) / (shares.sum() + rest)
     sources, blocks, repeats = [r["source"] for r in rows], [r["n_blocks"] for r in rows], [r["max_repeat"] or 0 for r in rows]
@@ -107,29 +112,37 @@ def mixture_slots(plan: DataFrame, *, block: int = BLOCK, seed: int = 0) -> Data
         return pd.Series(permuted(slot.to_numpy() % n.to_numpy(), n.to_numpy(), key.to_numpy().view(np.uint64)))
 
     each = each.withColumn("block_no", block_of("slot", "n_blocks", F.xxhash64("source", "pass_no", F.lit(seed))))
-    return each.select("source", "shard", "slot", "block_no", "pass_no")
+    drawn = counts.groupBy("source").agg(F.sum("k").alias("slots_drawn"))
+    return each.select("source", "shard", "slot", "block_no", "pass_no"), drawn
 
 
 def mixture(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, seed: int = 0, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(shard, slot, source, pass_no, doc_id, start, n), the slices of texts that make up the mixture, and the plan it follows.
+    """(shard, slot, source, pass_no, doc_id, start, n), the slices of texts that make up the mixture, and the plan it follows, with slots_drawn.
 
     The texts themselves join by doc_id when the mixture is written. A text is used once a pass, so at
     most max_repeat times. Sources without a target, null source and empty texts contribute nothing.
     """
     plan = source_plan(docs, targets, block=block, text=text)
-    slots = mixture_slots(plan, block=block, seed=seed)
+    slots, drawn = mixture_slots(plan, block=block, seed=seed)
     mixed = slots.join(token_blocks(docs, block=block, text=text), ["source", "block_no"])
-    return mixed.select("shard", "slot", "source", "pass_no", "doc_id", "start", "n"), plan
+    return mixed.select("shard", "slot", "source", "pass_no", "doc_id", "start", "n"), plan.join(drawn, "source", "left").fillna(0, ["slots_drawn"])
 
 
 def mixture_report(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, seed: int = 0, text: str = "text") -> DataFrame:
-    """(source, target_share, max_repeat, n_tokens, short, mixed_tokens, passes, actual_share) of every source of targets.
+    """One row for every source of targets: what was asked for, and what the mixture holds.
 
-    actual_share is of the tokens of all documents, the size the mixture aims at.
+    actual_share is of the tokens of all documents, the size the mixture aims at; mixture_share of those the mixture reached.
+    slack is how many tokens the draw may miss its target by chance (six deviations) and by whole blocks. exhausted: within it, the
+    mixture used every pass of the source. short: even all passes stay below the share, by exact totals; every short source is exhausted.
     """
     mixed, plan = mixture(docs, targets, block=block, seed=seed, text=text)
     got = mixed.groupBy("source").agg(F.sum("n").alias("mixed_tokens"), (F.max("pass_no") + 1).alias("passes"))
     out = plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "passes"])
-    return out.select("source", "target_share", "max_repeat", "n_tokens", "total_tokens", "short", "mixed_tokens", "passes", F.coalesce(F.try_divide("mixed_tokens", "total_tokens"), F.lit(0.0)).alias("actual_share"))
-
-
+    whole = out.agg(F.sum("mixed_tokens").alias("mixture_tokens"))
+    out = out.crossJoin(F.broadcast(whole)).withColumn("slack", F.ceil((6 * F.sqrt("slots_drawn") + F.col("max_repeat") + 2) * block).cast("long"))
+    exhausted = F.coalesce(F.col("mixed_tokens") + F.col("slack") >= F.col("max_repeat") * F.col("n_tokens"), F.lit(True))
+    share = lambda whole: F.coalesce(F.try_divide("mixed_tokens", whole), F.lit(0.0))
+    return out.select(
+        "source", "target_share", "max_repeat", "n_tokens", "total_tokens", "short", exhausted.alias("exhausted"), "slots_drawn", "slack",
+        "mixed_tokens", "passes", share("total_tokens").alias("actual_share"), share("mixture_tokens").alias("mixture_share"),
+    )

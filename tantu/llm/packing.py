@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Where the public vocabularies lie, and the one that sizes texts.
 TOKENIZER_DIR = os.environ.get("TANTU_TOKENIZERS", "/opt/tokenizers")
@@ -93,3 +93,20 @@ def container_fill(packed: DataFrame, capacity: int) -> DataFrame:
     """(filled, n_containers, n_tokens, n_items): containers by fill, in tenths of the capacity rounded up."""
     each = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
     return each.groupBy(F.ceil(F.col("n") * 10 / capacity).cast("int").alias("filled")).agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.sum("items").alias("n_items"))
+
+
+def packing_account(packed: DataFrame, capacity: int, *, key: str = "doc_id") -> DataFrame:
+    """One row: items, texts, containers and tokens packed; containers above the capacity or with gaps or overlaps; texts that would have fitted whole but are divided; fill."""
+    after = F.lead("at").over(Window.partitionBy("container").orderBy("at"))
+    placed = packed.withColumn("__next", F.coalesce(after, F.col("at") + F.col("n_tokens")))
+    each = placed.groupBy("container").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("items"), F.count_if(F.col("__next") != F.col("at") + F.col("n_tokens")).alias("gaps"), F.min("at").alias("first")
+    )
+    whole = each.agg(
+        F.count("*").alias("n_containers"), F.coalesce(F.sum("items"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"),
+        F.count_if(F.col("n") > capacity).alias("n_over"), F.count_if((F.col("gaps") > 0) | (F.col("first") > 0)).alias("n_gaps"),
+    )
+    # of a divided text every piece but its last fills a container
+    texts = packed.groupBy(key).agg(F.count_if((F.col("n_tokens") < capacity) & (F.col("start") % capacity == 0)).alias("rests"), F.max("piece_no").alias("last"))
+    texts = texts.agg(F.count("*").alias("n_texts"), F.count_if((F.col("rests") > 1) & (F.col("last") > 0)).alias("n_needless"))
+    return whole.crossJoin(F.broadcast(texts)).withColumn("fill", F.try_divide(F.col("n_tokens").cast("double"), F.col("n_containers") * capacity))

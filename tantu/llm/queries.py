@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tantu.llm import encoding, frequency, mixing, neighbours, packing, relevance, scans, sentences, spelling, splitting
 from tantu.session import materialise, table
 
+#: Share of the containers' room that has to be used.
+LEAST_FILL = 0.9
+
 
 def _spec(spark: SparkSession, d: str, name: str):
     return table(spark, d, "size_specs").filter(F.col("spec") == name).first()
@@ -91,15 +94,32 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), spec["n_tokens"])
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing keeps its rules over all texts, and how full the containers are."""
+    capacity = _spec(spark, d, "pack")["n_tokens"]
+    account = packing.packing_account(packing.pack_texts(table(spark, d, "documents"), capacity), capacity)
+    return account.select("n_texts", "n_over", "n_gaps", "n_needless", (F.col("fill") >= LEAST_FILL).alias("well_filled"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """The sources too small for their share, from the written report, so that the mixture it reports on is made."""
-    return materialise(p9_report(spark, d), "mixture-report").filter("short").select("source")
+    """The sources of which the mixture uses up every pass and, by exact totals, still falls short."""
+    return materialise(p9_report(spark, d), "mixture-report").filter("exhausted AND short").select("source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mixture keeps to targets and repetitions: every source gets its share, or all it has, up to the slack of a draw."""
+    wanted = F.least(F.col("target_share") * F.col("total_tokens"), (F.col("max_repeat") * F.col("n_tokens")).cast("double"))
+    return p9_report(spark, d).select(
+        "source", "n_tokens", "total_tokens", "short",
+        ((F.col("mixed_tokens") <= F.col("max_repeat") * F.col("n_tokens")) & (F.col("passes") <= F.col("max_repeat"))).alias("within_repeats"),
+        (F.abs(F.col("mixed_tokens") - wanted) <= F.col("slack")).alias("on_target"),
+    )
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     spec = _spec(spark, d, "split")
     return splitting.split_texts(table(spark, d, "documents"), spec["n_tokens"], spec["overlap"]).filter("piece_no = 0 AND n_pieces > 1").select("doc_id")
@@ -110,8 +130,21 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"), spec["n_tokens"], spec["overlap"])
 
 
+def p10_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces, each without what it repeats."""
+    limit, overlap = (_spec(spark, d, "split")[c] for c in ("n_tokens", "overlap"))
+    pieces = splitting.split_texts(table(spark, d, "documents"), limit, overlap)
+    raw = F.encode("piece", "UTF-8")
+    before = F.lag(F.col("start") + F.col("n_tokens"), 1, 0).over(Window.partitionBy("doc_id").orderBy("piece_no"))
+    fresh = pieces.withColumn("repeated", before - F.col("start")).withColumn("fresh", F.expr("substring(encode(piece, 'UTF-8'), CAST(repeated AS INT) + 1)"))
+    ok = (F.length(raw) <= limit) & (F.length(raw) == F.col("n_tokens")) & (F.when(F.col("piece_no") == 0, F.col("repeated") == 0).otherwise(F.col("repeated").between(overlap, overlap + splitting.CHAR_TAIL)))
+    each = fresh.withColumn("ok", ok).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "fresh"))).alias("parts"), F.every("ok").alias("kept"))
+    text = F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x["fresh"]))
+    return each.select("doc_id", F.sha2(text, 256).alias("sha"), "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p9_found, p9_report, p10_found, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
 
 
 COUNTED = """
@@ -155,5 +188,11 @@ SELECT * FROM marked WHERE verdict IS NOT NULL""",
     "p9_found": """
 SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source) s ON s.source = t.source
 WHERE t.max_repeat * coalesce(s.n, 0) < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",
+    "p8_fill": "SELECT count(*) FILTER (text <> '') AS n_texts, 0::BIGINT AS n_over, 0::BIGINT AS n_gaps, 0::BIGINT AS n_needless, true AS well_filled FROM documents",
+    "p9_kept": """
+WITH s AS (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source), t AS (SELECT sum(strlen(text))::BIGINT AS total FROM documents)
+SELECT t1.source, coalesce(s.n, 0)::BIGINT AS n_tokens, total AS total_tokens, max_repeat * coalesce(s.n, 0) < target_share * total AS short, true AS within_repeats, true AS on_target
+FROM mix_targets t1 LEFT JOIN s ON s.source = t1.source CROSS JOIN t""",
+    "p10_whole": "SELECT doc_id, sha256(text) AS sha, true AS kept FROM documents WHERE text IS NOT NULL",
     "p10_found": "SELECT doc_id FROM documents WHERE strlen(text) > (SELECT n_tokens FROM size_specs WHERE spec = 'split')",
 }

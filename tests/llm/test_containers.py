@@ -88,6 +88,17 @@ def test_pack(spark):
     assert packing.container_fill(packing.pack_texts(docs(spark), 64), 64).agg({"n_tokens": "sum"}).first()[0] == sum(fills.values())
 
 
+def test_packing_account(spark):
+    kept = packing.packing_account(packing.pack_texts(docs(spark), 64), 64).first()
+    assert (kept["n_over"], kept["n_gaps"], kept["n_needless"]) == (0, 0, 0) and 0 < kept["fill"] <= 1
+    assert kept["n_texts"] == sum(bool(t) for t in TEXTS)
+    bad = spark.createDataFrame([("c", 0, 1, 0, 0, 40), ("c", 50, 2, 0, 0, 30), ("e", 0, 3, 0, 0, 9), ("f", 0, 3, 1, 0, 9)], "container string, at int, doc_id long, piece_no int, start int, n_tokens int")
+    broken = packing.packing_account(bad, 64).first()
+    assert (broken["n_over"], broken["n_gaps"], broken["n_needless"]) == (1, 1, 1)
+    none = packing.packing_account(bad.limit(0), 64).first()
+    assert none["n_texts"] == 0 and none["fill"] is None
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(1, 5000), st.integers(0, 2**63))
 def test_permutation(n, key):
@@ -126,6 +137,8 @@ def test_mixture(spark):
     assert report["big"]["actual_share"] == pytest.approx(0.5, abs=0.05) and not report["big"]["short"]
     assert report["small"]["short"] and report["small"]["mixed_tokens"] == 3 * size["small"]
     assert report["gone"]["mixed_tokens"] == 0 and report["gone"]["short"]
+    assert sum(r["mixture_share"] for r in report.values()) == pytest.approx(1) and report["small"]["exhausted"] and report["gone"]["exhausted"]
+    assert report["small"]["slots_drawn"] > 3 * report["small"]["n_tokens"] / 64
     used = mixed.groupBy("doc_id", "start").count().agg({"count": "max"}).first()[0]
     assert used <= 3
     again = mixing.mixture(data, targets, block=64)[0]
