@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tantu.llm import encoding, frequency, mixing, neighbours, packing, relevance, scans, sentences, spelling, splitting
+from tantu.operators import geometry
 from tantu.session import materialise, table
 
-#: Share of the containers' room that has to be used.
-LEAST_FILL = 0.9
+#: Share of the containers' room that has to be used, and of the true neighbours that have to be found.
+LEAST_FILL, LEAST_RECALL = 0.9, 0.95
 
 
 def _spec(spark: SparkSession, d: str, name: str):
@@ -50,6 +51,26 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return found.join(words, "other").select(F.col("id").alias("idx"), "rank", F.col("other").alias("other_idx"), "other_word", "cosine")
 
 
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The ten nearest, by comparison with all, of the words whose number is divisible by 20; and those words."""
+    vectors = geometry.usable(table(spark, d, "word_vectors"), "idx", "normed")
+    asked = vectors.filter("id % 20 = 0")
+    return geometry.exact_neighbours(asked, vectors, 10), asked
+
+
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The exact way, for a stated query set against all rows."""
+    return _asked(spark, d)[0].withColumn("cosine", F.round("cosine", 6))
+
+
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds LEAST_RECALL of the exact neighbours of the query set."""
+    exact, asked = _asked(spark, d)
+    found = neighbours.nearest(table(spark, d, "word_vectors"), "idx", "normed", 10).select("id", "other", F.lit(1).alias("hit"))
+    share = exact.join(found, ["id", "other"], "left").agg(F.try_divide(F.count("hit").cast("double"), F.count("*")).alias("share"))
+    return asked.agg(F.count("*").alias("n_asked")).crossJoin(F.broadcast(share)).select("n_asked", (F.col("share") >= LEAST_RECALL).alias("recalled"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     tokens = spelling.inconsistent(table(spark, d, "lemma_tokens"), "concat_ws(':', doc_id, coalesce(cast(sent_no AS string), ''), coalesce(cast(tok_no AS string), ''))", "token")
     pages = table(spark, d, "doc_raw").filter(F.coalesce(F.col("meta.origin"), F.lit("")) != "scan")
@@ -144,7 +165,7 @@ def p10_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
 
 
 COUNTED = """
@@ -155,7 +176,16 @@ WITH last AS (
 counted AS (SELECT * FROM last WHERE lemma <> ''),
 whole AS (SELECT count(DISTINCT doc_id) AS n FROM lemma_tokens)"""
 
+USABLE = """
+WITH v AS (SELECT idx::BIGINT AS id, list_transform(normed, lambda x: x::DOUBLE) AS vec FROM word_vectors
+  WHERE normed IS NOT NULL AND len(list_filter(normed, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(normed, lambda x: x <> 0)) > 0)"""
+
 SQL = {
+    "p3_exact": USABLE + """,
+s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.vec, b.vec) AS cosine FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),
+r AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, other))::INT AS rank FROM s)
+SELECT id, other, rank, round(cosine, 6) AS cosine FROM r WHERE rank <= 10""",
+    "p3_recall": USABLE + " SELECT count(*) AS n_asked, true AS recalled FROM v WHERE id % 20 = 0",
     "p1_found": COUNTED + """,
 tf AS (SELECT doc_id, lemma, count(*) AS tf FROM counted GROUP BY ALL),
 df AS (SELECT lemma, count(*) AS df FROM tf GROUP BY ALL),
