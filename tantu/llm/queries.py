@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tantu.functions.text import nfc
 from tantu.llm import encoding, frequency, mixing, neighbours, packing, relevance, scans, sentences, spelling, splitting
 from tantu.operators import geometry
 from tantu.session import materialise, table
@@ -74,7 +75,7 @@ def p3_recall(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     tokens = spelling.inconsistent(table(spark, d, "lemma_tokens"), "concat_ws(':', doc_id, coalesce(cast(sent_no AS string), ''), coalesce(cast(tok_no AS string), ''))", "token")
     pages = table(spark, d, "doc_raw").filter(F.coalesce(F.col("meta.origin"), F.lit("")) != "scan")
-    raw = spelling.inconsistent(pages, "id", "text", leave_garbled=True)
+    raw = spelling.inconsistent_pages(pages, "id", "text")
     return tokens.select(F.lit("lemma_tokens").alias("src"), "rec_key").unionByName(raw.select(F.lit("doc_raw").alias("src"), "rec_key"))
 
 
@@ -83,6 +84,16 @@ def p4_pages(spark: SparkSession, d: str) -> DataFrame:
     return spelling.consistent(table(spark, d, "doc_raw").select("id", "text"), "text").distinct()
 
 
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in their usual form that still hold a character without effect, or are not composed."""
+    text = F.col("text")
+    return p4_pages(spark, d).filter("text IS NOT NULL").agg(
+        F.count_distinct("id").alias("n_pages"),
+        F.count_if(text.rlike(r"[\x{AD}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]")).alias("n_invisible"),
+        F.count_if(nfc(text) != text).alias("n_open"),
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     marked = frequency.verdicts(table(spark, d, "lemma_tokens"), table(spark, d, "vocab_builds"))
     return marked.filter("verdict <> 'keep'").select("run_id", "lemma", "verdict")
@@ -165,7 +176,7 @@ def p10_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p4_clean, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
 
 
 COUNTED = """
@@ -203,6 +214,7 @@ w AS (SELECT doc_id, lemma, tf, df,
   FROM tf JOIN df USING (lemma) JOIN len USING (doc_id) CROSS JOIN avg CROSS JOIN whole)
 SELECT doc_id, rank, lemma, tf, df, round(relevance, 6) AS relevance FROM (
   SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY relevance DESC, lemma))::INT AS rank FROM w) WHERE rank <= 10""",
+    "p4_clean": "SELECT count(DISTINCT id) AS n_pages, 0::BIGINT AS n_invisible, 0::BIGINT AS n_open FROM doc_raw WHERE text IS NOT NULL",
     "p5_frequencies": COUNTED + " SELECT lemma, count(*) AS tf, count(DISTINCT doc_id) AS df FROM counted GROUP BY lemma",
     "p5_found": COUNTED + """,
 runs AS (SELECT run_id, coalesce(ignore_oov, false) AS ignore_oov, min_tf, low, CASE WHEN high IS NOT NULL THEN greatest(high, low) END AS high FROM (

@@ -10,20 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tantu.llm.encoding import is_garbled
+from tantu.session import materialise
 
 #: Rows that go through the SQL at once.
 ROWS_AT_ONCE = 100_000
+#: Texts in another form than the usual one that are sent to all tasks, up to so many bytes of them; beyond that they are shuffled.
+MOST_SENT = 32_000_000
 
 # Characters without a visible effect, spaces that look like the plain one, and letters that look alike.
 INVISIBLE = "\\x{00AD}\\x{034F}\\x{061C}\\x{180E}\\x{200B}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{FE00}-\\x{FE0F}\\x{FEFF}"
 SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
-CYRILLIC, CYRILLIC_AS = "асеорхуіѕјһԁԛԝАВСЕНІЈКМОРЅТХУԌ", "aceopxyisjhdqwABCEHIJKMOPSTXYG"
+CYRILLIC, CYRILLIC_AS = "асеорхуіѕјһԁԛԝӏАВСЕНІЈКМОРЅТХУԌӀ", "aceopxyisjhdqwlABCEHIJKMOPSTXYGI"
 GREEK, GREEK_AS = "αοιρυνγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aoipuvyABEZHIKMNOPTYX"
+#: Letters of other alphabets and phonetic ones that look like a Latin letter among Latin letters.
+OTHER, OTHER_AS = "\u0261\u0251\u1d0f\u1d04\u1d20\u1d21\u1d22\u0131\u0585\u057d\u0578\u0570\u0581\u0575\u0566\u053c\u054f\u0555\u054d\u13aa\u13b3\u13d4\u13a5\u13bb\u13de\u13e6", "gaocvwziounhgjqLSOUGWTiHLK"
 ARABIC, URDU = "يىكه", "ییکہ"
 #: Devanagari, Thai and other sequences that are drawn like one character.
 SEQUENCES = {
     "अा": "आ", "अॉ": "ऑ", "आॅ": "ऑ", "अॅ": "ॲ", "अो": "ओ", "आे": "ओ", "अौ": "औ", "आै": "औ", "एे": "ऐ", "एॅ": "ऍ",
-    "ाे": "ो", "ाै": "ौ", "ाॅ": "ॉ", "।।": "॥", "เเ": "แ", "ํา": "ำ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "‑": "-", "ऱ्": "र्\u200d",
+    "ाे": "ो", "ाै": "ौ", "ाॅ": "ॉ", "।।": "॥", "เเ": "แ", "ํา": "ำ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "‐": "-", "‑": "-", "ऱ्": "र्\u200d",
 }
 #: Private characters that stand for a joiner to keep.
 KEEP_ZWJ, KEEP_ZWNJ = "\ue0f0", "\ue0f1"
@@ -32,10 +37,16 @@ DUAL_JOINING = "بپتٹثجچحخسشصضطظعغفقکكگلمنںهہھیيى
 
 def _compatibility() -> tuple[str, str]:
     """Characters that look like one other character of which they are the compatibility form: full-width letters and
-    digits, half-width kana, radicals, Arabic presentation forms, mathematical letters."""
-    blocks = ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B), (0xFF61, 0xFFA0), (0x2E80, 0x2FE0), (0xFB50, 0xFE00), (0xFE70, 0xFEFD), (0x1D400, 0x1D800))
-    pairs = [(chr(o), n) for a, b in blocks for o in range(a, b) if len(n := unicodedata.normalize("NFKC", chr(o))) == 1 and n != chr(o)]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    digits, half-width kana, radicals, Arabic presentation forms, letters in another font. Raised, lowered and encircled ones look different."""
+    blocks = ((0xFF10, 0xFF1A), (0xFF21, 0xFF3B), (0xFF41, 0xFF5B), (0xFF61, 0xFFA0), (0x2E80, 0x2FE0), (0xFB50, 0xFE00), (0xFE70, 0xFEFD))
+    blocks += tuple((o, o + 1) for o in range(0x100, 0x20000) if unicodedata.decomposition(chr(o)).startswith(("<font>", "<compat>")) and chr(o).isalnum())
+    pairs = {chr(o): n for a, b in blocks for o in range(a, b) if len(n := unicodedata.normalize("NFKC", chr(o))) == 1 and n != chr(o)}
+    return "".join(pairs), "".join(pairs.values())
+
+
+def _numerals() -> dict[str, str]:
+    """Roman numerals that are one character, longest spelling first."""
+    return {chr(o): n for o in range(0x2160, 0x2180) if len(n := unicodedata.normalize("NFKC", chr(o))) > 1}
 
 
 def _wide_punctuation() -> tuple[str, str]:
@@ -67,8 +78,12 @@ def consistent_sql(column: str) -> str:
     old, new = _wide_punctuation()
     s = f"(CASE WHEN regexp_matches({column}, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]') THEN {s} ELSE translate({s}, {_quoted(old)}, {_quoted(new)}) END)"
     s = f"nfc_normalize({s})"
-    for old, new in SEQUENCES.items():
-        s = f"replace({s}, {_quoted(old)}, {_quoted(new)})"
+    for parts in (SEQUENCES, _numerals()):
+        found, whole = "|".join(parts), s
+        for old, new in parts.items():
+            whole = f"replace({whole}, {_quoted(old)}, {_quoted(new)})"
+        # hardly any text holds one of them
+        s = f"list_transform([{s}], lambda u: CASE WHEN regexp_matches(u, '{found}') THEN {whole.replace(s, 'u')} ELSE u END)[1]"
     s = f"regexp_replace({s}, '\u0e4d([\u0e48-\u0e4b])\u0e32', '\\1\u0e33', 'g')"
     s = f"regexp_replace({s}, '([\\x{{0904}}-\\x{{0939}}\\x{{093E}}-\\x{{094C}}]):([\\x{{0904}}-\\x{{0939}}])', '\\1\u0903\\2', 'g')"
     s = f"regexp_replace({s}, '([\\x{{0904}}-\\x{{0963}}] ?)\\|', '\\1\u0964', 'g')"
@@ -76,18 +91,26 @@ def consistent_sql(column: str) -> str:
 
 
 def _words_sql(column: str) -> str:
-    """Look-alike letters inside words, for text that has both kinds at all."""
+    """Look-alike letters inside words, for text that has both kinds at all.
+
+    A word all of whose letters look Latin is Latin, unless the word before or behind it is plainly of its own script.
+    """
     like, latin = CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS
     own = "[\\p{Cyrillic}\\p{Greek}]"
+    plainly = f"[^\\P{{Cyrillic}}{CYRILLIC}]|[^\\P{{Greek}}{GREEK}]"
     back = "".join(dict(zip(CYRILLIC_AS, CYRILLIC, strict=True)))
+    beside = " OR ".join(f"coalesce(regexp_matches({x}, '{plainly}'), false)" for x in ("CASE WHEN i > 2 THEN ws[i - 2] END", "ws[i + 2]"))
     word = f"""CASE
+      WHEN regexp_full_match(w, '[A-Za-z{OTHER}]+') AND regexp_matches(w, '[A-Za-z]') THEN translate(w, '{OTHER}', '{OTHER_AS}')
       WHEN NOT regexp_matches(w, '{own}') THEN w
+      WHEN regexp_full_match(w, '[{like}]+') AND ({beside}) THEN w
       WHEN regexp_full_match(w, '[{like}]+') OR regexp_matches(w, '\\p{{Latin}}') AND NOT regexp_matches(w, '[^\\P{{Cyrillic}}{CYRILLIC}]') THEN translate(w, '{like}', '{latin}')
       WHEN regexp_matches(w, '\\p{{Latin}}') THEN translate(w, '{back}', '{CYRILLIC}')
       ELSE w END"""
-    whole = f"array_to_string(list_transform(regexp_extract_all({column}, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), '')"
+    whole = f"list_transform([regexp_extract_all({column}, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+')], lambda ws: array_to_string(list_transform(ws, lambda w, i: {word}), ''))[1]"
     urdu = f"(CASE WHEN regexp_matches({column}, '[{ARABIC}]') AND regexp_matches({column}, '[ٹڈڑںےہھگپچی]') THEN translate({column}, '{ARABIC}', '{URDU}') ELSE {column} END)"
-    return f"(CASE WHEN regexp_matches({column}, '{own}') AND regexp_matches({column}, '[A-Za-z]') OR regexp_full_match({column}, '[{like}]+') THEN {whole} ELSE {urdu} END)"
+    mixed = f"regexp_matches({column}, '[\\p{{Cyrillic}}\\p{{Greek}}{OTHER}]') AND regexp_matches({column}, '[A-Za-z]')"
+    return f"(CASE WHEN {mixed} OR regexp_full_match({column}, '[{like}]+') THEN {whole} ELSE {urdu} END)"
 
 
 NORMAL = f"SELECT t, {_words_sql('s')} AS form FROM (SELECT t, {consistent_sql('t')} AS s FROM (SELECT DISTINCT t FROM rows WHERE t IS NOT NULL))"
@@ -102,7 +125,7 @@ def _through_sql(sql: str, after: Callable[[pa.Table], pa.Table] | None = None)
 
         def flush() -> Iterator[pa.RecordBatch]:
             db.register("rows", pa.Table.from_batches(held))
-            out = db.execute(sql).to_arrow_table()
+            out = db.sql(sql).to_arrow_table()
             db.unregister("rows")
             yield from (after(out) if after else out).to_batches()
 
@@ -127,17 +150,27 @@ def consistent(rows: DataFrame, column: str) -> DataFrame:
     return rows.mapInArrow(_through_sql(sql), schema)
 
 
-def inconsistent(rows: DataFrame, key: str, column: str, *, leave_garbled: bool = False) -> DataFrame:
+ODD = f"SELECT t FROM ({NORMAL}) WHERE form <> t"
+
+
+def inconsistent(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(rec_key) of the rows whose text changes when it is brought to its usual form; distinct.
 
-    key is an SQL expression over rows for the record's key. leave_garbled skips texts that were decoded
-    in the wrong encoding. A null text or key is no record.
+    key is an SQL expression over rows for the record's key. For short texts that recur often: each different one is judged once, and
+    those found are joined back. A null text or key is no record.
     """
-    sql = f"SELECT r.k AS rec_key, r.t AS t FROM rows r JOIN (SELECT t FROM ({NORMAL}) WHERE form <> t) n ON r.t = n.t WHERE r.k IS NOT NULL"
+    texts = rows.select(F.expr(key).alias("rec_key"), F.col(column).alias("t")).filter("rec_key IS NOT NULL AND t IS NOT NULL")
+    odd = materialise(texts.select("t").distinct().mapInArrow(_through_sql(ODD), "t string"), "odd-texts")
+    size = odd.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
+    return texts.join(F.broadcast(odd) if size <= MOST_SENT else odd, "t", "left_semi").select("rec_key").distinct()
+
+
+def inconsistent_pages(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(rec_key) as inconsistent has it, for long texts, which are judged where they are read; texts that were decoded in the wrong encoding are left out."""
+    sql = f"SELECT r.k AS rec_key, r.t AS t FROM rows r JOIN ({ODD}) n ON r.t = n.t WHERE r.k IS NOT NULL"
 
     def after(out: pa.Table) -> pa.Table:
-        if leave_garbled:
-            out = out.filter(pa.array([not is_garbled(t, scan=False) for t in out["t"].to_pylist()], pa.bool_()))
+        out = out.filter(pa.array([not is_garbled(t, scan=False) for t in out["t"].to_pylist()], pa.bool_()))
         return out.select(["rec_key"]).cast(pa.schema([("rec_key", pa.string())]))
 
     return rows.select(F.expr(key).alias("k"), F.col(column).alias("t")).mapInArrow(_through_sql(sql, after), "rec_key string").distinct()

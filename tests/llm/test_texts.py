@@ -77,8 +77,9 @@ def test_garbled_pages(spark):
 SAME = [
     ("आ​हे", "आहे"), ("की﻿", "की"), ("अ­सा", "असा"), ("का‍डी", "काडी"), ("अर्थ‌", "अर्थ"), ("हाेते", "होते"), ("अाहे", "आहे"), ("१७६७".translate({0x0967: 0xFF11}), "1७६७"),
     ("ｔｈｅ", "the"), ("Diе", "Die"), ("mοon", "moon"), ("café", "café"), ("⽬", "目"), ("ｶﾞﾗｽ", "ガラス"), ("คํา", "คำ"), ("a b", "a b"), ("ख़", "ख़"), ("وٴ", "وٴ"), ("ؤ", "ؤ"), ("पऱ्याय", "पर्‍याय"),
+    ("\u2102at \u210dome", "Cat Home"), ("\u2167", "VIII"), ("\u217c\u2170ne", "line"), ("\u0261oogle", "google"), ("\u1d0fne", "one"), ("\u0585ne", "one"), ("\u0440\u0430\u0443\u0440\u0430\u04cf", "paypal"), ("a\u2010b", "a-b"),
 ]
-KEPT = ["", "plain text", "वार्‍यावर", "می‌روم", "книга", "λόγος", "São", "村庄！，？", "（日本）", "अंतःकरण", "पान44.pdf", "मन।", "“यें”", "क्‌ष"]
+KEPT = ["", "plain text", "वार्‍यावर", "می‌روم", "книга", "λόγος", "São", "村庄！，？", "（日本）", "अंतःकरण", "पान44.pdf", "मन।", "“यें”", "क्‌ष", "в а собака home", "Это дом, а не house", "naïve µm²"]
 
 
 @pytest.mark.parametrize("column", ["text", "t"])
@@ -90,12 +91,17 @@ def test_consistent(spark, column):
     assert out[200] is None and out[201] == "आहे " * 50_000
 
 
-def test_inconsistent(spark):
+def test_inconsistent(spark, monkeypatch):
     rows = [(f"r{i}", a) for i, (a, b) in enumerate(SAME) if a != b] + [(f"k{i}", t) for i, t in enumerate(KEPT)] + [("r0", SAME[0][0]), ("n", None), (None, SAME[0][0]), ("g", misread(TEXT["mr"], "cp1252") + "​")]
     df = spark.createDataFrame(rows, "id string, text string")
-    got = [r["rec_key"] for r in spelling.inconsistent(df, "id", "text", leave_garbled=True).collect()]
+    got = [r["rec_key"] for r in spelling.inconsistent_pages(df, "id", "text").collect()]
     assert sorted(got) == sorted({r[0] for r in rows if r[0] and r[0].startswith("r")})
-    assert spelling.inconsistent(df.limit(0), "id", "text").count() == 0
+    # each different text once, joined back: sent to all tasks or shuffled
+    whole = sorted({r[0] for r in rows if r[0] and r[0][0] in "rg"})
+    assert sorted(r["rec_key"] for r in spelling.inconsistent(df, "id", "text").collect()) == whole
+    monkeypatch.setattr(spelling, "MOST_SENT", 0)
+    assert sorted(r["rec_key"] for r in spelling.inconsistent(df, "id", "text").collect()) == whole
+    assert spelling.inconsistent(df.limit(0), "id", "text").count() == 0 and spelling.inconsistent_pages(df.limit(0), "id", "text").count() == 0
 
 
 # ------------------------------------------------------------------ sentences
