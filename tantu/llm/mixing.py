@@ -138,8 +138,8 @@ def mixture_report(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, s
     mixed, plan = mixture(docs, targets, block=block, seed=seed, text=text)
     got = mixed.groupBy("source").agg(F.sum("n").alias("mixed_tokens"), (F.max("pass_no") + 1).alias("passes"))
     out = plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "passes"])
-    whole = out.agg(F.sum("mixed_tokens").alias("mixture_tokens"))
-    out = out.crossJoin(F.broadcast(whole)).withColumn("slack", F.ceil((6 * F.sqrt("slots_drawn") + F.col("max_repeat") + 2) * block).cast("long"))
+    # the rows of the report are at most MOST_SOURCES
+    out = out.withColumn("mixture_tokens", F.sum("mixed_tokens").over(Window.partitionBy())).withColumn("slack", F.ceil((6 * F.sqrt("slots_drawn") + F.col("max_repeat") + 2) * block).cast("long"))
     exhausted = F.coalesce(F.col("mixed_tokens") + F.col("slack") >= F.col("max_repeat") * F.col("n_tokens"), F.lit(True))
     share = lambda whole: F.coalesce(F.try_divide("mixed_tokens", whole), F.lit(0.0))
     return out.select(

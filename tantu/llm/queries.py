@@ -40,6 +40,21 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired_pages(table(spark, d, "doc_raw"), _titles(spark, d))
 
 
+def p2_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The page numbers found that are nothing but the printed number, as first or last line of their page."""
+    raw = table(spark, d, "doc_raw").filter("meta.origin = 'scan'").select("id", "text", "meta.page_num").distinct()
+    lines = raw.select("id", "page_num", F.filter(F.transform(F.split("text", "\n", -1), lambda x, k: F.struct((k + 1).alias("line_no"), x.alias("line"))), lambda x: x["line"].rlike(r"\S")).alias("shown"))
+    edges = lines.select("id", "page_num", F.inline(F.array_distinct(F.array(F.get("shown", F.lit(0)), F.get("shown", F.size("shown") - 1)))))
+    plain = F.translate(F.trim("line"), "०१२३४५६७८९", "0123456789")
+    plain_numbers = edges.filter(plain.rlike("^[0-9]{1,5}$") & (plain.cast("int") == F.col("page_num"))).select("id", "line_no")
+    return plain_numbers.join(p2_found(spark, d).filter("kind = 'page_number'"), ["id", "line_no"], "left_semi")
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every scanned page, and the single line breaks left in it."""
+    return p2_repaired(spark, d).select("id", F.regexp_count("text", F.lit(r"(?<!\n)\n(?!\n)")).cast("long").alias("n_breaks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest(table(spark, d, "word_vectors"), "idx", "normed", 10))
 
@@ -176,7 +191,7 @@ def p10_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p4_clean, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p2_numbers, p2_paragraphs, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p4_clean, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
 
 
 COUNTED = """
@@ -192,6 +207,12 @@ WITH v AS (SELECT idx::BIGINT AS id, list_transform(normed, lambda x: x::DOUBLE)
   WHERE normed IS NOT NULL AND len(list_filter(normed, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(normed, lambda x: x <> 0)) > 0)"""
 
 SQL = {
+    "p2_numbers": r"""
+WITH p AS (SELECT DISTINCT id, text, meta.page_num AS n FROM doc_raw WHERE meta.origin = 'scan'),
+l AS (SELECT id, n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM p),
+s AS (SELECT *, min(line_no) OVER (PARTITION BY id) AS top, max(line_no) OVER (PARTITION BY id) AS foot FROM l WHERE regexp_matches(line, '\S'))
+SELECT id, line_no FROM s WHERE line_no IN (top, foot) AND regexp_full_match(trim(line), '[0-9०-९]{1,5}') AND try_cast(translate(trim(line), '०१२३४५६७८९', '0123456789') AS INT) = n""",
+    "p2_paragraphs": "SELECT DISTINCT id, 0::BIGINT AS n_breaks FROM doc_raw WHERE meta.origin = 'scan' AND text IS NOT NULL AND id IS NOT NULL",
     "p3_exact": USABLE + """,
 s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.vec, b.vec) AS cosine FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),
 r AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, other))::INT AS rank FROM s)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,13 +15,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from tantu.session import materialise, shuffle_partitions
 
-#: Pages of one document whose edges are looked at in one task, and different edge lines of one that are compared in one with as many.
-PAGES_AT_ONCE, LINES_AT_ONCE = 256, 1024
+#: Different edge lines of one document that are compared in one task with as many.
+LINES_AT_ONCE = 1024
 #: A form counts as a misreading of a word that so many clean pages have, if it is itself found in at most one clean page for so many of those.
 LEAST_PAGES, RATIO = 2, 25
-#: Above so many misread forms they are joined by a shuffle in place of being sent to all tasks (8 bytes each).
-MOST_BROADCAST = 1_000_000
+#: Up to so many bytes of misread forms, with what they mean, are sent to all tasks; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 32_000_000
 SAME_HEAD = 0.8
+#: The words a chapter's name has at most, its number among them, and in how many documents and with how many numbers it is found.
+CHAPTER_WORDS, CHAPTER_DOCS = 3, 3
 
 # What characters are taken for in scans (right: what is read), marks of a cut word, words of heads and page numbers.
 MISREAD = {
@@ -31,7 +34,6 @@ LOSABLE = "ंँ"
 SUFFIXES = ("पासून", "मध्ये", "साठी", "च्या", "तून", "कडे", "वाला")
 HYPHENS = "-‐‑‒–­¬−"
 PAGE_WORDS = ("पृष्ठ", "पान", "पृ", "page", "seite", "p", "s", "pg")
-CHAPTER_WORDS = ("प्रकरण", "अध्याय", "अध्यायः", "chapter", "kapitel", "सर्ग", "सर्गः", "पाठ", "भाग", "part", "teil", "book", "buch", "section", "abschnitt")
 DIGITS = {c: str(i % 10) for i, c in enumerate("0123456789०१२३४५६७८९")} | dict(zip("oOlISsBr", "00115580", strict=True))
 
 #: What cannot stand in a word unless it was read wrongly: lost characters, strokes for vowel signs, figures for letters.
@@ -44,6 +46,8 @@ SPOILT = "|".join([
     r"[\x{0904}-\x{0963}]\x{0968}(?!\p{Nd}|\.\p{L})",
     r"(?<![\p{Nd}\p{L}\p{M}.,])\x{0968}[\x{0904}-\x{0939}][\p{M}\x{0904}-\x{0939}]",
 ])
+#: A character each of these has.
+SPOILT_SIGN = r"[015|~^!\x{0968}\x{FFFD}]"
 #: The same as readings of single characters, for the repair.
 STROKES = ((r"(?<=[\u0900-\u097f])\|", "ा"), (r"(?<=[\u0900-\u097f])~", "े"), (r"(?<=[\u0900-\u097f])\^", "ी"), (r"(?<=[\u0904-\u0963])\u0968(?=[\u0904-\u0963])", "र"), (r"(?<=[a-zß-ÿ])!(?=[a-zß-ÿ])", "i"), (r"(?<=[a-zß-ÿ])0(?=[a-zß-ÿ])", "o"), (r"(?<=[a-zß-ÿ])1(?=[a-zß-ÿ])", "l"), (r"(?<=[a-zß-ÿ])5(?=[a-zß-ÿ])", "s"))
 
@@ -66,20 +70,28 @@ def misreadings(word: str) -> set[str]:
 _WRONG_SUFFIX = sorted({(w, s) for s in SUFFIXES for w in misreadings(s) if len(w) >= 3 and w not in SUFFIXES})
 
 
+def _where(text: F.Column, sign: str, changed: F.Column) -> F.Column:
+    """changed where the text has one of the signs, which are rare: looking for them costs less than replacing."""
+    return F.when(text.rlike(sign), changed).otherwise(text)
+
+
 def _plain(text: str) -> F.Column:
     """The text in lower case without invisible characters, soft hyphens only where they cut a line's last word."""
-    return F.lower(F.regexp_replace(F.translate(F.col(text), INVISIBLE, ""), "\u00ad(?!\n)", ""))
+    c = F.lower(F.col(text))
+    c = _where(c, f"[{INVISIBLE}]", F.translate(c, INVISIBLE, ""))
+    return _where(c, "\u00ad", F.regexp_replace(c, "\u00ad(?!\n)", ""))
 
 
 def _strokes_read(text: F.Column) -> F.Column:
     """Strokes read as the vowel signs they stand for, so that they divide no word."""
+    out = text
     for stroke, sign in ((r"\|", "ा"), ("~", "े"), (r"\^", "ी")):
-        text = F.regexp_replace(text, rf"(?<=[\x{{0904}}-\x{{0963}}]){stroke}", sign)
-    return text
+        out = F.regexp_replace(out, rf"([\x{{0904}}-\x{{0963}}]){stroke}", f"$1{sign}")
+    return _where(text, "[|~^]", out)
 
 
 def _whole_words(text: F.Column) -> F.Column:
-    return F.regexp_replace(text, rf"(?<=[\p{{L}}\p{{M}}])[{HYPHENS}]\n *(?=\p{{L}})", "")
+    return _where(text, rf"[{HYPHENS}]\n", F.regexp_replace(text, rf"(?<=[\p{{L}}\p{{M}}])[{HYPHENS}]\n *(?=\p{{L}})", ""))
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
@@ -88,9 +100,11 @@ def vocabulary(pages: DataFrame) -> DataFrame:
     Words of several parts with hyphens count as such besides. Combined before the shuffle; repeated pages count again.
     """
     text = _whole_words(_strokes_read(_plain("text")))
-    words = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)+"), F.lit(0))))
     scanned = (F.col("origin") == "scan").cast("int")
-    each = pages.select(F.explode(words).alias("word"), scanned.alias("scanned"))
+    whole = F.col("text")
+    compounds = F.when(whole.contains("-"), F.regexp_extract_all(whole, F.lit(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    words = F.array_distinct(F.concat(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), compounds))
+    each = pages.select(text.alias("text"), scanned.alias("scanned")).select(F.explode(words).alias("word"), "scanned")
     return each.groupBy("word").agg(F.sum(1 - F.col("scanned")).alias("clean"), F.sum("scanned").alias("scanned"))
 
 
@@ -129,48 +143,49 @@ CUT, GOES_ON = rf"[\p{{L}}\p{{M}}\x{{FFFD}}][{HYPHENS}]\s*$", r"^\s*[\p{L}\x{FFF
 LEFT, RIGHT = rf"({WORD})[{HYPHENS}]\s*$", rf"^\s*({WORD})"
 
 
-def _lines(pages: DataFrame) -> DataFrame:
-    """(id, line_no, line, behind, cut, carried) of the scanned pages: the line behind with it, whether the line ends at a hyphen and whether the one before does."""
-    lines = F.split(_plain("text"), "\n", -1)
-    each = pages.filter("origin = 'scan'").select("id", lines.alias("lines"))
+def scanned_lines(pages: DataFrame) -> DataFrame:
+    """(id, line_no, line, behind, cut, carried) of the scanned pages: whether a line ends at a hyphen, then with the line behind, and whether the one before does. Repeated pages are one."""
+    text = F.split(_plain("text"), "\n", -1)
+    each = pages.filter("origin = 'scan'").select("id", text.alias("lines"))
     each = each.select("id", F.posexplode("lines").alias("k", "line"), "lines").select("id", (F.col("k") + 1).alias("line_no"), "line", F.get("lines", F.col("k") + 1).alias("behind"), F.get("lines", F.col("k") - 1).alias("ahead"))
     ends = lambda a, b: F.coalesce(F.col(a).rlike(CUT) & F.col(b).rlike(GOES_ON), F.lit(False))
-    return each.select("id", "line_no", "line", "behind", ends("line", "behind").alias("cut"), ends("ahead", "line").alias("carried"))
+    each = each.select("id", "line_no", "line", "behind", ends("line", "behind").alias("cut"), ends("ahead", "line").alias("carried")).filter("line <> ''")
+    return each.withColumn("behind", F.when(F.col("cut"), F.col("behind"))).distinct()
 
 
-def cut_words(pages: DataFrame, vocab: DataFrame) -> DataFrame:
+def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, line_no): lines that end inside a word by a mark that is not the word's own.
 
     A hyphen is the word's own if the corpus has the two parts with a hyphen more often than as one word.
     """
-    cut = _lines(pages).filter("cut")
+    cut = lines.filter("cut")
     left = F.regexp_extract("line", rf"([\p{{L}}\p{{M}}\p{{Nd}}�‌‍-]+)([{HYPHENS}])\s*$", 1)
     mark = F.regexp_extract("line", rf"([{HYPHENS}])\s*$", 1)
     right = F.regexp_extract("behind", r"^\s*([\p{L}\p{M}\p{Nd}�‌‍]+)", 1)
     cut = cut.select("id", "line_no", F.concat(left, F.lit("-"), right).alias("own"), F.concat(left, right).alias("joined"), mark.isin("-", "‐", "‑").alias("plain"))
-    compounds = vocab.filter(F.col("word").contains("-")).select(F.col("word").alias("own"), (F.col("clean") + F.col("scanned")).alias("n_own"))
-    whole = vocab.select(F.col("word").alias("joined"), F.col("clean").alias("n_joined"))
-    maybe = cut.join(compounds, "own", "left")
-    sure = maybe.filter(F.col("n_own").isNull() | ~F.col("plain")).select("id", "line_no")
-    open_ = maybe.filter(F.col("n_own").isNotNull() & F.col("plain")).join(whole, "joined", "left")
-    return sure.unionByName(open_.filter(F.coalesce("n_joined", F.lit(0)) > F.col("n_own")).select("id", "line_no")).distinct()
+    # both spellings are looked up in one join
+    both = cut.select("id", "line_no", "plain", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("own").alias("word")), F.struct(F.lit(False).alias("own"), F.col("joined").alias("word")))).alias("w"))
+    counted = both.select("id", "line_no", "plain", "w.own", "w.word").join(vocab.select("word", "clean", "scanned"), "word", "left")
+    n = lambda own, c: F.coalesce(F.max(F.when(F.col("own") == own, c)), F.lit(0))
+    known = counted.groupBy("id", "line_no").agg(F.max("plain").alias("plain"), n(True, F.col("clean") + F.col("scanned")).alias("n_own"), n(False, F.col("clean")).alias("n_joined"))
+    return known.filter("NOT plain OR n_own = 0 OR n_joined > n_own").select("id", "line_no")
 
 
-def misread_lines(pages: DataFrame, misread: DataFrame) -> DataFrame:
+def misread_lines(lines: DataFrame, misread: DataFrame) -> DataFrame:
     """(id, line_no, word, meant): lines with a word in which a character was read wrongly or lost. meant is null where nothing tells it.
 
     A word cut at the line end is looked up whole and counts for the line on which it departs from the word meant.
     """
-    lines = _lines(pages)
     whole = F.when(F.col("cut"), F.regexp_replace("line", LEFT, "")).otherwise(F.col("line"))
     whole = F.when(F.col("carried"), F.regexp_replace(whole, RIGHT, "")).otherwise(whole)
-    inside = F.transform(F.array_distinct(F.regexp_extract_all(_strokes_read(whole), F.lit(WORD), F.lit(0))), lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("left")))
+    inside = F.transform(F.array_distinct(F.regexp_extract_all(_strokes_read(F.col("whole")), F.lit(WORD), F.lit(0))), lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("left")))
     left = _strokes_read(F.regexp_extract("line", LEFT, 1))
     over = F.array(F.struct(F.concat(left, _strokes_read(F.regexp_extract("behind", RIGHT, 1))).alias("word"), F.length(left).alias("left")))
-    words = lines.select("id", "line_no", F.inline(F.when(F.col("cut"), F.concat(inside, over)).otherwise(inside)))
-    spoilt = F.col("line").rlike(SPOILT)
+    words = lines.withColumn("whole", whole).select("id", "line_no", F.inline(F.when(F.col("cut"), F.concat(inside, over)).otherwise(inside)))
+    spoilt = F.col("line").rlike(SPOILT_SIGN) & F.col("line").rlike(SPOILT)
     forms = misread.select(F.xxhash64("word").alias("h"), F.col("word").alias("form"), "meant")
-    if misread.count() <= MOST_BROADCAST:
+    size = misread.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("meant") + 48), F.lit(0))).first()[0]
+    if size <= MOST_BROADCAST:
         forms = F.broadcast(forms)
     same = F.expr("size(filter(sequence(1, length(meant)), i -> left(word, i) = left(meant, i)))")
     known = words.withColumn("h", F.xxhash64("word")).join(forms, "h").filter("word = form").select("id", (F.col("line_no") + F.when(same >= F.col("left"), 1).otherwise(0)).alias("line_no"), "word", "meant")
@@ -178,7 +193,7 @@ def misread_lines(pages: DataFrame, misread: DataFrame) -> DataFrame:
 
 
 _EDGE = " \t    .[]()|*~=_·•:—–-‒"
-_TOKEN = re.compile(r"[0-9०-९oOlISsB]+")
+_FIGURES = re.compile(r"\b(?=\w*\d)[0-9०-९oOlISsB]+\b")
 _NUMBER_FIRST = re.compile(r"^\W*?([0-9०-९oOlIS]{1,5})(?: {2,}|\t+| *[.·]{3,} *| +[–—|] +)(\S.*)$")
 _NUMBER_LAST = re.compile(r"^\s*(\S.*?)(?: {2,}|\t+| *[.·]{3,} *| +[–—|] +)([0-9०-९oOlIS]{1,5})\W*$")
 
@@ -191,9 +206,11 @@ def number(token: str) -> int | None:
 
 
 def _core(line: str) -> str:
-    return re.sub(r"\s+", " ", line.strip(_EDGE)).lower()
+    """What recurs of a line: in lower case, without adornment, its figures as one sign, since chapters are numbered too."""
+    return _FIGURES.sub("#", re.sub(r"\s+", " ", line.strip(_EDGE)).lower())
 
 
+@lru_cache(200_000)
 def _alike(a: str, b: str) -> bool:
     if not a or not b or abs(len(a) - len(b)) > 0.3 * max(len(a), len(b)):
         return False
@@ -201,13 +218,6 @@ def _alike(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= SAME_HEAD and m.quick_ratio() >= SAME_HEAD and m.ratio() >= SAME_HEAD
 
 
-def _is_chapter(core: str) -> bool:
-    parts = core.split()
-    if len(parts) != 2 or not re.fullmatch(r"[0-9०-९ivxlcos]{1,5}", parts[1]):
-        return False
-    return any(parts[0] == w or len(w) > 4 and _alike(parts[0], w) for w in CHAPTER_WORDS)
-
-
 def _page_number(line: str, own: int | None) -> bool:
     core = line.strip(_EDGE)
     parts = core.split()
@@ -223,48 +233,46 @@ def _page_number(line: str, own: int | None) -> bool:
     return n == own if own is not None else adorned or n < 1000
 
 
-EDGE_LINES = "doc string, id string, line_no int, kind string, core string, ends boolean"
+EDGE_LINES = "doc string, id string, line_no int, kind string, core string, number string, ends boolean"
 
 
-def edge_lines(group: pd.DataFrame) -> pd.DataFrame:
-    """(doc, id, line_no, kind, core, ends) of the lines at the edges of pages: heads, feet and page numbers that a page tells by itself, and, of null kind, those that are heads if they recur.
+def edge_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc, id, line_no, kind, core, number, ends) of the lines at the edges of pages: page numbers and heads with one, which a page tells by itself, and, of null kind, those that are heads if they recur.
 
-    The page's own number is the printed one, or else follows from the document's shift. A line is a head if it
-    resembles the title, carries the own number set apart, or is a chapter's name. ends: it may end a paragraph.
+    The page's own number is the printed one, or else follows from the document's shift. A line that carries the
+    own number set apart is a head; so is one that repeats the title, which is one more line of the document. number: the figures in the line. ends: it may end a paragraph.
     """
-    group = group.drop_duplicates("id")
-    title = next((_core(t) for t in group["title"] if t), "")
-    out = []
-    for page in group.itertuples():
-        own = int(page.page_num) if page.page_num is not None and page.page_num == page.page_num else page.k + int(page.shift) if page.shift is not None and page.shift == page.shift else None
-        edges = [(e["line_no"], e["line"]) for e in page.edges]
-        top, bottom = edges[:2], edges[2:][::-1]
-        for side in (top, bottom):
-            told = False
-            for rank, (no, line) in enumerate(side):
-                if not no or rank and not told:
-                    break
-                if _page_number(line, own):
-                    out.append((page.doc, page.id, no, "page_number", None, None))
-                    told = True
-                    continue
-                m, text, n = _NUMBER_FIRST.match(line), "", None
-                if m:
-                    n, text = number(m[1]), m[2]
-                if (not m or n is None or own is not None and n != own) and (m := _NUMBER_LAST.match(line)):
-                    n, text = number(m[2]), m[1]
-                set_apart = bool(m) and n is not None and (own is None or n == own) and len(text) < 80
-                core = _core(text if set_apart else line)
-                indented = not rank and bool(re.match(r"^ {3}\S", line)) and len(line) < 60 and line.rstrip()[-1:] not in "।!?॥…,;"
-                boxed = indented or bool(re.match(r"^\s*\[ .*\S \]\s*$", line)) and len(line) < 80
-                titled = bool(title) and (_alike(core, title) or len(core) >= 6 and len(core) >= 0.5 * len(title) and _alike(core, title[: len(core)]))
-                if set_apart or boxed or titled or _is_chapter(core):
-                    out.append((page.doc, page.id, no, "header", core, None))
-                    told = True
-                elif rank == 0 and len(core) < 80:
-                    # the tail of a paragraph can recur as well: a recurring line must be more than a word, and no end of a sentence
-                    out.append((page.doc, page.id, no, None, core, line.rstrip()[-1:] in "।!?॥…" or len(core.split()) < 2 and len(core) < 9))
-    return pd.DataFrame(out, columns=["doc", "id", "line_no", "kind", "core", "ends"])
+    for frame in frames:
+        out = []
+        for page in frame.itertuples():
+            title = _core(page.title or "")
+            own = int(page.page_num) if page.page_num is not None and page.page_num == page.page_num else page.k + int(page.shift) if page.shift is not None and page.shift == page.shift else None
+            edges = [(e["line_no"], e["line"]) for e in page.edges]
+            for side in (edges[:2], edges[2:][::-1]):
+                told = False
+                for rank, (no, line) in enumerate(side):
+                    if not no or rank and not told:
+                        break
+                    if _page_number(line, own):
+                        out.append((page.doc, page.id, no, "page_number", None, None, None))
+                        told = True
+                        continue
+                    m, text, n = _NUMBER_FIRST.match(line), "", None
+                    if m:
+                        n, text = number(m[1]), m[2]
+                    if (not m or n is None or own is not None and n != own) and (m := _NUMBER_LAST.match(line)):
+                        n, text = number(m[2]), m[1]
+                    set_apart = bool(m) and n is not None and (own is None or n == own)
+                    core = _core(text if set_apart else line)
+                    titled = bool(title) and (_alike(core, title) or len(core) >= 6 and len(core) >= 0.5 * len(title) and _alike(core, title[: len(core)]))
+                    if set_apart or titled:
+                        out.append((page.doc, page.id, no, "header", core, None, None))
+                        told = True
+                    elif rank == 0:
+                        # the tail of a paragraph can recur as well: a recurring line must be more than a word, and no end of a sentence
+                        figures = " ".join(_FIGURES.findall(line)) if "#" in core else None
+                        out.append((page.doc, page.id, no, None, core, figures, line.rstrip()[-1:] in "।!?॥…" or len(core.split()) < 2 and len(core) < 9))
+        yield pd.DataFrame(out, columns=["doc", "id", "line_no", "kind", "core", "number", "ends"])
 
 
 def _pairs(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,8 +340,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def heads_and_numbers(pages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(id, line_no, kind), kind header or page_number, of the scanned pages; distinct.
 
-    Only the lines at the edges are shuffled, by document and part of PAGES_AT_ONCE pages, so that no
-    document is one task. A line is also a head if it resembles an edge line of another page of the document,
+    Pages are judged where they are read; only the different lines at the edges are shuffled. A line is also a head if it resembles an edge line of another page of the document,
     however long that is: its different lines are compared in pairs of parts of LINES_AT_ONCE. titles (doc,
     title) are the documents' titles, if there are any.
     """
@@ -344,9 +351,9 @@ def heads_and_numbers(pages: DataFrame, titles: DataFrame | None = None) -> Data
     none = F.struct(F.lit(0).alias("line_no"), F.lit("").alias("line"))
     # the first two and the last two, these no line twice
     size = F.size("shown")
-    at = lambda i, ok: F.when(ok, F.struct(F.get("shown", i)["line_no"].alias("line_no"), F.substring(F.get("shown", i)["line"], 1, 120).alias("line"))).otherwise(none)
+    at = lambda i, ok: F.when(ok, F.struct(F.get("shown", i)["line_no"].alias("line_no"), F.regexp_replace(F.regexp_replace(F.get("shown", i)["line"], r" {4,}", "    "), r"\.{5,}", ".....").alias("line"))).otherwise(none)
     edges = F.array(at(F.lit(0), size > 0), at(F.lit(1), size > 1), at(size - 2, size > 3), at(size - 1, size > 2))
-    near = scanned.withColumn("shown", shown).select("doc", F.expr(f"k div {PAGES_AT_ONCE}").alias("part"), "id", "page_num", "k", edges.alias("edges"))
+    near = scanned.withColumn("shown", shown).select("doc", "id", "page_num", "k", edges.alias("edges")).distinct()
     # the usual distance of printed and counted number, of each document as a whole
     shifts = scanned.filter("page_num IS NOT NULL").select("doc", "id", (F.col("page_num") - F.col("k")).cast("long").alias("shift")).distinct().groupBy("doc", "shift").count()
     shifts = shifts.groupBy("doc").agg(F.max(F.struct("count", -F.abs("shift"), "shift"))["shift"].alias("shift"))
@@ -355,7 +362,7 @@ def heads_and_numbers(pages: DataFrame, titles: DataFrame | None = None) -> Data
         near = near.join(titles.select("doc", "title").filter("title IS NOT NULL").groupBy("doc").agg(F.max("title").alias("title")), "doc", "left")
     else:
         near = near.withColumn("title", F.lit(None).cast("string"))
-    told = materialise(near.groupBy("doc", "part").applyInPandas(edge_lines, EDGE_LINES), "scan-edge-lines")
+    told = materialise(near.mapInPandas(edge_lines, EDGE_LINES), "scan-edge-lines")
     each = told.filter("core IS NOT NULL").groupBy("doc", "core").agg(F.count("*").alias("n"), F.max(F.col("kind").isNotNull()).alias("head"))
     parts = each.groupBy("doc").agg(F.ceil(F.count("*") / LINES_AT_ONCE).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("core"), F.col("parts")).cast("int")
@@ -365,7 +372,11 @@ def heads_and_numbers(pages: DataFrame, titles: DataFrame | None = None) -> Data
     blocks = paired.groupBy("doc", "x", "y").agg(F.collect_list(F.struct("core", "head", "side")).alias("rows")).filter("size(rows) > 1")
     like = blocks.mapInArrow(_recurring, "doc string, core string, by_head boolean, again boolean").groupBy("doc", "core").agg(F.max("by_head").alias("by_head"), F.max("again").alias("again"))
     heads = each.join(like, ["doc", "core"], "left").select("doc", "core", (F.col("head") | F.coalesce("by_head", F.lit(False))).alias("sure"), ((F.col("n") >= 2) | F.coalesce("again", F.lit(False))).alias("again"))
-    found = told.filter("kind IS NULL").join(heads, ["doc", "core"]).filter("sure OR again AND NOT ends").select("id", "line_no", F.lit("header").alias("kind"))
+    # words with a number that stand at the edges of several documents, with several numbers, name chapters
+    named = told.filter("kind IS NULL AND number IS NOT NULL").filter(F.col("core").rlike(r"\p{L}") & (F.size(F.split("core", " ")) <= CHAPTER_WORDS))
+    named = named.groupBy("core").agg(F.count_distinct("doc").alias("docs"), F.count_distinct("number").alias("numbers")).filter(f"docs >= {CHAPTER_DOCS} AND numbers >= {CHAPTER_DOCS}")
+    maybe = told.filter("kind IS NULL").join(heads, ["doc", "core"]).join(named.select("core", F.lit(True).alias("named")), "core", "left")
+    found = maybe.filter("sure OR named OR again AND NOT ends").select("id", "line_no", F.lit("header").alias("kind"))
     return told.filter("kind IS NOT NULL").select("id", "line_no", "kind").unionByName(found).distinct()
 
 
@@ -377,11 +388,12 @@ def scan_noise(raw: DataFrame, titles: DataFrame | None = None) -> tuple[DataFra
     """
     pages = raw.filter("text IS NOT NULL AND id IS NOT NULL").select("id", "text", F.col("meta.page_num").alias("page_num"), F.coalesce(F.col("meta.origin"), F.lit("")).alias("origin"))
     vocab = materialise(vocabulary(pages), "scan-vocabulary")
+    lines = materialise(scanned_lines(pages), "scan-lines")
     edges = materialise(heads_and_numbers(pages, titles), "scan-edges")
     misread = materialise(misread_words(vocab), "scan-misread")
     body = edges.select("id", "line_no")
-    words = misread_lines(pages, misread).join(body, ["id", "line_no"], "left_anti")
-    cuts = cut_words(pages, vocab).join(body, ["id", "line_no"], "left_anti").join(body.select("id", (F.col("line_no") - 1).alias("line_no")), ["id", "line_no"], "left_anti")
+    words = misread_lines(lines, misread).join(body, ["id", "line_no"], "left_anti")
+    cuts = cut_words(lines, vocab).join(body, ["id", "line_no"], "left_anti").join(body.select("id", (F.col("line_no") - 1).alias("line_no")), ["id", "line_no"], "left_anti")
     kinds = edges.unionByName(cuts.withColumn("kind", F.lit("hyphen"))).unionByName(words.select("id", "line_no").distinct().withColumn("kind", F.lit("misread")))
     return kinds, words
 

@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from tantu.llm import encoding, scans, sentences, spelling
@@ -221,9 +222,8 @@ def test_near_texts_leave_out_none_alike():
     assert alike <= found and len(alike) > 60
 
 
-@pytest.mark.parametrize(("pages_of", "lines_of"), [(256, 1024), (7, 5)])
-def test_heads_of_long_documents(spark, monkeypatch, pages_of, lines_of):
-    monkeypatch.setattr(scans, "PAGES_AT_ONCE", pages_of)
+@pytest.mark.parametrize("lines_of", [1024, 5])
+def test_heads_of_long_documents(spark, monkeypatch, lines_of):
     monkeypatch.setattr(scans, "LINES_AT_ONCE", lines_of)
     rng = random.Random(2)
     heads = {3: "of rivers and old bridges", 290: "of riuers amd old brjdges", 10: "letters from the market", 300: "letters from the market"}
@@ -236,6 +236,39 @@ def test_heads_of_long_documents(spark, monkeypatch, pages_of, lines_of):
     assert got == {(f"d#{k}", "header") for k in heads} | {("d#300", "page_number")}
 
 
+def headed(spark, rows):
+    found = scans.heads_and_numbers(pages(spark, rows).select("id", "text", "meta.page_num", "meta.origin"))
+    return {r["id"] for r in found.filter("kind = 'header' AND line_no = 1").collect()}
+
+
+@pytest.mark.parametrize("n", [20, 60, 300, 2000])
+def test_noisy_head_at_any_length(spark, n):
+    rng = random.Random(n)
+    head = "a history of the northern rivers and their bridges"
+    noisy = lambda: "".join(rng.choice("abcdefghijklmnop") if c != " " and rng.random() < 0.05 else c for c in head)
+    rows = [(f"d#{k}", f"{noisy()}\n\n{BODY}\nand on", None, "scan") for k in range(1, n + 1)]
+    # a document beside it whose first lines never recur
+    rows += [(f"e#{k}", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(50)) + f"\n\n{BODY}\nand on", None, "scan") for k in range(1, 41)]
+    got = headed(spark, rows)
+    assert len(got) >= 0.95 * n and all(i.startswith("d#") for i in got)
+
+
+def test_long_head_and_chapters(spark):
+    long = "the complete and unabridged account of a very long journey " * 4
+    rows = [(f"d#{k}", f"{long}\n\n{BODY}\nand on", None, "scan") for k in (1, 2)]
+    # names of chapters recur over documents, each time with another number; a year by itself is none
+    rows += [(f"c{k}#1", f"[ Kapittel {k} ]\n\n{BODY}\nand on", None, "scan") for k in range(1, 6)]
+    rows += [(f"y{k}#1", f"{1800 + 7 * k}\n\n{BODY}\nand on", 5, "scan") for k in range(1, 6)]
+    assert headed(spark, rows) == {"d#1", "d#2"} | {f"c{k}#1" for k in range(1, 6)}
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = scan_rows()
+    once = pages(spark, rows).withColumn("line", F.lit("x")).withColumn("word", F.lit(1))
+    twice = once.unionByName(once)
+    assert sorted(scans.scan_noise(once)[0].collect()) == sorted(scans.scan_noise(twice)[0].collect())
+
+
 def test_scans_empty(spark):
     kinds, words = scans.scan_noise(pages(spark, []))
     assert kinds.count() == 0 and words.count() == 0
