@@ -20,8 +20,14 @@ READ_AS_CJK = ("gbk", "cp932", "big5", "cp949", "euc_jp")
 WITH_CONTROLS = frozenset(("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-15", "iso8859-2", "cp1254", "cp1253", "cp874", "cp1256"))
 #: Older encodings in which bytes that are not UTF-8 may have been written, by the encoding they were read in.
 WRITTEN_IN = {"cp1251": ("cp1252",), "cp1252": ("cp874", "cp1256", "cp1251"), "latin-1": ("cp874", "cp1256", "cp1251"), "mac_roman": ("cp1252",), "cp437": ("cp1252",), "cp850": ("cp1252",)}
+#: What whole stretches may have been written in, by what they were read in; a stretch says more than a word.
+STRETCH_READ_AS = ("latin-1", "cp1252", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac_roman")
+STRETCH_WRITTEN_IN = ("cp1251", "koi8-r", "iso8859-5", "cp866", "iso8859-7", "cp1253", "cp1255", "cp932", "euc_jp", "gbk", "big5", "euc_kr")
 #: A step of the search costs so much, one through an older encoding so much more; a text counts as restored if its cost falls by MARGIN at least.
-STEP, OLDER, MARGIN, MOST_EXPANDED = 0.25, 1.5, 0.6, 40
+#: A way through texts that cost more than the best by DETOUR is given up.
+STEP, OLDER, MARGIN, DETOUR = 0.25, 1.5, 0.6, 3.0
+#: A whole page is read anew only if its cost falls by so much, and to less than this share, and if that gives so many letters of other alphabets.
+STRETCH_MARGIN, STRETCH_SHARE, STRETCH_LETTERS = 3.0, 0.5, 12
 
 #: Cyrillic and Greek letters that look like Latin ones: such a letter in a Latin word is a matter of spelling, not of encoding.
 LOOK_ALIKE = frozenset("асеорхуіѕјһԁԛԝАВЕКМНОРСТХУІЅЈԌαοιντυρκγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
@@ -38,7 +44,9 @@ _RUN = re.compile(f"[A-Za-z]?[{_QUIET}]*[^\\x00-\\x7f{_OWN}{_QUIET}][^\\x00-\\x7
 _CJK = re.compile("[　-ヿ㐀-鿿豈-﫿＀-￯⺀-⿟-�‐-※·∀-◿Α-ё€]*[぀-ヿ㐀-鿿｡-ﾟ][　-ヿ㐀-鿿豈-﫿＀-￯⺀-⿟-�‐-※·∀-◿Α-ё€]*")
 _SUSPECT, _IDEOGRAPH = re.compile(f"[^\\x00-\\x7f{_OWN}{_QUIET}]"), re.compile("[぀-ヿ㐀-鿿｡-ﾟ]")
 _ENTITY = re.compile(r"&(?:#\d{2,7}|#x[0-9A-Fa-f]{2,6}|[A-Za-z]{2,8});")
-_LOST = re.compile("�")
+_STRETCH = re.compile(f"[^\n{_OWN}]+")
+_BEYOND, _VISIBLE = re.compile(r"[^\x00-\x7f]"), re.compile(r"\S")
+_BYTES = re.compile("[\x00-\x08\x0e-\x1f]")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
 
@@ -75,6 +83,8 @@ def _kind(c: str) -> tuple[float, str]:
         return 0.7, "L"
     if 0x370 <= o < 0x530:
         return (0.1, "") if c in LOOK_ALIKE else (0.12, "G" if o < 0x400 else "C") if o < 0x450 or o == 0x451 else (0.7, "C")
+    if 0x05D0 <= o < 0x05EB:
+        return 0.12, "H"
     if 0x0900 <= o < 0x0980:
         return 0.05, "D"
     if 0x0E01 <= o < 0x0E5C:
@@ -99,9 +109,9 @@ def implausibility(text: str) -> float:
     """How unlikely it is that anyone wrote these characters.
 
     Costs of the characters, 1.5 for each change of script inside a word, 1 for a symbol against a letter and
-    1.5 for an accented capital after a small letter.
+    1.5 for a capital beyond ASCII after a small letter and for blanks beyond ASCII in a row.
     """
-    total, before, last = 0.0, "", ""
+    total, before, last = 0.0, "", "."
     for c in text:
         k = _KINDS.get(c)
         if k is None:
@@ -110,7 +120,7 @@ def implausibility(text: str) -> float:
         script = k[1]
         if script and before and script != before:
             total += 1.5 if script != "?" and before != "?" else 1.0
-        elif script == "L" and c > "\x7f" and last.islower() and c.isupper():
+        elif c > "\x7f" and (last.islower() and c.isupper() or last in INVISIBLE and c in INVISIBLE):
             total += 1.5
         before, last = script, c
     return total
@@ -146,19 +156,18 @@ def search(text: str, readings: tuple[str, ...] = READ_AS) -> tuple[float, str,
     is its implausibility and that of the steps to it, the cost of bytes what they promise.
     """
     start = implausibility(text)
-    best, order, expanded = (start, text, ()), 0, 0
+    best, order = (start, text, ()), 0
     seen, seen_bytes = {hash(text)}, set()  # apart: a text and its bytes can hash alike
     heap: list[tuple[float, int, float, str | bytes, Way, str]] = [(start, order, 0.0, text, (), "")]
-    while heap and expanded < MOST_EXPANDED:
+    while heap:
         cost, _, steps, state, way, read_as = heapq.heappop(heap)
-        expanded += 1
         found: list[tuple[str, float, Way]] = []
         if isinstance(state, bytes):
             found = [(t, step, (*way, (read_as, name))) for t, step, name in _decoded(state, read_as)]
         else:
             if cost < best[0]:
                 best = (cost, state, way)
-            if len(way) >= 3 or cost > best[0] + 3:
+            if cost > best[0] + DETOUR:
                 continue
             if "&" in state:
                 found = [(html.unescape(state), 0.0, way)]
@@ -209,13 +218,52 @@ def _runs(text: str) -> Iterator[tuple[re.Match, bool]]:
             yield m, True
 
 
+def _reread(text: str, read_as: str, written: str) -> str | None:
+    try:
+        return text.encode(read_as, "tantu-mark" if read_as in WITH_CONTROLS else "strict").decode(written)
+    except UnicodeError:
+        return None
+
+
+def _whole_reread(text: str) -> tuple[float, str] | None:
+    """(cost of the whole, text) with every stretch between letters of scripts of its own read in the one pair of encodings that suits the page best; None where none does.
+
+    A word alone can be read in several ways; the words of a page are far less likely to be all of them words by chance.
+    """
+    # letters with accents are few among others; what was misread is hardly anything else
+    stretches = Counter(t for m in _STRETCH.finditer(text) if _SUSPECT.search(t := m.group()) and 2 * len(_BEYOND.findall(t)) >= len(_VISIBLE.findall(t)))
+    before = {t: implausibility(t) for t in stretches}
+    cost = sum(n * before[t] for t, n in stretches.items())
+    best: tuple[float, dict[str, str]] | None = None
+    if cost > STRETCH_MARGIN:
+        for read_as in STRETCH_READ_AS:
+            for written in STRETCH_WRITTEN_IN:
+                new = {t: r for t in stretches if read_as != written and (r := _reread(t, read_as, written)) is not None}
+                after = sum(n * (implausibility(new[t]) if t in new else before[t]) for t, n in stretches.items()) + STEP + OLDER
+                if new and (best is None or after < best[0]):
+                    best = (after, new)
+    elif _BYTES.search(text):
+        cost, stretches = implausibility(text), Counter([text])
+        for written in ("utf-16-le", "utf-16-be"):
+            r = _reread(text, "latin-1", written)
+            if r is not None and (best is None or implausibility(r) + STEP + OLDER < best[0]):
+                best = (implausibility(r) + STEP + OLDER, {text: r})
+    if best is None or best[0] >= STRETCH_SHARE * cost or cost - best[0] <= STRETCH_MARGIN:
+        return None
+    letters = sum(c > "\u024f" and c.isalpha() for t in best[1].values() for c in t)
+    if letters < STRETCH_LETTERS:
+        return None
+    after = implausibility(text) - cost + best[0] - STEP - OLDER
+    return after, best[1][text] if text in best[1] else _STRETCH.sub(lambda m: best[1].get(m.group(), m.group()), text)
+
+
 def is_garbled(text: str, scan: bool) -> bool:
     """Whether some stretch was decoded wrongly, restorable or not. Single lost characters of a scan are no sign."""
     if text.isascii():
-        return bool(_ENTITY.search(text)) and _restored_entities(text) != text
+        return bool(_ENTITY.search(text)) and _restored_entities(text) != text or bool(_BYTES.search(text)) and _whole_reread(text) is not None
     if _CONTROL.search(text) or ("�" in text and (not scan or "��" in text)):
         return True
-    return any(_better(m.group(), cjk) is not None for m, cjk in _runs(text))
+    return any(_better(m.group(), cjk) is not None for m, cjk in _runs(text)) or _whole_reread(text) is not None
 
 
 def _restored_entities(text: str) -> str:
@@ -231,6 +279,11 @@ def restored(text: str) -> str:
     could be read in several ways, follow the others.
     """
     text = _restored_entities(text) if "&" in text else text
+    whole, text = _whole_reread(text), _restored_runs(text)
+    return whole[1] if whole is not None and whole[0] <= implausibility(text) else text
+
+
+def _restored_runs(text: str) -> str:
     for pattern, cjk in ((_RUN, False), (_CJK, True)):
         runs = Counter(m.group() for m in pattern.finditer(text))
         ways = {better[1] for run in runs if (better := _better(run, cjk))}

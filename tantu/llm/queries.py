@@ -128,6 +128,12 @@ def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_bounds(table(spark, d, "doc_raw"), with_text=True)
 
 
+def p6_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The visible characters of every page, counted over its sentences."""
+    shown = F.length(F.regexp_replace("sentence", r"[\s\p{Z}\p{Cc}\p{Cf}]", ""))
+    return p6_sentences(spark, d).groupBy("id").agg(F.sum(shown).cast("long").alias("n_visible"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_pages(table(spark, d, "doc_raw"))
 
@@ -136,6 +142,13 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_pages(table(spark, d, "doc_raw"), restore=True).select("id", "restored")
 
 
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Titles beyond ASCII, their UTF-8 read as Latin-1, and restored."""
+    titles = table(spark, d, "documents").filter(F.col("title").rlike(r"[^\x00-\x7F]"))
+    bad = titles.select(F.col("sha256").alias("id"), F.decode(F.encode("title", "UTF-8"), "ISO-8859-1").alias("text"), F.struct(F.lit("feed").alias("origin")).alias("meta"))
+    return encoding.garbled_pages(bad, restore=True).select("id", F.col("restored").alias("title"))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     spec = _spec(spark, d, "pack")
     return packing.pack_texts(table(spark, d, "documents"), spec["n_tokens"])
@@ -191,7 +204,7 @@ def p10_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p2_numbers, p2_paragraphs, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p4_clean, p5_found, p5_frequencies, p6_found, p6_sentences, p7_found, p7_restored, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
+    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p2_numbers, p2_paragraphs, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p4_clean, p5_found, p5_frequencies, p6_found, p6_sentences, p6_cover, p7_found, p7_restored, p7_round_trip, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
 
 
 COUNTED = """
@@ -251,6 +264,10 @@ SELECT * FROM marked WHERE verdict IS NOT NULL""",
     "p9_found": """
 SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source) s ON s.source = t.source
 WHERE t.max_repeat * coalesce(s.n, 0) < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",
+    "p6_cover": r"""
+WITH p AS (SELECT DISTINCT id, text FROM doc_raw), n AS (SELECT id, length(regexp_replace(text, '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g')) AS n FROM p)
+SELECT id, sum(n)::BIGINT AS n_visible FROM n WHERE n > 0 GROUP BY id""",
+    "p7_round_trip": "SELECT sha256 AS id, title FROM documents WHERE regexp_matches(title, '[^\\x00-\\x7F]')",
     "p8_fill": "SELECT count(*) FILTER (text <> '') AS n_texts, 0::BIGINT AS n_over, 0::BIGINT AS n_gaps, 0::BIGINT AS n_needless, true AS well_filled FROM documents",
     "p9_kept": """
 WITH s AS (SELECT source, sum(strlen(text)) AS n FROM documents GROUP BY source), t AS (SELECT sum(strlen(text))::BIGINT AS total FROM documents)

@@ -9,9 +9,18 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 # Abbreviations after which a sentence goes on, by script, and those that may also end one.
-LATIN_ABBREVIATIONS = frozenset(
-    "mr mrs ms dr prof st no nr p pp vol fig vs e.g i.e ca bzw z.b d.h u.a vgl s bd abb hrsg sog gen col capt sen rev hon jr sr ed eds op cf approx dept est inc ltd max min jan feb mar apr jun jul aug sep sept oct nov dec tel str geb evtl ggf inkl mio mrd ph.d".split()
-)
+LATIN_ABBREVIATIONS = {
+    "": "dr prof st no nr p vol vs ca max min ed eds op cf approx ph.d jr sr tel".split(),
+    "en": "mr mrs ms messrs pp fig figs e.g i.e sgt cpl lt maj gen col capt cmdr adm gov pres sen rep rev hon supt dept est inc ltd corp bros co assn univ ave blvd rd mt ft jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun viz al".split(),
+    "de": "bzw z.b d.h u.a vgl s bd bde abb hrsg sog str geb evtl ggf inkl exkl mio mrd hr fr frl dipl ing jh jhd kap abs art aufl anm ebd gest verh gegr okt dez mär sept jan feb apr jun jul aug nov u.ä o.ä i.d.r z.t v.a s.o s.u".split(),
+    "fr": "m mm mme mmes mlle me av bd chap éd env fig janv févr avr juil sept oct nov déc p.ex c.-à-d".split(),
+    "es": "sr sra srta ud uds vd av avda cap ej pág págs núm ene abr ago dic p.ej ee.uu".split(),
+}
+#: Common words by which a text's language is told.
+FUNCTION_WORDS = {
+    "en": "the of and to in is was that it for with".split(), "de": "der die das und den dem ist nicht ein eine".split(),
+    "fr": "le la les des et est une dans que pas".split(), "es": "el los las del y es una que por con".split(),
+}
 ENDING_ABBREVIATIONS = frozenset("a.m p.m b.c a.d etc usw b.c.e c.e u.s u.k".split())
 DEVANAGARI_ABBREVIATIONS = frozenset("डॉ प्रा श्री श्रीमती सौ कु पं स सं ता इ ई इ.स ई.स इ.स.पू ई.पू रु क्र पृ उदा कि.मी कि.ग्रॅ से.मी मि वि अ.क्र चि मा ले क".split()) - {"क"}
 THAI_ABBREVIATIONS = ("พ.ศ.", "ค.ศ.", "ดร.", "น.", "ม.", "กม.", "จ.", "อ.", "ต.", "ถ.", "รศ.", "ผศ.", "ศ.", "น.ส.", "ด.ช.", "ด.ญ.")
@@ -42,7 +51,9 @@ _SINGLE = regex.compile(r"\p{L}\p{M}*$")
 _LIST_MARK = regex.compile(r"[(\[]?(?:[\p{Nd}]{1,3}|\p{L}\p{M}*)[.)\]]*$")
 _PAIR_AFTER = regex.compile(r"\s+\p{L}\p{M}*\.(?=\s|$)")
 _PAIR_BEFORE = regex.compile(r"(?:^|\s)\p{L}\p{M}*\.\s+$")
-_GERMAN = regex.compile(r"\b(?:der|die|das|und|den|dem|ist|nicht|ein|eine)\b")
+_FUNCTION = {k: regex.compile(r"\b(?:" + "|".join(w) + r")\b") for k, w in FUNCTION_WORDS.items()}
+_ABBREVIATIONS = {k: frozenset(LATIN_ABBREVIATIONS[""]) | frozenset(w) for k, w in LATIN_ABBREVIATIONS.items() if k} | {"": frozenset(x for w in LATIN_ABBREVIATIONS.values() for x in w)}
+_LATIN = regex.compile(r"\p{Latin}")
 _ATTRIBUTION_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _THAI = regex.compile(r"\p{Thai}")
 _NOT_SPEECH = regex.compile(rf"[{_INVISIBLE}]*")
@@ -52,6 +63,15 @@ _CLOSING = frozenset("”’)]}›")
 _OPENED_BY = {"»": "«", "«": "»", "“": "„", "‘": "‚", "‹": "›"}
 
 
+def latin_language(text: str) -> str:
+    """The language whose function words are the most, more than two; "" where none are, so that the abbreviations of all count."""
+    if not _LATIN.search(text):
+        return ""
+    found = {k: len(r.findall(text)) for k, r in _FUNCTION.items()}
+    best = max(found, key=found.get)
+    return best if found[best] > 2 else ""
+
+
 def _closed(p: str, m: regex.Match) -> int:
     """The candidate's end with the quotes that close; directly before a letter some may open what follows."""
     end = m.end("t")
@@ -70,7 +90,7 @@ def _closed(p: str, m: regex.Match) -> int:
     return end
 
 
-def _goes_on(p: str, start: int, m: regex.Match, end: int, german: bool) -> bool:
+def _goes_on(p: str, start: int, m: regex.Match, end: int, lang: str) -> bool:
     """Whether the sentence that began at ``start`` of the paragraph goes on behind the candidate that ends at ``end``."""
     mark, closing = _STRIP.sub("", m.group("t")), _STRIP.sub("", p[m.end("t") : end])
     if m.group("tight") is not None and _IN_WORD.fullmatch(p[max(0, m.start() - 1) : m.end() + 1]):
@@ -100,7 +120,7 @@ def _goes_on(p: str, start: int, m: regex.Match, end: int, german: bool) -> bool
         return False
     last = word[-1]
     if last.isdigit():
-        return german and word.isdigit() and len(word) <= 2 and not before.endswith("S. " + word)
+        return lang == "de" and word.isdigit() and len(word) <= 2 and not before.endswith("S. " + word)
     if "\u0e00" <= last <= "\u0e5b":
         return True
     if "ऀ" <= last <= "ॿ":
@@ -113,7 +133,7 @@ def _goes_on(p: str, start: int, m: regex.Match, end: int, german: bool) -> bool
         low = word.lower()
         if low in ENDING_ABBREVIATIONS:
             return not head.isupper()
-        if low in LATIN_ABBREVIATIONS or len(word) == 1 and (word.isupper() or german) or regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word):
+        if low in _ABBREVIATIONS[lang] or len(word) == 1 and (word.isupper() or lang == "de") or regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word):
             return True
         return head.islower()
     return False
@@ -172,7 +192,7 @@ def _thai_stop(p: str, m: regex.Match) -> bool:
 def sentence_ends(text: str) -> list[int]:
     """End of every sentence: the number of characters through its last visible one."""
     ends: list[int] = []
-    german = len(_GERMAN.findall(text)) > 2
+    lang = latin_language(text)
     at = 0
     for gap in [*_BLANK.finditer(text), None]:
         stop = gap.start() if gap else len(text)
@@ -186,7 +206,7 @@ def sentence_ends(text: str) -> list[int]:
             for end, m, term in marks:
                 if end > last or m.start() < start or end <= start:
                     continue
-                if term and not _goes_on(p, start, m, end, german) or not term and _thai_stop(p, m):
+                if term and not _goes_on(p, start, m, end, lang) or not term and _thai_stop(p, m):
                     shown = end - len(_VISIBLE_END.search(p[start:end]).group())
                     if shown > start:
                         ends.append(at + shown)

@@ -60,6 +60,33 @@ def test_sound_text_is_left_alone(text):
     assert not encoding.is_garbled(text, False) and encoding.restored(text) == text
 
 
+WHOLE = {
+    ("cp1251", "latin-1"): "Добрый день, как дела. Это ещё одно предложение, чтобы было понятно.", ("koi8-r", "latin-1"): "Добрый день, как дела. Это ещё одно предложение.",
+    ("cp1251", "iso8859-5"): "Добрый день, как дела. Это ещё одно предложение, чтобы было понятно.", ("utf-16-le", "latin-1"): "Добрый день, как дела",
+    ("cp932", "latin-1"): "こんにちは、世界。今日はいい天気ですね。", ("euc_jp", "cp1252"): "こんにちは、世界。今日はいい天気ですね。", ("gbk", "latin-1"): "你好，世界。今天天气很好。明天我们去北京看朋友。",
+    ("iso8859-7", "cp1252"): "Γειά σου κόσμε, τι κάνεις", ("cp866", "cp1251"): "Добрый день, как дела. Это ещё одно предложение.",
+}
+
+
+@pytest.mark.parametrize(("written", "read"), WHOLE)
+def test_whole_pages_in_older_encodings(written, read):
+    text = WHOLE[written, read]
+    bad = text.encode(written).decode(read)
+    assert encoding.is_garbled(bad, False) and encoding.restored(bad) == text
+
+
+def test_read_wrongly_many_times():
+    bad = "naïve café"
+    for _ in range(5):
+        bad = bad.encode().decode("latin-1")
+        assert encoding.is_garbled(bad, False) and encoding.restored(bad) == "naïve café"
+
+
+def test_pages_with_accents_are_sound():
+    for text in ("Schön einem in und dem! Hambrücke, Mühle, Straße über Flüsse. " * 9, "L’été, ça va très bien à l’école où l’élève étudie. " * 9, "Добрый день, как дела. МОСКВА. " * 9, "¬ ¬ ¬ and nothing else ¬ ¬ ¬ ¬ ¬"):
+        assert not encoding.is_garbled(text, False)
+
+
 def test_lost_characters():
     assert encoding.is_garbled("the ��� word", False) and encoding.is_garbled("a�b", False)
     assert not encoding.is_garbled("th�t", scan=True)
@@ -157,6 +184,19 @@ def test_sentences_without_a_space_between(text, want):
     test_sentences(text, want)
 
 
+@pytest.mark.parametrize(
+    ("lang", "text"),
+    [("en", "The band of Sgt. Pepper was in the hall, and it is good. It is."), ("de", "Der Hr. Müller ist da, und das Kind nicht. Die Frau ist es."), ("fr", "Mme. Curie est dans la salle, et les autres pas. Elle est là."), ("es", "La Sra. López es una de las que llegaron por la tarde. El resto no.")],
+)
+def test_abbreviations_by_language(lang, text):
+    assert sentences.latin_language(text) == lang and len(sentences.sentence_ends(text)) == 2
+
+
+def test_scripts_without_a_space_between():
+    for text in ("यह एक वाक्य है।दूसरा वाक्य।", "မြန်မာစကား။နောက်တစ်ခု။", "នេះជាប្រយោគ។មួយទៀត។"):
+        assert len(sentences.sentence_ends(text)) == 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab A.!?।।“”\"() \n。！กข ๆ१​", max_size=60))
 def test_sentence_ends_cover_the_text(text):
