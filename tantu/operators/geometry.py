@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tantu.functions.vectors import cosine, norm
+from tantu.operators.joins import average_rank, numbered
 from tantu.operators.svd import covariance
+from tantu.session import materialise
 
 #: Rows of the blocks that are compared with each other.
 BLOCK = 4096
@@ -60,8 +62,16 @@ def exact_neighbours(queries: DataFrame, base: DataFrame, k: int, *, block: int
 
 
 def sampled(vectors: DataFrame, size: int | None, seed: int = 42) -> DataFrame:
-    """At most size vectors, first in the order of a hash of the id: the same at any partitioning. None: all."""
-    return vectors if size is None else vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size)
+    """At most size vectors, first in the order of a hash of the id: the same at any partitioning. None: all.
+
+    Rows whose hash lies well beyond the share wanted are left out before the order is made.
+    """
+    if size is None:
+        return vectors
+    h, n = F.xxhash64("id", F.lit(seed)), vectors.count()
+    share = min(1.0, 1.2 * size / n + 100 / n) if n else 1.0
+    near = vectors.filter(h < int(-(2**63) + share * 2**64)) if share < 1 else vectors
+    return near.orderBy(h, "id").limit(size)
 
 
 def nearest_words(vectors: DataFrame, word: str, n: int, *, words: str = "word", vector: str = "vec") -> DataFrame:
@@ -86,9 +96,11 @@ def sampled_pairs(n: int, n_pairs: int, seed: int, spark) -> DataFrame:
 
 
 def cosine_distribution(vectors: DataFrame, *, n_pairs: int = 100_000, seed: int = 42) -> DataFrame:
-    """One row over sampled pairs of (id, vec), ids dense from 0: mean, population deviation, median, 5th and 95th percentile, label."""
-    n = max(vectors.count(), 1)
-    pairs = sampled_pairs(n, n_pairs, seed, vectors.sparkSession)
+    """One row over sampled pairs of (id, vec), by their place in the order of the ids: mean, population deviation, median, 5th and 95th percentile, label."""
+    n, first, last = vectors.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if n and (first, last) != (0, n - 1):
+        vectors = numbered(vectors, F.col("id"), out="__k").select(F.col("__k").alias("id"), "vec")
+    pairs = sampled_pairs(max(n, 1), n_pairs, seed, vectors.sparkSession)
     left, right = vectors.select(F.col("id").alias("i"), F.col("vec").alias("a")), vectors.select(F.col("id").alias("j"), F.col("vec").alias("b"))
     c = pairs.join(left, "i").join(right, "j").select(cosine(F.col("a"), F.col("b")).alias("c"))
     out = c.agg(F.count("c").alias("n_pairs"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.median("c").alias("median"), F.percentile("c", F.lit(0.05)).alias("p5"), F.percentile("c", F.lit(0.95)).alias("p95"))
@@ -153,17 +165,10 @@ def overlap(found: DataFrame, k_values: tuple[int, ...] = (5, 10, 20)) -> DataFr
     return out
 
 
-def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """df with the rank of the column, equal values at their mean rank. Counted by value, so equal values are no single group of rows."""
-    values = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(column, (before + (F.col("__n") + 1) / 2).alias(out))
-    return df.join(ranks, column)
-
-
 def frequency_norm(vectors: DataFrame, *, tf: str = "tf", vector: str = "vec", least: int = 10) -> DataFrame:
     """One row: Pearson and Spearman correlation of ln(1 + tf) with the length, over terms with tf > 0; null below ``least`` terms."""
     rows = vectors.filter((F.col(tf) > 0) & F.col(vector).isNotNull()).select(F.log1p(tf).alias("x"), norm(F.col(vector)).alias("y")).filter(~F.isnan("y") & (F.col("y") < float("inf")))
+    rows = materialise(rows, "frequency-norm")
     ranked = average_rank(average_rank(rows, "x", "rx"), "y", "ry")
     out = ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
     out = out.select("n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman")])

@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tantu.operators.joins import spread_join
+from tantu.session import materialise
 
 
 def counts(fragments: DataFrame) -> DataFrame:
-    """(row, col, tf) of fragments with id and token_ids."""
-    return fragments.select(F.col("id").alias("row"), F.explode("token_ids").alias("col")).groupBy("row", "col").agg(F.count("*").alias("tf"))
+    """(row, col, tf) of fragments with token_ids and, once numbered, row; else the id is the row."""
+    row = F.col("row") if "row" in fragments.columns else F.col("id").alias("row")
+    return fragments.select(row, F.explode("token_ids").alias("col")).groupBy("row", "col").agg(F.count("*").alias("tf"))
 
 
-def _n_rows(tf: DataFrame) -> DataFrame:
-    return F.broadcast(tf.agg(F.count_distinct("row").alias("n")))
+def _of_columns(tf: DataFrame, *sums: Column) -> tuple[DataFrame, int]:
+    """(col, df, n, ...) with n the number of rows with an entry, and the largest df."""
+    g = materialise(tf.groupBy("col").agg(F.count("*").alias("df"), *sums), "matrix-columns")
+    n = F.broadcast(tf.agg(F.count_distinct("row").alias("n")))
+    return g.crossJoin(n), g.agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
 
 
 def tf_idf(tf: DataFrame) -> DataFrame:
     """(row, col, value) with ln(1 + tf) ln(N / df); N counts the rows with an entry. Columns of every row get 0."""
-    df = tf.groupBy("col").agg(F.count("*").alias("df"))
-    return tf.join(df, "col").crossJoin(_n_rows(tf)).select("row", "col", (F.log1p("tf") * F.ln(F.col("n") / F.col("df"))).alias("value"))
+    g, most = _of_columns(tf)
+    return spread_join(tf, g, "col", most).select("row", "col", (F.log1p("tf") * F.ln(F.col("n") / F.col("df"))).alias("value"))
 
 
 def log_entropy(tf: DataFrame) -> DataFrame:
     """(row, col, value) with ln(1 + tf) (1 - H / ln N), H the entropy of the column over its rows; null if there is one row only."""
-    g = tf.groupBy("col").agg(F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.ln("tf")).alias("tlt"))
+    g, most = _of_columns(tf, F.sum("tf").alias("gf"), F.sum(F.col("tf") * F.ln("tf")).alias("tlt"))
     entropy = F.ln("gf") - F.col("tlt") / F.col("gf")
     weight = 1 - F.try_divide(entropy, F.nullif(F.ln("n"), F.lit(0.0)))
-    return tf.join(g, "col").crossJoin(_n_rows(tf)).select("row", "col", (F.log1p("tf") * weight).alias("value"))
+    return spread_join(tf, g, "col", most).select("row", "col", (F.log1p("tf") * weight).alias("value"))
 
 
 #: Weightings by name; more can be put in.
@@ -35,9 +42,10 @@ WEIGHTINGS: dict[str, Callable[[DataFrame], DataFrame]] = {"tf-idf": tf_idf, "lo
 
 
 def weighted(tf: DataFrame, weighting: str) -> DataFrame:
+    """The counts, written once, under the weighting of that name."""
     if weighting not in WEIGHTINGS:
         raise ValueError(f"no such weighting: {weighting}")
-    return WEIGHTINGS[weighting](tf)
+    return WEIGHTINGS[weighting](materialise(tf, "matrix-counts"))
 
 
 def stats(tf: DataFrame) -> DataFrame:

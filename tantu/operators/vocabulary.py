@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Lemmas of one frequency are numbered in groups of the same first characters.
-PREFIX = 2
+from tantu.operators import joins
 
 
 def frequencies(tokens: DataFrame, *, term: str = "lemma", doc: str = "doc_id") -> DataFrame:
@@ -38,18 +37,8 @@ def filtered(terms: DataFrame, docs: DataFrame, *, min_df: float = 2, max_df: fl
 
 
 def numbered(terms: DataFrame, *, term: str = "lemma") -> DataFrame:
-    """(idx, term, tf, df): numbers from 0 by falling tf, then term.
-
-    No window runs over the whole vocabulary: terms are numbered within groups of one tf and the same first
-    characters, and the groups' offsets come from the much smaller table of group sizes.
-    """
-    group = F.substring(F.col(term), 1, PREFIX)
-    keyed = terms.withColumn("__g", group)
-    sizes = keyed.groupBy("tf", "__g").agg(F.count("*").alias("__n"))
-    order = Window.orderBy(F.desc("tf"), "__g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("tf", "__g", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__start"))
-    within = F.row_number().over(Window.partitionBy("tf", "__g").orderBy(term))
-    return keyed.withColumn("__k", within).join(starts, ["tf", "__g"]).select((F.col("__start") + F.col("__k") - 1).cast("int").alias("idx"), term, "tf", "df")
+    """(idx, term, tf, df): numbers from 0 by falling tf, then term; written."""
+    return joins.numbered(terms.select(term, "tf", "df"), F.desc("tf"), F.col(term)).select(F.col("idx").cast("int").alias("idx"), term, "tf", "df")
 
 
 def build(tokens: DataFrame, docs: DataFrame, *, min_df: float = 2, max_df: float = 0.9, min_tf: int = 1) -> DataFrame:

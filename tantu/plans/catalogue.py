@@ -265,17 +265,32 @@ def fragment_counters(spark, d):
     return frag.counters(last, last, vocab, size=SIZE)
 
 
-TDM = f"{FRAGMENTS}, m AS (SELECT id AS row, col, count(*) AS tf FROM (SELECT id, unnest(token_ids) AS col FROM fragments) GROUP BY ALL), rows AS (SELECT count(DISTINCT row) AS n FROM m)"
+ROWS = f"{FRAGMENTS}, numbered AS (SELECT row_number() OVER (ORDER BY source_doc_id, position) - 1 AS row, * FROM fragments)"
+TDM = f"{ROWS}, m AS (SELECT row, col, count(*) AS tf FROM (SELECT row, unnest(token_ids) AS col FROM numbered) GROUP BY ALL), rows AS (SELECT count(DISTINCT row) AS n FROM m)"
+
+
+def _rows(spark, d):
+    return frag.numbered(_fragments(spark, d))
+
+
+def _counts(spark, d):
+    return matrix.counts(_rows(spark, d))
+
+
+@query(f"WITH {ROWS} SELECT row, id, source_doc_id, position FROM numbered")
+def matrix_rows(spark, d):
+    """Which fragment each row of the matrix is."""
+    return _rows(spark, d).select("row", "id", "source_doc_id", "position")
 
 
 @query(f"WITH {TDM} SELECT * FROM m")
 def tdm_tf(spark, d):
-    return matrix.counts(_fragments(spark, d))
+    return _counts(spark, d)
 
 
 @query(f"WITH {TDM}, g AS (SELECT col, count(*) AS df FROM m GROUP BY col) SELECT row, col, round(ln(1 + tf) * ln(rows.n / df), 6) AS value FROM m JOIN g USING (col), rows")
 def tdm_tfidf(spark, d):
-    return _r(matrix.weighted(matrix.counts(_fragments(spark, d)), "tf-idf"), "value")
+    return _r(matrix.weighted(_counts(spark, d), "tf-idf"), "value")
 
 
 ENTROPY = f"{TDM}, g AS (SELECT col, sum(tf) AS gf, sum(tf * ln(tf)) AS tlt FROM m GROUP BY col), w AS (SELECT row, col, ln(1 + tf) * (1 - (ln(gf) - tlt / gf) / ln(rows.n)) AS value FROM m JOIN g USING (col), rows)"
@@ -283,17 +298,17 @@ ENTROPY = f"{TDM}, g AS (SELECT col, sum(tf) AS gf, sum(tf * ln(tf)) AS tlt FROM
 
 @query(f"WITH {ENTROPY} SELECT row, col, round(value, 6) AS value FROM w")
 def tdm_log_entropy(spark, d):
-    return _r(matrix.weighted(matrix.counts(_fragments(spark, d)), "log-entropy"), "value")
+    return _r(matrix.weighted(_counts(spark, d), "log-entropy"), "value")
 
 
 @query(f"WITH {TDM} SELECT count(DISTINCT row) AS n_rows, (max(col) + 1)::BIGINT AS n_cols, count(*) AS nnz, round(count(*) / (count(DISTINCT row) * (max(col) + 1))::DOUBLE, 9) AS density FROM m")
 def tdm_stats(spark, d):
-    return _r(matrix.stats(matrix.counts(_fragments(spark, d))), "density", digits=9)
+    return _r(matrix.stats(_counts(spark, d)), "density", digits=9)
 
 
 @query(f"WITH {ENTROPY} SELECT round(sum(value * value), 3) AS frobenius FROM w")
 def tdm_frobenius(spark, d):
-    return _r(matrix.frobenius(matrix.weighted(matrix.counts(_fragments(spark, d)), "log-entropy")), "frobenius", digits=3)
+    return _r(matrix.frobenius(matrix.weighted(_counts(spark, d), "log-entropy")), "frobenius", digits=3)
 
 
 @query(f"""WITH {LATEST}, p AS (SELECT lemma AS w1, lead(lemma) OVER (PARTITION BY doc_id, sent_no ORDER BY tok_no, lemma) AS w2 FROM last),
@@ -306,7 +321,7 @@ def cooccurrence_symmetric(spark, d):
 
 
 def _svd(spark, d, k=8):
-    m = materialise(matrix.weighted(matrix.counts(_fragments(spark, d)), "log-entropy"), "tdm")
+    m = materialise(matrix.weighted(_counts(spark, d), "log-entropy"), "tdm")
     return m, svd.truncated(m, k, n_iter=2, oversampling=8)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -22,24 +24,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a temporary folder of this machine stands in for it.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and driver and executors are
+    one machine (master local), as in tests, a temporary folder stands in for it; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tantu-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts the lineage and outlives lost executors."""
+    """Write df into the shared folder and read it back: cuts the lineage and outlives lost executors. release deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> int:
+    """Delete what materialise wrote, once the results made of it are no longer read; done at the end of the process too. The number of folders."""
+    n = 0
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001, S110: the session has ended already
+            pass
+    return n
+
+
+atexit.register(release)
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers find this package where it was found here, wherever the driver was started."""
     root = str(Path(__file__).resolve().parent.parent)
