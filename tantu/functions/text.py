@@ -36,7 +36,10 @@ def nfkc(c: Column) -> Column:
 
 
 def nfc_devanagari(c: Column) -> Column:
-    """NFC of text without marks out of order: the letters that change, replaced in the JVM."""
+    """NFC of Devanagari in the JVM: marks put in their order (nukta, virama, accent below, accent above), then the letters that change."""
+    c = F.regexp_replace(c, "([\\x{094D}\\x{0951}\\x{0952}]+)\\x{093C}", "\u093c$1")
+    c = F.regexp_replace(c, "([\\x{0951}\\x{0952}]+)\\x{094D}", "\u094d$1")
+    c = F.regexp_replace(c, "(\\x{0951}+)\\x{0952}", "\u0952$1")
     for old, new in (DECOMPOSED | COMPOSED).items():
         c = F.replace(c, F.lit(old), F.lit(new))
     return c
@@ -103,6 +106,20 @@ def strip_marker(c: Column, markers: str = "*") -> Column:
     return F.regexp_replace(c, "^[" + "".join("\\" + m for m in markers) + "]+" if len(markers) > 1 else "^\\" + markers, "")
 
 
+def stripped_distinct(c: Column, markers: str = "*@#") -> Column:
+    """An array of lemmas without markers, each once, in order of their first places."""
+    return F.array_distinct(F.transform(c, lambda x: strip_marker(x, markers)))
+
+
+def is_unknown(c: Column, markers: str = "*@#") -> Column:
+    """Whether an analyser marks the lemma as unknown."""
+    return F.substring(c, 1, 1).isin(*markers)
+
+
+def has_tag(tags: Column, tag: str) -> Column:
+    return F.coalesce(F.array_contains(tags, tag), F.lit(False))
+
+
 def reading(lemmas: Column, tags: Column) -> Column:
     """lemma<tag><tag>+lemma<tag>: an analyser's reading as one string, from an array of lemmas and one of tag arrays."""
     pairs = F.arrays_zip(lemmas.alias("l"), tags.alias("t"))

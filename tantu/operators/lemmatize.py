@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tantu.functions.script import DEVANAGARI, Profile, is_weird
+from tantu.operators.joins import spread_join
+from tantu.operators.tokens import exploded
 
 ANALYSIS = "lemma string, pos string, analyses array<string>, is_oov boolean, is_ambiguous boolean, status string, error string"
 BATCH = 50
@@ -97,7 +99,20 @@ def lemmatize(tokens: DataFrame, lemmatizer: Lemmatizer, *, drop_weird: bool = T
     """tokens (doc_id, sent_no, tok_no, token) with their analyses. Weird tokens are dropped if wanted; sentences left empty still count in a sentence table."""
     if drop_weird:
         tokens = tokens.filter(~is_weird(F.col("token"), script))
-    return tokens.join(analyse_distinct(tokens, lemmatizer), "token")
+    most = tokens.groupBy("token").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    return spread_join(tokens, analyse_distinct(tokens, lemmatizer), "token", most)
+
+
+def lemmatize_documents(docs: DataFrame, lemmatizer: Lemmatizer, *, drop_weird: bool = True, script: Profile = DEVANAGARI) -> DataFrame:
+    """(id, lang, sentences, meta) of tokenized documents: sentences of (token, lemma, pos, analyses, is_oov, is_ambiguous). A sentence left without a token stays, empty."""
+    words = lemmatize(exploded(docs), lemmatizer, drop_weird=drop_weird, script=script)
+    row = F.struct("tok_no", F.struct("token", "lemma", "pos", "analyses", "is_oov", "is_ambiguous").alias("w"))
+    kept = words.groupBy("doc_id", "sent_no").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["w"]).alias("words"))
+    places = docs.select(F.col("id").alias("doc_id"), F.posexplode("sentences").alias("sent_no", "__s")).select("doc_id", "sent_no").distinct()
+    filled = places.join(kept, ["doc_id", "sent_no"], "left").withColumn("words", F.coalesce("words", F.array().cast(kept.schema["words"].dataType)))
+    whole = filled.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "words"))), lambda x: x["words"]).alias("sentences"))
+    heads = docs.select(F.col("id").alias("doc_id"), "lang", "meta").dropDuplicates(["doc_id"])
+    return heads.join(whole, "doc_id").select(F.col("doc_id").alias("id"), "lang", "sentences", "meta")
 
 
 def label_names(words: DataFrame, labels: DataFrame) -> DataFrame:
@@ -121,6 +136,23 @@ def packed_sentences(sizes: list[int], most: int = 80) -> list[list[int]]:
     return out
 
 
+def chunks(docs: DataFrame, most: int = 80) -> DataFrame:
+    """(id, sent_no, chunk): the sentences of each document in chunks of consecutive ones of at most ``most`` tokens, as models take them."""
+    sizes = docs.filter("sentences IS NOT NULL").select("id", F.transform("sentences", lambda s: F.coalesce(F.size(s), F.lit(0))).alias("sizes"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(i, k, n) for i, own in zip(frame["id"], frame["sizes"], strict=True) for n, group in enumerate(packed_sentences(list(own), most)) for k in group]
+            yield pd.DataFrame(out, columns=["id", "sent_no", "chunk"])
+
+    return sizes.mapInPandas(run, "id string, sent_no int, chunk int")
+
+
+def first_labels(parts: DataFrame) -> DataFrame:
+    """(doc_id, sent_no, tok_no, label): the label of the first part of every word, from rows of parts of words (with part_no)."""
+    return parts.groupBy("doc_id", "sent_no", "tok_no").agg(F.min(F.struct("part_no", "label"))["label"].alias("label"))
+
+
 def page_texts(files: DataFrame, read: Callable[[bytes], Iterable[str]]) -> DataFrame:
     """(doc, page_num, text, error) of binary files (path, content), by a reader of pages; a file that fails is one row with its error."""
 

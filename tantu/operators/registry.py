@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 PENDING = "pending"
 STATUSES = ("ok", "error", "pending", "running")
@@ -87,8 +89,36 @@ def status_counts(results: DataFrame) -> DataFrame:
 
 
 def completed(results: DataFrame, path: str = "path", key: str = "doc_id") -> DataFrame:
-    """(key, path) of the results of status ok that have a path."""
-    return ok(results).filter(F.col(path).isNotNull()).select(key, path)
+    """(key, path) of the results of status ok that have a path, in order of the key."""
+    return ok(results).filter(F.col(path).isNotNull()).select(key, path).orderBy(key)
+
+
+def of(results: DataFrame, **values) -> DataFrame:
+    """The results with these values, say of an artefact, a method or a build; None asks for null."""
+    for c, v in values.items():
+        results = results.filter(F.col(c).eqNullSafe(F.lit(v).cast(results.schema[c].dataType)))
+    return results
+
+
+def append(new: DataFrame, path: str) -> None:
+    """Rows added to a table; what is there stays, repeated rows too."""
+    new.write.mode("append").parquet(path)
+
+
+def with_json(builds: DataFrame, **columns: Column) -> DataFrame:
+    """builds with structs or maps as JSON strings, as params and stats are kept."""
+    return builds.withColumns({name: F.to_json(c) for name, c in columns.items()})
+
+
+def from_json(build: Row, column: str = "params") -> dict:
+    return json.loads(build[column]) if build[column] else {}
+
+
+def new_texts(texts: DataFrame, known: DataFrame, *, key: str = "id", text: str = "text") -> DataFrame:
+    """(artefact, key, text): texts by the hash of their content, each once, with the smallest key that has it; those in known (artefact) are left out."""
+    each = texts.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("artefact"), key, text)
+    fresh = each.join(known.select("artefact"), "artefact", "left_anti")
+    return fresh.groupBy("artefact").agg(F.min(key).alias(key), F.first(text).alias(text))
 
 
 def new_urls(links: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -106,6 +106,23 @@ def word_vectors(svd: Svd, *, power: float = 1.0, dims: int | None = None, all_i
     return out
 
 
+def transformed(svd: Svd) -> DataFrame:
+    """(row, vec): U times sigma, the rows on the components."""
+    one = svd.sigma.agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "sigma"))), lambda s: s["sigma"]).alias("sigma"))
+    return svd.u.crossJoin(F.broadcast(one)).select("row", scaled(F.col("vec"), F.col("sigma"), 1.0, None).alias("vec"))
+
+
+def identities(matrix: DataFrame, svd: Svd) -> DataFrame:
+    """(component, length_u, length_v, residual): lengths of the vectors, and |A'u - sigma v| in units of sigma."""
+    k = svd.sigma.count()
+    parts = matrix.join(svd.u, "row").select("col", *[(F.col("value") * F.get("vec", F.lit(d))).alias(f"s{d}") for d in range(k)])
+    image = parts.groupBy("col").agg(F.array(*[F.sum(f"s{d}") for d in range(k)]).alias("image"))
+    apart = image.join(svd.v, "col").select(F.posexplode(F.zip_with("image", "vec", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("component", "x"))
+    residual = apart.join(F.broadcast(svd.sigma), "component").groupBy("component", "sigma").agg(F.sum((F.col("x.a") - F.col("sigma") * F.col("x.b")) ** 2).alias("r"))
+    lengths = [d.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(F.sum(F.col("x") * F.col("x")).alias(n)) for d, n in ((svd.u, "length_u"), (svd.v, "length_v"))]
+    return lengths[0].join(lengths[1], "component").join(residual, "component").select("component", "length_u", "length_v", F.try_divide(F.sqrt("r"), "sigma").alias("residual"))
+
+
 def spectrum(sigma: DataFrame, frobenius: DataFrame) -> DataFrame:
     """(component, sigma, ratio, cumulative): shares of the matrix's squared length. At most k rows."""
     from pyspark.sql import Window

@@ -68,8 +68,9 @@ def lemma_quality(tokens: DataFrame) -> DataFrame:
 
 
 def pos_histogram(tokens: DataFrame) -> DataFrame:
-    """(pos, n_tokens); null and empty parts of speech are "null"."""
-    return tokens.groupBy(F.coalesce(F.nullif("pos", F.lit("")), F.lit("null")).alias("pos")).agg(F.count("*").alias("n_tokens"))
+    """(pos, n_tokens), the most frequent first; null and empty parts of speech are "null"."""
+    pos = F.coalesce(F.nullif("pos", F.lit("")), F.lit("null")).alias("pos")
+    return tokens.groupBy(pos).agg(F.count("*").alias("n_tokens")).orderBy(F.desc("n_tokens"), "pos")
 
 
 def ner_histogram(tokens: DataFrame) -> DataFrame:
@@ -77,6 +78,14 @@ def ner_histogram(tokens: DataFrame) -> DataFrame:
     return tokens.filter("is_ne").groupBy(F.coalesce("ner_result", F.lit("None")).alias("ner_result")).agg(F.count("*").alias("n_tokens"))
 
 
+def ner_summary(tokens: DataFrame, most: int = 1000) -> DataFrame:
+    """One row: summary, a map of ner_ratio, the names' share of all tokens, and of the count of each of the ``most`` commonest labels."""
+    ratio = tokens.agg(_share(F.count_if(F.coalesce(F.col("is_ne"), F.lit(False))), F.count("*")).alias("ratio"))
+    labels = ner_histogram(tokens).orderBy(F.desc("n_tokens"), "ner_result").limit(most)
+    pairs = labels.agg(F.map_from_entries(F.collect_list(F.struct("ner_result", F.col("n_tokens").cast("double").alias("n")))).alias("labels"))
+    return ratio.crossJoin(F.broadcast(pairs)).select(F.map_concat(F.create_map(F.lit("ner_ratio"), "ratio"), "labels").alias("summary"))
+
+
 def normalization_account(tokens: DataFrame, script: Profile = DEVANAGARI) -> DataFrame:
     """One row: lemmas before, changed by normalising, rejected by class, accepted; distinct lemmas that fall together."""
     plain = normalize_devanagari(F.col("lemma"), any_text=False)

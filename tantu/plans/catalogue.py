@@ -15,6 +15,7 @@ from tantu.operators import fragments as frag, geometry, lemmatize, matrix, regi
 from tantu.session import materialise, table
 from tantu.sources import readers
 
+#: More queries and SQL are added by the module exchanges.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -178,10 +179,7 @@ def ner_replaced_tf(spark, d):
 
 
 def _plain_sql(c: str) -> str:
-    out = c
-    for old, new in (text.DECOMPOSED | text.COMPOSED).items():
-        out = f"replace({out}, '{old}', '{new}')"
-    return rf"regexp_replace({out}, '[\x{{200B}}-\x{{200F}}\x{{AD}}\x{{FEFF}}]', '', 'g')"
+    return rf"regexp_replace(nfc_normalize({c}), '[\x{{200B}}-\x{{200F}}\x{{AD}}\x{{FEFF}}]', '', 'g')"
 
 
 PLAIN = f"SELECT lemma, {_plain_sql('lemma')} AS plain FROM lemma_tokens WHERE lemma IS NOT NULL"
@@ -222,7 +220,13 @@ def unique_lemmas_per_doc(spark, d):
     return _r(tok.lemmas_per_doc(table(spark, d, TOKENS)), "mean_lemmas")
 
 
-@query()
+SUFFIXES = sorted(lemmatize.MARATHI_SUFFIXES, key=len, reverse=True)
+STRIPPED = "CASE " + " ".join(f"WHEN token LIKE '%{x}' AND length(token) - {len(x)} >= 2 THEN left(token, length(token) - {len(x)})" for x in SUFFIXES) + " END"
+
+
+@query(rf"""WITH s AS (SELECT unnest(sentences) AS tokens FROM doc_tok), t AS (SELECT unnest(tokens) AS token FROM s),
+l AS (SELECT token, {STRIPPED} AS stem FROM t WHERE regexp_full_match(token, '[\x{{0966}}-\x{{096F}}0-9]+') OR regexp_full_match(token, '[\x{{0900}}-\x{{097F}}]+'))
+SELECT coalesce(stem, token) AS lemma, count(*) AS tf, count(*) FILTER (stem IS NULL) AS n_oov FROM l GROUP BY 1""")
 def lemmatize_plugin(spark, d):
     """Every distinct token of the tokenized documents through the suffix lemmatizer, joined back and counted."""
     t = lemmatize.lemmatize(tok.exploded(table(spark, d, "doc_tok")), lemmatize.SuffixLemmatizer(lemmatize.MARATHI_SUFFIXES))
@@ -322,7 +326,7 @@ def cooccurrence_symmetric(spark, d):
 
 def _svd(spark, d, k=8):
     m = materialise(matrix.weighted(_counts(spark, d), "log-entropy"), "tdm")
-    return m, svd.truncated(m, k, n_iter=2, oversampling=8)
+    return m, svd.truncated(m, k)
 
 
 @query()
@@ -330,6 +334,23 @@ def svd_sigma(spark, d):
     return _svd(spark, d)[1].sigma
 
 
+@query("SELECT (i - 1)::INT AS component, true AS unit_u, true AS unit_v, true AS consistent FROM range(1, 9) r(i)")
+def svd_identities(spark, d):
+    """Whether A'u = sigma v with vectors of length 1, for each component."""
+    m, s = _svd(spark, d)
+    unit = lambda c: F.abs(F.col(c) - 1) < 1e-6
+    return svd.identities(m, s).select("component", unit("length_u").alias("unit_u"), unit("length_v").alias("unit_v"), (F.col("residual") < 1e-6).alias("consistent"))
+
+
+@query(f"WITH {ENTROPY}, v AS (SELECT row, sum(value * value) AS n FROM w GROUP BY row) SELECT count(*) AS n_rows, true AS within FROM v WHERE n > 0")
+def svd_rows(spark, d):
+    """Rows on the components (U times sigma): none longer than the row of the matrix."""
+    m, s = _svd(spark, d)
+    own = m.groupBy("row").agg(F.sum(F.col("value") * F.col("value")).alias("n"))
+    at = svd.transformed(s).select("row", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("p"))
+    return own.filter("n > 0").join(at, "row", "left").agg(F.count("*").alias("n_rows"), F.every(F.col("p") <= F.col("n") * (1 + 1e-6) + 1e-9).alias("within"))
+
+
 @query()
 def svd_spectrum(spark, d):
     m, s = _svd(spark, d)
@@ -370,12 +391,12 @@ DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i] * {b}[i]))"
 COSINE = f"{DOT.format(a='a.vec', b='b.vec')} / (sqrt({DOT.format(a='a.vec', b='a.vec')}) * sqrt({DOT.format(a='b.vec', b='b.vec')}))"
 
 
-@query(f"""WITH {EMB}, n AS (SELECT count(*) AS n FROM e), p AS (SELECT (k * 7919 + 42) % n AS i, (k * 104729 + k * k % 1000003 + 42) % n AS j FROM range(20000) r(k), n),
+@query(f"""WITH {EMB}, n AS (SELECT count(*) AS n FROM e), p AS (SELECT (k * 7919 + 42) % n AS i, (k * 104729 + k * k % 1000003 + 42) % n AS j FROM range(100000) r(k), n),
 c AS (SELECT {COSINE} AS c FROM p JOIN e a ON a.id = p.i JOIN e b ON b.id = p.j WHERE i <> j)
 SELECT count(c) AS n_pairs, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std, round(median(c), 6) AS median, round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.95), 6) AS p95,
 CASE WHEN abs(avg(c)) < 0.05 THEN 'GOOD' WHEN abs(avg(c)) < 0.15 THEN 'OK' WHEN abs(avg(c)) < 0.3 THEN 'MODERATE' ELSE 'POOR' END AS quality FROM c""")
 def cosine_pair_stats(spark, d):
-    return _r(geometry.cosine_distribution(_embeddings(spark, d), n_pairs=20_000), "mean", "std", "median", "p5", "p95")
+    return _r(geometry.cosine_distribution(_embeddings(spark, d)), "mean", "std", "median", "p5", "p95")
 
 
 @query(f"""WITH {EMB}, l AS (SELECT vec, unnest(range(1, 65)) AS a FROM e), m AS (SELECT a, b, covar_samp(vec[a], vec[b]) AS c FROM (SELECT vec, a, unnest(range(1, 65)) AS b FROM l) GROUP BY a, b)
@@ -439,6 +460,29 @@ def freq_norm_correlation(spark, d):
     return out.select("n", F.round("pearson", 4).alias("pearson"), F.round("spearman", 2).alias("spearman"))
 
 
+COVARIANCE = f"{EMB}, l AS (SELECT vec, unnest(range(1, 65)) AS a FROM e), c AS (SELECT a, b, covar_samp(vec[a], vec[b]) AS c FROM (SELECT vec, a, unnest(range(1, 65)) AS b FROM l) GROUP BY a, b)"
+
+
+@query(f"WITH {COVARIANCE} SELECT round(sum(c) FILTER (a = b), 6) AS total, round(sum(c * c), 6) AS squares FROM c")
+def isotropy_sums(spark, d):
+    """Sum of the eigenvalues, and of their squares, that isotropy and principal components are made of."""
+    import numpy as np
+
+    values = np.linalg.eigvalsh(svd.covariance(_embeddings(spark, d), 64))
+    return spark.createDataFrame([(round(float(values.sum()), 6), round(float((values**2).sum()), 6))], "total double, squares double")
+
+
+@query(f"""WITH {EMB}, m AS (SELECT list(x ORDER BY d) AS mean FROM (SELECT d, avg(x) AS x FROM (SELECT unnest(vec) AS x, unnest(range(1, 65)) AS d FROM e) GROUP BY d))
+SELECT count(*) AS n, true AS centred, true AS apart, true AS ordered FROM e""")
+def pca_axes(spark, d):
+    """Whether the two coordinates have mean 0, do not go together, and the first spreads more."""
+    p = svd.principal_components(_embeddings(spark, d).withColumnRenamed("id", "idx"), 64, 2).select(F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
+    return p.agg(
+        F.count("*").alias("n"), ((F.abs(F.avg("x")) < 1e-9) & (F.abs(F.avg("y")) < 1e-9)).alias("centred"),
+        (F.abs(F.covar_samp("x", "y")) < 1e-9).alias("apart"), (F.var_samp("x") >= F.var_samp("y")).alias("ordered"),
+    )
+
+
 @query()
 def isotropy(spark, d):
     return spark.createDataFrame([geometry.isotropy(_embeddings(spark, d), 64)], "isotropy double, effective_rank double, top1_share double, condition double, quality string")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tantu.functions.vectors import normalized
+from tantu.operators import joins
 
 PAGE = "schema_version string, id string, text string, meta struct<page_num: int>"
 TOKENIZED = "schema_version string, id string, lang string, sentences array<array<string>>, meta map<string, string>"
@@ -59,17 +62,21 @@ def documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def raw_lines(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """(id, text) of the lines that are not blank; id is lang-number, numbered from 0 through file offsets, so the order of the file holds."""
-    lines = spark.sparkContext.textFile(path).filter(lambda x: x.strip()).zipWithIndex()
-    return lines.map(lambda x: (x[1], x[0])).toDF("n long, text string").select(F.concat(F.lit(f"{lang}-"), F.col("n").cast("string")).alias("id"), "text")
+    """(id, text) of the lines that are not blank; id is lang-number, numbered from 0 by file, offset in it and line, so the order of the file holds."""
+    where = ("__file", F.col("_metadata.file_path")), ("__block", F.col("_metadata.file_block_start")), ("__line", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("value").alias("text"), *[c.alias(n) for n, c in where])
+    rows = joins.numbered(lines.filter(F.trim("text") != ""), *[F.col(n) for n, _ in where], out="__n")
+    return rows.select(F.concat(F.lit(f"{lang}-"), F.col("__n").cast("string")).alias("id"), "text")
 
 
 def books(pages: DataFrame, *, doc: Column | None = None) -> DataFrame:
     """(doc_id, text, n_pages): pages joined in order by an empty line. Repeated pages count once, null texts are left out."""
     doc = F.regexp_extract("id", "^([^#]*)", 1) if doc is None else doc
     order = F.coalesce(F.try_to_number(F.regexp_extract("id", "#([0-9]{1,9})$", 1), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
-    rows = pages.filter("text IS NOT NULL").select(doc.alias("doc_id"), order.alias("n"), "text").distinct()
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.count("*").alias("n_pages"))
+    rows = pages.filter("text IS NOT NULL").select(doc.alias("doc_id"), order.alias("n"), "text")
+    # repeated pages fall together before they are shuffled, and again where they meet
+    books = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("n", "text"))).alias("pages"))
+    return books.select("doc_id", F.array_join(F.transform("pages", lambda x: x["text"]), "\n\n").alias("text"), F.size("pages").cast("long").alias("n_pages"))
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -140,6 +147,30 @@ def fetch_tasks(spark: SparkSession, path: str, most: int | None = None) -> Data
     return rows if most is None else rows.limit(most)
 
 
+def located(spark: SparkSession, relative: str, *roots: str) -> str:
+    """The first that exists of the path under each root, as it is, then under each compressed (.gz); an absolute path stands for itself. FileNotFoundError if there is none."""
+    absolute = "://" in relative or relative.startswith("/")
+    under = [""] if absolute else [r.rstrip("/") + "/" for r in roots]
+    for suffix in ("", ".gz"):
+        for root in under:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root + relative + suffix)
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                return root + relative + suffix
+    raise FileNotFoundError(relative)
+
+
+def report(spark: SparkSession, path: str) -> dict:
+    """A JSON report, as write_report leaves it."""
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def edges(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target, weight) of a graph as XML (node and edge elements, weight as data), one edge element a line."""
+    line = spark.read.text(path).filter(F.col("value").contains("<edge"))
+    at = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
+    return line.select(at(r'source="([^"]*)"').alias("source"), at(r'target="([^"]*)"').alias("target"), F.expr("try_cast(regexp_extract(value, '<data[^>]*>([^<]*)</data>', 1) AS double)").alias("weight"))
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, sha256, length, content) of all files below a folder, without system ones."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)

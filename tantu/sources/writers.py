@@ -33,9 +33,18 @@ def write_matrix(entries: DataFrame, rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/rows")
 
 
-def write_svd(svd, path: str) -> None:
+def write_svd(svd, path: str, stats: dict | None = None) -> None:
+    """u, sigma and v, and, if there are any, stats as JSON beside them."""
     for name in ("u", "sigma", "v"):
         getattr(svd, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    if stats is not None:
+        write_report(svd.sigma.sparkSession, stats, f"{path}/stats")
+
+
+def write_embeddings(vectors: DataFrame, path: str, meta: dict | None = None) -> None:
+    """(idx, vec) as a table, and meta as JSON beside it."""
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    write_report(vectors.sparkSession, meta or {}, f"{path}/meta")
 
 
 def report_json(df: DataFrame) -> DataFrame:

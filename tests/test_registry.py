@@ -90,3 +90,24 @@ def test_labels_and_pages(spark):
     files = spark.createDataFrame([(b"one|two",), (b"bad",)], "content binary")
     got = {(r["page_num"], r["text"], r["error"]) for r in lemmatize.page_texts(files, read).collect()}
     assert got == {(1, "one", None), (2, "two", None), (None, None, "ValueError: unreadable")}
+
+
+def test_new_texts_and_json(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame([("b", "same"), ("a", "same"), ("c", "known"), ("d", None)], "id string, text string")
+    known = texts.filter("id = 'c'").select(F.sha2("text", 256).alias("artefact"))
+    assert [(r["id"], r["text"]) for r in registry.new_texts(texts, known).collect()] == [("a", "same")]
+    builds = spark.createDataFrame([(1, "ok", (2.0, True)), (2, None, None)], "run_id int, status string, params struct<min_df: double, flag: boolean>")
+    row = registry.of(registry.with_json(builds, params=F.col("params")), run_id=1).first()
+    assert registry.from_json(row) == {"min_df": 2.0, "flag": True}
+    assert registry.of(builds, status=None).first()["run_id"] == 2
+
+
+def test_lemmatized_documents_and_chunks(spark):
+    from tantu.operators import lemmatize
+
+    docs = spark.createDataFrame([("a", "mr", [["घरात", "abc"], ["x"], [], ["दार"]], {"k": "v"}), ("b", None, None, None), ("c", "mr", [], None)], "id string, lang string, sentences array<array<string>>, meta map<string,string>")
+    out = lemmatize.lemmatize_documents(docs, lemmatize.SuffixLemmatizer(("ात",))).collect()
+    assert len(out) == 1 and [[w["lemma"] for w in s] for s in out[0]["sentences"]] == [["घर"], [], [], ["दार"]] and out[0]["meta"] == {"k": "v"}
+    assert sorted(map(tuple, lemmatize.chunks(docs, 2).collect())) == [("a", 0, 0), ("a", 1, 1), ("a", 2, 1), ("a", 3, 1)]

@@ -27,7 +27,7 @@ def test_zstd(spark, tmp_path):
 
 def test_lines_and_lists(spark, tmp_path):
     (tmp_path / "r").write_text("one\n\n two\n")
-    assert [tuple(r) for r in readers.raw_lines(spark, str(tmp_path / "r"), "mr").collect()] == [("mr-0", "one"), ("mr-1", " two")]
+    assert sorted(tuple(r) for r in readers.raw_lines(spark, str(tmp_path / "r"), "mr").collect()) == [("mr-0", "one"), ("mr-1", " two")]
     (tmp_path / "w").write_text("100 the 9\n101 घर 5\n102 x y 3\n103 दार 4\n104 z no\n")
     assert [(r["id"], r["word"]) for r in readers.frequency_list(spark, str(tmp_path / "w"), most=2).collect()] == [(101, "घर"), (103, "दार")]
     (tmp_path / "c").write_text("1 2 5 0.5\n1 2 3\n")
@@ -66,6 +66,38 @@ def test_fetch(spark):
     assert got == {"good": (200, 10, None, True), "gone": (404, 0, "http_404", False), "slow": (0, 0, "TimeoutError", False)}
 
 
+def test_fetch_in_chunks_into_a_folder(spark, tmp_path):
+    def get(url):
+        def chunks():
+            yield b"book-"
+            if url == "broken":
+                raise ConnectionError
+            yield b"bytes"
+
+        return 200, chunks()
+
+    out = {r["url"]: r for r in fetch.fetched(spark.createDataFrame([("good",), ("broken",)], "url string"), get, str(tmp_path)).collect()}
+    assert out["good"]["size_bytes"] == 10 and out["good"]["content"] is None and out["broken"]["error"] == "ConnectionError"
+    # parts of what broke off are gone
+    assert [p.name for p in tmp_path.iterdir()] == [out["good"]["sha256"]] and (tmp_path / out["good"]["sha256"]).read_bytes() == b"book-bytes"
+
+
+def test_located_and_graphs(spark, tmp_path):
+    import gzip
+
+    for n in ("local", "cloud"):
+        (tmp_path / n).mkdir()
+    (tmp_path / "cloud" / "a.txt").write_text("plain")
+    (tmp_path / "local" / "b.txt.gz").write_bytes(gzip.compress(b"packed"))
+    roots = [str(tmp_path / n) for n in ("local", "cloud")]
+    assert readers.located(spark, "a.txt", *roots) == roots[1] + "/a.txt"
+    assert spark.read.text(readers.located(spark, "b.txt", *roots)).first()[0] == "packed"
+    with pytest.raises(FileNotFoundError):
+        readers.located(spark, "c.txt", *roots)
+    (tmp_path / "g.xml").write_text('<graph>\n<node id="a"/>\n<edge source="a" target="b"><data key="w">0.5</data></edge>\n<edge source="b" target="c"/>\n</graph>')
+    assert sorted(map(tuple, readers.edges(spark, str(tmp_path / "g.xml")).collect())) == [("a", "b", 0.5), ("b", "c", None)]
+
+
 def test_html(spark):
     html = '<a href="/a">x</a><div><A class=b HREF=\'http://h/B.PDF\'>go <b>now</b></A><a href="/c">Download</a></div>'
     df = spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id int, html string")

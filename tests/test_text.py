@@ -85,3 +85,18 @@ def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = df.select(vectors.norm(F.col("a")), vectors.cosine(F.col("a"), F.col("b")), vectors.normalized(F.col("a")), vectors.scaled(F.col("a"), F.array(F.lit(4.0), F.lit(9.0)), 0.5, 1)).collect()
     assert tuple(got[0]) == (5.0, pytest.approx(0.96), [0.6, 0.8], [6.0]) and got[1][1] is None and got[1][2] == [0.0, 0.0]
+
+
+def test_marks_out_of_order_and_markers(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from tantu.functions import text
+
+    words = ["\u0915\u094d\u093c", "\u0928\u0951\u0952\u093c", "\u0958", "\u0933\u093c", "\u0915\u0951\u094d", "plain", ""]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    assert [r[0] for r in df.orderBy("i").select(text.nfc_devanagari(F.col("w"))).collect()] == [unicodedata.normalize("NFC", w) for w in words]
+    one = spark.createDataFrame([(["*b", "a", "b", "#a", "@c"], ["n", "sg"], "*x"), (None, None, None)], "l array<string>, t array<string>, w string")
+    got = one.select(text.stripped_distinct(F.col("l")).alias("l"), text.has_tag(F.col("t"), "sg").alias("t"), text.is_unknown(F.col("w")).alias("u")).collect()
+    assert tuple(got[0]) == (["b", "a", "c"], True, True) and tuple(got[1]) == (None, False, None)
