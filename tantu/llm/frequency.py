@@ -9,6 +9,8 @@ from tantu.session import shuffle_partitions
 
 #: Records are numbered bucket by bucket; a bucket has room for so many.
 BUCKET_ROOM = 2**32
+#: Builds whose verdicts can be asked for at once.
+MOST_RUNS = 10_000
 
 
 def _numbered(blocks: DataFrame, partitions: int) -> DataFrame:
@@ -68,13 +70,14 @@ def resolved_limits(builds: DataFrame, n: int) -> DataFrame:
 def verdicts(rows: DataFrame, builds: DataFrame) -> DataFrame:
     """(run_id, lemma, tf, df, verdict): every term of every usable build; verdict rare, common or keep.
 
-    The builds are a configuration table: one row a run. They are sent to all tasks after their number
-    has been checked; beyond that bound the plan shuffles instead.
+    The builds are a configuration table: one row a run. The result has a row for each term and run, so the runs are
+    sent to all tasks, and more than MOST_RUNS are a ValueError.
     """
     terms, n = term_frequencies(rows)
     runs = resolved_limits(builds, n)
-    if runs.count() <= 1000:
-        runs = F.broadcast(runs)
+    if runs.limit(MOST_RUNS + 1).count() > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs")
+    runs = F.broadcast(runs)
     tf, df = (F.when(F.col("ignore_oov"), F.col(f"{c}_known")).otherwise(F.col(c)) for c in ("tf", "df"))
     each = terms.join(runs, F.lit(True)).withColumns({"n_tf": tf, "n_df": df}).filter("n_tf > 0")
     rare = F.coalesce(F.col("n_df") < F.col("low"), F.lit(False)) | F.coalesce(F.col("n_tf") < F.col("min_tf"), F.lit(False))
