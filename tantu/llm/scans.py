@@ -156,19 +156,28 @@ def scanned_lines(pages: DataFrame) -> DataFrame:
 def cut_words(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, line_no): lines that end inside a word by a mark that is not the word's own.
 
-    A hyphen is the word's own if the corpus has the two parts with a hyphen more often than as one word.
+    A hyphen is the word's own if the corpus has the two parts with a hyphen at least as often as as one word, or has
+    neither but each part as a word by itself. Other marks than hyphens, such as soft ones, are no word's own.
     """
     cut = lines.filter("cut")
     left = F.regexp_extract("line", rf"([\p{{L}}\p{{M}}\p{{Nd}}�‌‍-]+)([{HYPHENS}])\s*$", 1)
     mark = F.regexp_extract("line", rf"([{HYPHENS}])\s*$", 1)
     right = F.regexp_extract("behind", r"^\s*([\p{L}\p{M}\p{Nd}�‌‍]+)", 1)
-    cut = cut.select("id", "line_no", F.concat(left, F.lit("-"), right).alias("own"), F.concat(left, right).alias("joined"), mark.isin("-", "‐", "‑").alias("plain"))
-    # both spellings are looked up in one join
-    both = cut.select("id", "line_no", "plain", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("own").alias("word")), F.struct(F.lit(False).alias("own"), F.col("joined").alias("word")))).alias("w"))
-    counted = both.select("id", "line_no", "plain", "w.own", "w.word").join(vocab.select("word", "clean", "scanned"), "word", "left")
-    n = lambda own, c: F.coalesce(F.max(F.when(F.col("own") == own, c)), F.lit(0))
-    known = counted.groupBy("id", "line_no").agg(F.max("plain").alias("plain"), n(True, F.col("clean") + F.col("scanned")).alias("n_own"), n(False, F.col("clean")).alias("n_joined"))
-    return known.filter("NOT plain OR n_own = 0 OR n_joined > n_own").select("id", "line_no")
+    cut = cut.select("id", "line_no", left.alias("left"), right.alias("right"), mark.isin("-", "‐", "‑").alias("plain"))
+    # all spellings are looked up in one join
+    spelled = {"own": F.concat("left", F.lit("-"), "right"), "joined": F.concat("left", "right"), "left": F.col("left"), "right": F.col("right")}
+    each = cut.select("id", "line_no", "plain", F.explode(F.array(*[F.struct(F.lit(n).alias("as"), c.alias("word")) for n, c in spelled.items()])).alias("w"))
+    counted = each.select("id", "line_no", "plain", "w.as", "w.word").join(vocab.select("word", "clean", "scanned"), "word", "left")
+    n = lambda how, c: F.coalesce(F.max(F.when(F.col("as") == how, c)), F.lit(0))
+    clean, scanned = F.col("clean"), F.col("scanned")
+    # on the page itself the joined word is counted once
+    known = counted.groupBy("id", "line_no").agg(
+        F.max("plain").alias("plain"), n("own", clean + scanned).alias("n_own"), n("joined", clean).alias("n_joined"), n("joined", clean + scanned).alias("n_known"),
+        F.least(n("left", clean), n("right", clean)).alias("n_parts"),
+    )
+    two_words = (F.col("n_joined") == 0) & (F.col("n_known") < 2) & (F.col("n_parts") >= LEAST_PAGES)
+    own = F.when(F.col("n_own") > 0, F.col("n_joined") <= F.col("n_own")).otherwise(two_words)
+    return known.filter(~(F.col("plain") & own)).select("id", "line_no")
 
 
 def misread_lines(lines: DataFrame, misread: DataFrame) -> DataFrame:

@@ -276,6 +276,15 @@ def test_heads_of_long_documents(spark, monkeypatch, lines_of):
     assert got == {(f"d#{k}", "header") for k in heads} | {("d#300", "page_number")}
 
 
+def test_cut_words_by_the_vocabulary(spark):
+    words = {"something": (5, 0), "hand-written": (9, 0), "handwritten": (2, 0), "hand": (8, 0), "written": (8, 0), "river": (6, 0), "road": (6, 0), "bridge": (6, 0), "some": (3, 0), "thing": (3, 0), "xyzabc": (0, 1)}
+    vocab = spark.createDataFrame([(w, c, n) for w, (c, n) in words.items()], "word string, clean long, scanned long")
+    cuts = [("some-", "thing else", True), ("hand-", "written", False), ("river-", "road", False), ("xyz-", "abc", True), ("river\u00ad", "road", True), ("brid-", "ge", True)]
+    rows = [(f"p{i}", 1, a, b, True) for i, (a, b, _) in enumerate(cuts)]
+    lines = spark.createDataFrame(rows, "id string, line_no int, line string, behind string, cut boolean")
+    assert {r["id"] for r in scans.cut_words(lines, vocab).collect()} == {f"p{i}" for i, c in enumerate(cuts) if c[2]}
+
+
 def headed(spark, rows):
     found = scans.heads_and_numbers(pages(spark, rows).select("id", "text", "meta.page_num", "meta.origin"))
     return {r["id"] for r in found.filter("kind = 'header' AND line_no = 1").collect()}
