@@ -25,7 +25,10 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 
 def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) lines of zstd files, decompressed as a stream by the task that reads the file, for clusters whose Hadoop lacks the codec."""
+    """(value) lines of zstd files, decompressed as a stream by the task that reads the file, for clusters whose Hadoop lacks the codec.
+
+    Files in a folder that all executors mount are read piece by piece, others come as one row each, below 2 GB.
+    """
     import io
     from collections.abc import Iterator
 
@@ -36,16 +39,21 @@ def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
 
         for frame in frames:
             for content in frame["content"]:
-                lines = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True), encoding="utf-8", newline="\n")
+                packed = open(content, "rb") if mounted else io.BytesIO(content)  # noqa: SIM115: closed with the reader on it
+                lines = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(packed, read_across_frames=True, closefd=True), encoding="utf-8", newline="\n")
                 part: list[str] = []
                 for line in lines:
                     part.append(line.rstrip("\n"))
                     if len(part) == 10_000:
                         yield pd.DataFrame({"value": part})
                         part = []
+                lines.close()
                 yield pd.DataFrame({"value": part})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("content")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    mounted = where.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path)
+    files = found.select(F.regexp_replace("path", "^file:/+", "/").alias("content") if mounted else "content")
     return files.mapInPandas(unpack, "value string")
 
 
