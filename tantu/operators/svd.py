@@ -56,13 +56,23 @@ def _times(tall: DataFrame, m: np.ndarray) -> DataFrame:
     return tall.mapInPandas(apply, tall.schema)
 
 
-def _orthonormal(tall: DataFrame, dims: int) -> tuple[DataFrame, int]:
+#: Below this share of the largest a squared length is lost in rounding.
+LOST, NEARLY_LOST = 1e-12, 1e-10
+
+
+def _orthonormal(tall: DataFrame, gram: np.ndarray) -> tuple[DataFrame, int]:
     """Columns made orthonormal by the inverse root of their Gram matrix, and their number; directions without length are dropped."""
-    values, vectors = np.linalg.eigh(_gram(tall, dims))
-    keep = values > max(values.max(), 0) * 1e-12
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > max(values.max(), 0) * LOST
     return _times(tall, vectors[:, keep] / np.sqrt(values[keep])), int(keep.sum())
 
 
+def _apart(gram: np.ndarray) -> bool:
+    """Whether even the shortest direction is told well from rounding."""
+    values = np.linalg.eigvalsh(gram)
+    return values.min() > max(values.max(), 0) * NEARLY_LOST
+
+
 def truncated(matrix: DataFrame, k: int, *, n_iter: int = 5, oversampling: int = 10, seed: int = 0) -> Svd:
     """The k largest singular values of (row, col, value), by a randomised range finder with power iterations.
 
@@ -76,11 +86,18 @@ def truncated(matrix: DataFrame, k: int, *, n_iter: int = 5, oversampling: int =
     cols = a.select(F.col("col").alias("key")).distinct()
     # the start block is a function of the column and the seed alone
     start = cols.select("key", F.array(*[(F.pmod(F.xxhash64("key", F.lit(seed), F.lit(d)), F.lit(2000001)) - 1000000) / 1e6 for d in range(dims)]).alias("vec"))
-    q, rank = _orthonormal(materialise(_sums(by_row, "row", start, dims), "svd-range"), dims)
+    y = materialise(_sums(by_row, "row", start, dims), "svd-range")
+    q, rank = _orthonormal(y, _gram(y, dims))
     for _ in range(n_iter):
-        z, rank = _orthonormal(materialise(_sums(by_col, "col", q, rank), "svd-range"), rank)
-        q, rank = _orthonormal(materialise(_sums(by_row, "row", z, rank), "svd-range"), rank)
-    q = materialise(q, "svd-range")
+        # both products in one go, which squares the lengths' ratios; where that loses a direction, one after the other
+        z = _sums(by_col, "col", q, rank)
+        y = materialise(_sums(by_row, "row", z, rank), "svd-range")
+        if not _apart(gram := _gram(y, rank)):
+            z = materialise(z, "svd-range")
+            z, rank = _orthonormal(z, _gram(z, rank))
+            y = materialise(_sums(by_row, "row", z, rank), "svd-range")
+            gram = _gram(y, rank)
+        q, rank = _orthonormal(y, gram)
     bt = materialise(_sums(by_col, "col", q, rank), "svd-range")  # the transpose of q'A: a row for each column of A
     values, w = np.linalg.eigh(_gram(bt, rank))
     order = np.argsort(values)[::-1]
