@@ -167,7 +167,7 @@ def measured_reach(rows: DataFrame, books: list[np.ndarray], n: int, k: int, *,
     passes are linear in the rows; k rows a vector reach the driver.
     """
     bound = int(min(1.0, 1.2 * asked / n) * 2**31)
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2**31)) < bound).select("id", "vec").toArrow()
+    chosen = rows.filter(F.pmod(F.xxhash64("vec", F.lit(seed + 1)), F.lit(2**31)) < bound).select("id", "vec").toArrow()
     ids, q = chosen["id"].to_numpy(), _unpacked(chosen["vec"].combine_chunks(), np.float32) if chosen.num_rows else np.zeros((0, 1), np.float32)
     if not len(ids):
         return Reach(len(books[0]), n)
@@ -375,7 +375,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, *, recall: float
 
     Equal vectors are searched for once; each of them then has the others of its group among its neighbours, and a group stands in
     another's answer with its smallest ids. Equal cosines rank by id. Null, all-zero and non-finite vectors and null keys take no
-    part, rows repeated under one id count once.
+    part, rows repeated under one id count once; an id of several vectors has the best of each, of which some may name the same id.
     """
     rows, books, n = index(vectors, key, vector, seed=seed, sample=sample)
     spark = vectors.sparkSession
