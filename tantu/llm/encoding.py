@@ -19,7 +19,14 @@ READ_AS_CJK = ("gbk", "cp932", "big5", "cp949", "euc_jp")
 #: Readings that leave an undefined byte as the C1 control of its number.
 WITH_CONTROLS = frozenset(("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-15", "iso8859-2", "cp1254", "cp1253", "cp874", "cp1256"))
 #: Older encodings in which bytes that are not UTF-8 may have been written, by the encoding they were read in.
-WRITTEN_IN = {"cp1251": ("cp1252",), "cp1252": ("cp874", "cp1256", "cp1251"), "latin-1": ("cp874", "cp1256", "cp1251"), "mac_roman": ("cp1252",), "cp437": ("cp1252",), "cp850": ("cp1252",)}
+WRITTEN_IN = {
+    "cp1251": ("cp1252",),
+    "cp1252": ("cp874", "cp1256", "cp1251"),
+    "latin-1": ("cp874", "cp1256", "cp1251"),
+    "mac_roman": ("cp1252",),
+    "cp437": ("cp1252",),
+    "cp850": ("cp1252",),
+}
 #: What whole stretches may have been written in, by what they were read in; a stretch says more than a word.
 STRETCH_READ_AS = ("latin-1", "cp1252", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac_roman")
 STRETCH_WRITTEN_IN = ("cp1251", "koi8-r", "iso8859-5", "cp866", "iso8859-7", "cp1253", "cp1255", "cp932", "euc_jp", "gbk", "big5", "euc_kr")
@@ -323,7 +330,10 @@ def garbled_pages(pages: DataFrame, *, restore: bool = False) -> DataFrame:
             hit = [i for i, t in enumerate(texts) if t and is_garbled(t, origins[i] == "scan")]
             ids = b.column(0).take(pa.array(hit, pa.int64()))
             if restore:
-                yield pa.RecordBatch.from_arrays([ids, b.column(1).take(pa.array(hit, pa.int64())), pa.array([restored(texts[i]) for i in hit], pa.string())], names=["id", "text", "restored"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, b.column(1).take(pa.array(hit, pa.int64())), pa.array([restored(texts[i]) for i in hit], pa.string())],
+                    names=["id", "text", "restored"],
+                )
             else:
                 yield pa.RecordBatch.from_arrays([ids], names=["id"])
 

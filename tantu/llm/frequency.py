@@ -64,7 +64,13 @@ def resolved_limits(builds: DataFrame, n: int) -> DataFrame:
     low = F.when(F.col("min_df") < 1, F.greatest(F.lit(1.0), share("min_df"))).otherwise(F.col("min_df"))
     high = F.when(F.col("max_df") < 1, share("max_df")).otherwise(F.col("max_df"))
     p = p.withColumn("low", low)
-    return p.select("run_id", F.coalesce("ignore_oov", F.lit(False)).alias("ignore_oov"), "min_tf", "low", F.when(high.isNotNull(), F.greatest(high, F.col("low"))).alias("high"))
+    return p.select(
+        "run_id",
+        F.coalesce("ignore_oov", F.lit(False)).alias("ignore_oov"),
+        "min_tf",
+        "low",
+        F.when(high.isNotNull(), F.greatest(high, F.col("low"))).alias("high"),
+    )
 
 
 def verdicts(rows: DataFrame, builds: DataFrame) -> DataFrame:

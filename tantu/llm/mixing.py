@@ -48,12 +48,22 @@ def token_blocks(docs: DataFrame, *, block: int = BLOCK, text: str = "text") ->
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("upto", F.sum("n").over(within))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.groupBy("source", "bucket").agg(F.sum("n").alias("sum_n")).select("source", "bucket", F.coalesce(F.sum("sum_n").over(before), F.lit(0)).alias("offset"))
+    offsets = sized.groupBy("source", "bucket").agg(F.sum("n").alias("sum_n")).select(
+        "source",
+        "bucket",
+        F.coalesce(F.sum("sum_n").over(before), F.lit(0)).alias("offset"),
+    )
     placed = placed.join(offsets, ["source", "bucket"]).withColumn("first", F.col("offset") + F.col("upto") - F.col("n"))
     last = F.col("first") + F.col("n")
     spread = placed.withColumn("stop", last).withColumn("block_no", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + n - 1) div {block}"))))
     start = F.greatest(F.col("first"), F.col("block_no") * block)
-    return spread.select("source", "block_no", "doc_id", (start - F.col("first")).alias("start"), (F.least(F.col("stop"), (F.col("block_no") + 1) * block) - start).alias("n"))
+    return spread.select(
+        "source",
+        "block_no",
+        "doc_id",
+        (start - F.col("first")).alias("start"),
+        (F.least(F.col("stop"), (F.col("block_no") + 1) * block) - start).alias("n"),
+    )
 
 
 def source_plan(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, text: str = "text") -> DataFrame:
@@ -104,7 +114,10 @@ def mixture_slots(plan: DataFrame, *, block: int = BLOCK, seed: int = 0) -> tupl
     over_groups = Window.partitionBy("source").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     groups = counts.groupBy("source", "grp").agg(F.sum("k").alias("g")).select("source", "grp", F.coalesce(F.sum("g").over(over_groups), F.lit(0)).alias("before"))
     based = counts.withColumn("base", F.coalesce(F.sum("k").over(in_group), F.lit(0))).join(groups, ["source", "grp"]).filter("k > 0")
-    each = based.withColumn("slot", F.explode(F.sequence(F.col("before") + F.col("base"), F.col("before") + F.col("base") + F.col("k") - 1))).filter("slot < n_blocks * max_repeat")
+    each = based.withColumn(
+        "slot",
+        F.explode(F.sequence(F.col("before") + F.col("base"), F.col("before") + F.col("base") + F.col("k") - 1)),
+    ).filter("slot < n_blocks * max_repeat")
     each = each.withColumn("pass_no", F.expr("cast(slot div n_blocks as int)"))
 
     @F.pandas_udf("long")
@@ -139,7 +152,10 @@ def mixture_report(docs: DataFrame, targets: DataFrame, *, block: int = BLOCK, s
     got = mixed.groupBy("source").agg(F.sum("n").alias("mixed_tokens"), (F.max("pass_no") + 1).alias("passes"))
     out = plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "passes"])
     # the rows of the report are at most MOST_SOURCES
-    out = out.withColumn("mixture_tokens", F.sum("mixed_tokens").over(Window.partitionBy())).withColumn("slack", F.ceil((6 * F.sqrt("slots_drawn") + F.col("max_repeat") + 2) * block).cast("long"))
+    out = out.withColumn("mixture_tokens", F.sum("mixed_tokens").over(Window.partitionBy())).withColumn(
+        "slack",
+        F.ceil((6 * F.sqrt("slots_drawn") + F.col("max_repeat") + 2) * block).cast("long"),
+    )
     exhausted = F.coalesce(F.col("mixed_tokens") + F.col("slack") >= F.col("max_repeat") * F.col("n_tokens"), F.lit(True))
     share = lambda whole: F.coalesce(F.try_divide("mixed_tokens", whole), F.lit(0.0))
     return out.select(

@@ -94,7 +94,12 @@ def nearest_cells(q: np.ndarray, words: np.ndarray, probes: int) -> np.ndarray:
 
 def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     """(id, v) of the rows whose vector is neither null nor all zero, has only finite values and the usual length, and how many they are."""
-    ok = vectors.filter(F.col(vector).isNotNull() & F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vector, lambda v: v != 0))
+    ok = vectors.filter(
+        F.col(vector).isNotNull() & F.forall(
+            vector,
+            lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")),
+        ) & F.exists(vector, lambda v: v != 0)
+    )
     ok = ok.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL")
     most = ok.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     return ok.filter(F.size("v") == (most["dims"] if most else 0)), most["count"] if most else 0
@@ -109,7 +114,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _packed(x: np.ndarray) -> pa.Array:
     x = np.ascontiguousarray(x)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(x)]).cast(pa.binary()) if len(x) else pa.array([], pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(
+        pa.binary(x.itemsize * x.shape[1]),
+        len(x),
+        [None, pa.py_buffer(x)],
+    ).cast(pa.binary()) if len(x) else pa.array([], pa.binary())
 
 
 def _unpacked(column: pa.Array, dtype: type) -> np.ndarray:
@@ -183,7 +192,16 @@ def measured_reach(rows: DataFrame, books: list[np.ndarray], n: int, k: int, *,
                 keep = min(k, s.shape[1])
                 top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
                 flat = top.ravel()
-                new = pa.table({"q": np.repeat(np.arange(len(q)), keep), "cosine": np.take_along_axis(s, top, 1).ravel(), "id": others[flat], "cell": part["cell"].to_numpy()[flat], "codes": part["codes"].take(pa.array(flat)), "length": part["length"].to_numpy()[flat]})
+                new = pa.table(
+                    {
+                        "q": np.repeat(np.arange(len(q)), keep),
+                        "cosine": np.take_along_axis(s, top, 1).ravel(),
+                        "id": others[flat],
+                        "cell": part["cell"].to_numpy()[flat],
+                        "codes": part["codes"].take(pa.array(flat)),
+                        "length": part["length"].to_numpy()[flat],
+                    }
+                )
                 best = new if best is None else pa.concat_tables([best, new])
                 order = np.lexsort((-best["cosine"].to_numpy(), best["q"].to_numpy()))
                 which = best["q"].to_numpy()[order]
@@ -299,7 +317,10 @@ def _searched(rows: DataFrame, books: list[np.ndarray], n: int, k: int, reach: R
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "ask", "asks", "id", "cell", "codes", "length", "vec"])
 
-    routed = rows.select("id", "cell", "codes", "length", "vec").mapInArrow(route, "bucket int, ask int, asks boolean, id long, cell int, codes binary, length float, vec binary")
+    routed = rows.select("id", "cell", "codes", "length", "vec").mapInArrow(
+        route,
+        "bucket int, ask int, asks boolean, id long, cell int, codes binary, length float, vec binary",
+    )
     routed = routed.repartition(max(shuffle_partitions(spark), int(asks.sum())), "bucket", "ask").sortWithinPartitions("bucket", "ask", "asks", "cell")
 
     def answer(own: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:

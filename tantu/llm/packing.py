@@ -92,7 +92,11 @@ def pack_texts(docs: DataFrame, capacity: int, *, key: str = "doc_id", text: str
 def container_fill(packed: DataFrame, capacity: int) -> DataFrame:
     """(filled, n_containers, n_tokens, n_items): containers by fill, in tenths of the capacity rounded up."""
     each = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
-    return each.groupBy(F.ceil(F.col("n") * 10 / capacity).cast("int").alias("filled")).agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.sum("items").alias("n_items"))
+    return each.groupBy(F.ceil(F.col("n") * 10 / capacity).cast("int").alias("filled")).agg(
+        F.count("*").alias("n_containers"),
+        F.sum("n").alias("n_tokens"),
+        F.sum("items").alias("n_items"),
+    )
 
 
 def packing_account(packed: DataFrame, capacity: int, *, key: str = "doc_id") -> DataFrame:
@@ -100,7 +104,9 @@ def packing_account(packed: DataFrame, capacity: int, *, key: str = "doc_id") ->
     after = F.lead("at").over(Window.partitionBy("container").orderBy("at"))
     placed = packed.withColumn("__next", F.coalesce(after, F.col("at") + F.col("n_tokens")))
     each = placed.groupBy("container").agg(
-        F.sum("n_tokens").alias("n"), F.count("*").alias("items"), F.count_if(F.col("__next") != F.col("at") + F.col("n_tokens")).alias("gaps"), F.min("at").alias("first")
+        F.sum("n_tokens").alias("n"), F.count("*").alias("items"), F.count_if(
+            F.col("__next") != F.col("at") + F.col("n_tokens")
+        ).alias("gaps"), F.min("at").alias("first")
     )
     whole = each.agg(
         F.count("*").alias("n_containers"), F.coalesce(F.sum("items"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"),

@@ -43,7 +43,14 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 def p2_numbers(spark: SparkSession, d: str) -> DataFrame:
     """The page numbers found that are nothing but the printed number, as first or last line of their page."""
     raw = table(spark, d, "doc_raw").filter("meta.origin = 'scan'").select("id", "text", "meta.page_num").distinct()
-    lines = raw.select("id", "page_num", F.filter(F.transform(F.split("text", "\n", -1), lambda x, k: F.struct((k + 1).alias("line_no"), x.alias("line"))), lambda x: x["line"].rlike(r"\S")).alias("shown"))
+    lines = raw.select(
+        "id",
+        "page_num",
+        F.filter(
+            F.transform(F.split("text", "\n", -1), lambda x, k: F.struct((k + 1).alias("line_no"), x.alias("line"))),
+            lambda x: x["line"].rlike(r"\S"),
+        ).alias("shown"),
+    )
     edges = lines.select("id", "page_num", F.inline(F.array_distinct(F.array(F.get("shown", F.lit(0)), F.get("shown", F.size("shown") - 1)))))
     plain = F.translate(F.trim("line"), "०१२३४५६७८९", "0123456789")
     plain_numbers = edges.filter(plain.rlike("^[0-9]{1,5}$") & (plain.cast("int") == F.col("page_num"))).select("id", "line_no")
@@ -88,7 +95,11 @@ def p3_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    tokens = spelling.inconsistent(table(spark, d, "lemma_tokens"), "concat_ws(':', doc_id, coalesce(cast(sent_no AS string), ''), coalesce(cast(tok_no AS string), ''))", "token")
+    tokens = spelling.inconsistent(
+        table(spark, d, "lemma_tokens"),
+        "concat_ws(':', doc_id, coalesce(cast(sent_no AS string), ''), coalesce(cast(tok_no AS string), ''))",
+        "token",
+    )
     pages = table(spark, d, "doc_raw").filter(F.coalesce(F.col("meta.origin"), F.lit("")) != "scan")
     raw = spelling.inconsistent_pages(pages, "id", "text")
     return tokens.select(F.lit("lemma_tokens").alias("src"), "rec_key").unionByName(raw.select(F.lit("doc_raw").alias("src"), "rec_key"))
@@ -145,7 +156,11 @@ def p7_restored(spark: SparkSession, d: str) -> DataFrame:
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Titles beyond ASCII, their UTF-8 read as Latin-1, and restored."""
     titles = table(spark, d, "documents").filter(F.col("title").rlike(r"[^\x00-\x7F]"))
-    bad = titles.select(F.col("sha256").alias("id"), F.decode(F.encode("title", "UTF-8"), "ISO-8859-1").alias("text"), F.struct(F.lit("feed").alias("origin")).alias("meta"))
+    bad = titles.select(
+        F.col("sha256").alias("id"),
+        F.decode(F.encode("title", "UTF-8"), "ISO-8859-1").alias("text"),
+        F.struct(F.lit("feed").alias("origin")).alias("meta"),
+    )
     return encoding.garbled_pages(bad, restore=True).select("id", F.col("restored").alias("title"))
 
 
@@ -197,14 +212,48 @@ def p10_whole(spark: SparkSession, d: str) -> DataFrame:
     raw = F.encode("piece", "UTF-8")
     before = F.lag(F.col("start") + F.col("n_tokens"), 1, 0).over(Window.partitionBy("doc_id").orderBy("piece_no"))
     fresh = pieces.withColumn("repeated", before - F.col("start")).withColumn("fresh", F.expr("substring(encode(piece, 'UTF-8'), CAST(repeated AS INT) + 1)"))
-    ok = (F.length(raw) <= limit) & (F.length(raw) == F.col("n_tokens")) & (F.when(F.col("piece_no") == 0, F.col("repeated") == 0).otherwise(F.col("repeated").between(overlap, overlap + splitting.CHAR_TAIL)))
+    ok = (F.length(raw) <= limit) & (F.length(raw) == F.col("n_tokens")) & (
+        F.when(F.col("piece_no") == 0, F.col("repeated") == 0).otherwise(F.col("repeated").between(overlap, overlap + splitting.CHAR_TAIL))
+    )
     each = fresh.withColumn("ok", ok).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "fresh"))).alias("parts"), F.every("ok").alias("kept"))
     text = F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x["fresh"]))
     return each.select("doc_id", F.sha2(text, 256).alias("sha"), "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_relevance, p2_found, p2_repaired, p2_numbers, p2_paragraphs, p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_pages, p4_clean, p5_found, p5_frequencies, p6_found, p6_sentences, p6_cover, p7_found, p7_restored, p7_round_trip, p8_pack, p8_fill, p9_found, p9_report, p9_kept, p10_found, p10_pieces, p10_whole)}
+    return {
+        f.__name__: f for f in (
+            p1_found,
+            p1_relevance,
+            p2_found,
+            p2_repaired,
+            p2_numbers,
+            p2_paragraphs,
+            p3_found,
+            p3_neighbours,
+            p3_exact,
+            p3_recall,
+            p4_found,
+            p4_pages,
+            p4_clean,
+            p5_found,
+            p5_frequencies,
+            p6_found,
+            p6_sentences,
+            p6_cover,
+            p7_found,
+            p7_restored,
+            p7_round_trip,
+            p8_pack,
+            p8_fill,
+            p9_found,
+            p9_report,
+            p9_kept,
+            p10_found,
+            p10_pieces,
+            p10_whole,
+        )
+    }
 
 
 COUNTED = """

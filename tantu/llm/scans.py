@@ -27,8 +27,12 @@ CHAPTER_WORDS, CHAPTER_DOCS = 3, 3
 
 # What characters are taken for in scans (right: what is read), marks of a cut word, words of heads and page numbers.
 MISREAD = {
-    "स": ("रा",), "र": ("२",), "ल": ("त्न",), "ि": ("ी",), "म": ("भ",), "व": ("ब",), "न": ("त",), "प": ("ष",), "ध": ("घ",), "ट": ("ठ",), "ख": ("रव",), "ण": ("रण",), "ड": ("ङ",),
-    "e": ("c",), "n": ("ri",), "o": ("0",), "t": ("f",), "ü": ("ii",), "u": ("ii",), "l": ("1",), "m": ("rn",), "h": ("b",), "s": ("5",), "w": ("vv",), "ß": ("b",), "d": ("cl",),
+    "स": ("रा",), "र": ("२",), "ल": (
+        "त्न",
+    ), "ि": ("ी",), "म": ("भ",), "व": ("ब",), "न": ("त",), "प": ("ष",), "ध": ("घ",), "ट": ("ठ",), "ख": ("रव",), "ण": ("रण",), "ड": ("ङ",),
+    "e": ("c",), "n": (
+        "ri",
+    ), "o": ("0",), "t": ("f",), "ü": ("ii",), "u": ("ii",), "l": ("1",), "m": ("rn",), "h": ("b",), "s": ("5",), "w": ("vv",), "ß": ("b",), "d": ("cl",),
 }
 LOSABLE = "ंँ"
 SUFFIXES = ("पासून", "मध्ये", "साठी", "च्या", "तून", "कडे", "वाला")
@@ -49,7 +53,16 @@ SPOILT = "|".join([
 #: A character each of these has.
 SPOILT_SIGN = r"[015|~^!\x{0968}\x{FFFD}]"
 #: The same as readings of single characters, for the repair.
-STROKES = ((r"(?<=[\u0900-\u097f])\|", "ा"), (r"(?<=[\u0900-\u097f])~", "े"), (r"(?<=[\u0900-\u097f])\^", "ी"), (r"(?<=[\u0904-\u0963])\u0968(?=[\u0904-\u0963])", "र"), (r"(?<=[a-zß-ÿ])!(?=[a-zß-ÿ])", "i"), (r"(?<=[a-zß-ÿ])0(?=[a-zß-ÿ])", "o"), (r"(?<=[a-zß-ÿ])1(?=[a-zß-ÿ])", "l"), (r"(?<=[a-zß-ÿ])5(?=[a-zß-ÿ])", "s"))
+STROKES = (
+    (r"(?<=[\u0900-\u097f])\|", "ा"),
+    (r"(?<=[\u0900-\u097f])~", "े"),
+    (r"(?<=[\u0900-\u097f])\^", "ी"),
+    (r"(?<=[\u0904-\u0963])\u0968(?=[\u0904-\u0963])", "र"),
+    (r"(?<=[a-zß-ÿ])!(?=[a-zß-ÿ])", "i"),
+    (r"(?<=[a-zß-ÿ])0(?=[a-zß-ÿ])", "o"),
+    (r"(?<=[a-zß-ÿ])1(?=[a-zß-ÿ])", "l"),
+    (r"(?<=[a-zß-ÿ])5(?=[a-zß-ÿ])", "s"),
+)
 
 WORD = r"[\p{L}\p{M}\p{Nd}‌‍�]+"
 INVISIBLE = "​‎‏⁠﻿"
@@ -117,13 +130,23 @@ def misread_words(vocab: DataFrame) -> DataFrame:
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [(f, w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in misreadings(w) if len(w) >= 3]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.string()), pa.array([x[2] for x in made], pa.int64())], names=["word", "meant", "pages"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in made], pa.string()),
+                    pa.array([x[1] for x in made], pa.string()),
+                    pa.array([x[2] for x in made], pa.int64()),
+                ],
+                names=["word", "meant", "pages"],
+            )
 
     ending = "(?:" + "|".join(SUFFIXES) + ")$"
     stem = F.regexp_replace("word", ending, "")
     has_stem = (F.length(stem) >= 4) & (stem != F.col("word"))
     whole = vocab.select("word", "clean")
-    stems = vocab.filter(has_stem & (F.col("clean") > 0)).groupBy(stem.alias("word")).agg(F.sum("clean").alias("clean")).select(F.concat("word", F.lit("+")).alias("word"), "clean")
+    stems = vocab.filter(has_stem & (F.col("clean") > 0)).groupBy(stem.alias("word")).agg(F.sum("clean").alias("clean")).select(
+        F.concat("word", F.lit("+")).alias("word"),
+        "clean",
+    )
     known = whole.unionByName(stems)
     made = known.filter((F.col("clean") >= LEAST_PAGES) & F.col("word").rlike(r"\p{L}")).mapInArrow(forms, "word string, meant string, pages long")
     suspect = vocab.filter("scanned > 0")
@@ -131,7 +154,9 @@ def misread_words(vocab: DataFrame) -> DataFrame:
     suspects = suspect.select(F.col("word").alias("read"), "clean", F.explode(F.array_compact(keys)).alias("word"))
     # what is as well known a stem itself is no misreading of another
     own = stems.select("word", F.col("clean").alias("own"))
-    found = suspects.join(made, "word").filter((F.col("clean") * RATIO <= F.col("pages")) & ((F.col("clean") == 0) | ~F.col("word").endswith("+"))).join(own, "word", "left").filter(F.coalesce("own", F.lit(0)) * RATIO <= F.col("pages"))
+    found = suspects.join(made, "word").filter(
+        (F.col("clean") * RATIO <= F.col("pages")) & ((F.col("clean") == 0) | ~F.col("word").endswith("+"))
+    ).join(own, "word", "left").filter(F.coalesce("own", F.lit(0)) * RATIO <= F.col("pages"))
     by_word = found.groupBy(F.col("read").alias("word")).agg(F.max(F.struct("pages", "meant")).alias("best")).select("word", F.col("best.meant").alias("meant"))
     wrong = F.coalesce(*[F.when(F.col("word").endswith(w), F.concat(F.expr(f"left(word, length(word) - {len(w)})"), F.lit(s))) for w, s in _WRONG_SUFFIX])
     by_ending = suspect.filter("clean = 0").select("word", wrong.alias("meant")).filter("meant IS NOT NULL AND length(word) >= 5")
@@ -147,7 +172,13 @@ def scanned_lines(pages: DataFrame) -> DataFrame:
     """(id, line_no, line, behind, cut, carried) of the scanned pages: whether a line ends at a hyphen, then with the line behind, and whether the one before does. Repeated pages are one."""
     text = F.split(_plain("text"), "\n", -1)
     each = pages.filter("origin = 'scan'").select("id", text.alias("lines"))
-    each = each.select("id", F.posexplode("lines").alias("k", "line"), "lines").select("id", (F.col("k") + 1).alias("line_no"), "line", F.get("lines", F.col("k") + 1).alias("behind"), F.get("lines", F.col("k") - 1).alias("ahead"))
+    each = each.select("id", F.posexplode("lines").alias("k", "line"), "lines").select(
+        "id",
+        (F.col("k") + 1).alias("line_no"),
+        "line",
+        F.get("lines", F.col("k") + 1).alias("behind"),
+        F.get("lines", F.col("k") - 1).alias("ahead"),
+    )
     ends = lambda a, b: F.coalesce(F.col(a).rlike(CUT) & F.col(b).rlike(GOES_ON), F.lit(False))
     each = each.select("id", "line_no", "line", "behind", ends("line", "behind").alias("cut"), ends("ahead", "line").alias("carried")).filter("line <> ''")
     return each.withColumn("behind", F.when(F.col("cut"), F.col("behind"))).distinct()
@@ -187,7 +218,10 @@ def misread_lines(lines: DataFrame, misread: DataFrame) -> DataFrame:
     """
     whole = F.when(F.col("cut"), F.regexp_replace("line", LEFT, "")).otherwise(F.col("line"))
     whole = F.when(F.col("carried"), F.regexp_replace(whole, RIGHT, "")).otherwise(whole)
-    inside = F.transform(F.array_distinct(F.regexp_extract_all(_strokes_read(F.col("whole")), F.lit(WORD), F.lit(0))), lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("left")))
+    inside = F.transform(
+        F.array_distinct(F.regexp_extract_all(_strokes_read(F.col("whole")), F.lit(WORD), F.lit(0))),
+        lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("left")),
+    )
     left = _strokes_read(F.regexp_extract("line", LEFT, 1))
     over = F.array(F.struct(F.concat(left, _strokes_read(F.regexp_extract("behind", RIGHT, 1))).alias("word"), F.length(left).alias("left")))
     words = lines.withColumn("whole", whole).select("id", "line_no", F.inline(F.when(F.col("cut"), F.concat(inside, over)).otherwise(inside)))
@@ -197,8 +231,15 @@ def misread_lines(lines: DataFrame, misread: DataFrame) -> DataFrame:
     if size <= MOST_BROADCAST:
         forms = F.broadcast(forms)
     same = F.expr("size(filter(sequence(1, length(meant)), i -> left(word, i) = left(meant, i)))")
-    known = words.withColumn("h", F.xxhash64("word")).join(forms, "h").filter("word = form").select("id", (F.col("line_no") + F.when(same >= F.col("left"), 1).otherwise(0)).alias("line_no"), "word", "meant")
-    return known.unionByName(lines.filter(spoilt).select("id", "line_no", F.lit("").alias("word"), F.lit(None).cast("string").alias("meant"))).groupBy("id", "line_no", "word").agg(F.max("meant").alias("meant"))
+    known = words.withColumn("h", F.xxhash64("word")).join(forms, "h").filter("word = form").select(
+        "id",
+        (F.col("line_no") + F.when(same >= F.col("left"), 1).otherwise(0)).alias("line_no"),
+        "word",
+        "meant",
+    )
+    return known.unionByName(
+        lines.filter(spoilt).select("id", "line_no", F.lit("").alias("word"), F.lit(None).cast("string").alias("meant"))
+    ).groupBy("id", "line_no", "word").agg(F.max("meant").alias("meant"))
 
 
 _EDGE = " \t    .[]()|*~=_·•:—–-‒"
@@ -255,7 +296,9 @@ def edge_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for page in frame.itertuples():
             title = _core(page.title or "")
-            own = int(page.page_num) if page.page_num is not None and page.page_num == page.page_num else page.k + int(page.shift) if page.shift is not None and page.shift == page.shift else None
+            own = int(
+                page.page_num
+            ) if page.page_num is not None and page.page_num == page.page_num else page.k + int(page.shift) if page.shift is not None and page.shift == page.shift else None
             edges = [(e["line_no"], e["line"]) for e in page.edges]
             for side in (edges[:2], edges[2:][::-1]):
                 told = False
@@ -364,7 +407,11 @@ def heads_and_numbers(pages: DataFrame, titles: DataFrame | None = None) -> Data
     edges = F.array(at(F.lit(0), size > 0), at(F.lit(1), size > 1), at(size - 2, size > 3), at(size - 1, size > 2))
     near = scanned.withColumn("shown", shown).select("doc", "id", "page_num", "k", edges.alias("edges")).distinct()
     # the usual distance of printed and counted number, of each document as a whole
-    shifts = scanned.filter("page_num IS NOT NULL").select("doc", "id", (F.col("page_num") - F.col("k")).cast("long").alias("shift")).distinct().groupBy("doc", "shift").count()
+    shifts = scanned.filter("page_num IS NOT NULL").select(
+        "doc",
+        "id",
+        (F.col("page_num") - F.col("k")).cast("long").alias("shift"),
+    ).distinct().groupBy("doc", "shift").count()
     shifts = shifts.groupBy("doc").agg(F.max(F.struct("count", -F.abs("shift"), "shift"))["shift"].alias("shift"))
     near = near.join(shifts, "doc", "left")
     if titles is not None:
@@ -379,11 +426,22 @@ def heads_and_numbers(pages: DataFrame, titles: DataFrame | None = None) -> Data
     paired = paired.select("doc", F.least("side", "with").alias("x"), F.greatest("side", "with").alias("y"), "side", "core", "head")
     paired = paired.repartition(shuffle_partitions(pages.sparkSession), "doc", "x", "y")
     blocks = paired.groupBy("doc", "x", "y").agg(F.collect_list(F.struct("core", "head", "side")).alias("rows")).filter("size(rows) > 1")
-    like = blocks.mapInArrow(_recurring, "doc string, core string, by_head boolean, again boolean").groupBy("doc", "core").agg(F.max("by_head").alias("by_head"), F.max("again").alias("again"))
-    heads = each.join(like, ["doc", "core"], "left").select("doc", "core", (F.col("head") | F.coalesce("by_head", F.lit(False))).alias("sure"), ((F.col("n") >= 2) | F.coalesce("again", F.lit(False))).alias("again"))
+    like = blocks.mapInArrow(
+        _recurring,
+        "doc string, core string, by_head boolean, again boolean",
+    ).groupBy("doc", "core").agg(F.max("by_head").alias("by_head"), F.max("again").alias("again"))
+    heads = each.join(like, ["doc", "core"], "left").select(
+        "doc",
+        "core",
+        (F.col("head") | F.coalesce("by_head", F.lit(False))).alias("sure"),
+        ((F.col("n") >= 2) | F.coalesce("again", F.lit(False))).alias("again"),
+    )
     # words with a number that stand at the edges of several documents, with several numbers, name chapters
     named = told.filter("kind IS NULL AND number IS NOT NULL").filter(F.col("core").rlike(r"\p{L}") & (F.size(F.split("core", " ")) <= CHAPTER_WORDS))
-    named = named.groupBy("core").agg(F.count_distinct("doc").alias("docs"), F.count_distinct("number").alias("numbers")).filter(f"docs >= {CHAPTER_DOCS} AND numbers >= {CHAPTER_DOCS}")
+    named = named.groupBy("core").agg(
+        F.count_distinct("doc").alias("docs"),
+        F.count_distinct("number").alias("numbers"),
+    ).filter(f"docs >= {CHAPTER_DOCS} AND numbers >= {CHAPTER_DOCS}")
     maybe = told.filter("kind IS NULL").join(heads, ["doc", "core"]).join(named.select("core", F.lit(True).alias("named")), "core", "left")
     found = maybe.filter("sure OR named OR again AND NOT ends").select("id", "line_no", F.lit("header").alias("kind"))
     return told.filter("kind IS NOT NULL").select("id", "line_no", "kind").unionByName(found).distinct()
@@ -395,14 +453,23 @@ def scan_noise(raw: DataFrame, titles: DataFrame | None = None) -> tuple[DataFra
     raw needs id, text and meta (page_num, origin). Lines are counted from 1 between line feeds. Null or empty
     texts have no noise, repeated rows are one page; kinds are hyphen, header, page_number and misread.
     """
-    pages = raw.filter("text IS NOT NULL AND id IS NOT NULL").select("id", "text", F.col("meta.page_num").alias("page_num"), F.coalesce(F.col("meta.origin"), F.lit("")).alias("origin"))
+    pages = raw.filter("text IS NOT NULL AND id IS NOT NULL").select(
+        "id",
+        "text",
+        F.col("meta.page_num").alias("page_num"),
+        F.coalesce(F.col("meta.origin"), F.lit("")).alias("origin"),
+    )
     vocab = materialise(vocabulary(pages), "scan-vocabulary")
     lines = materialise(scanned_lines(pages), "scan-lines")
     edges = materialise(heads_and_numbers(pages, titles), "scan-edges")
     misread = materialise(misread_words(vocab), "scan-misread")
     body = edges.select("id", "line_no")
     words = misread_lines(lines, misread).join(body, ["id", "line_no"], "left_anti")
-    cuts = cut_words(lines, vocab).join(body, ["id", "line_no"], "left_anti").join(body.select("id", (F.col("line_no") - 1).alias("line_no")), ["id", "line_no"], "left_anti")
+    cuts = cut_words(lines, vocab).join(body, ["id", "line_no"], "left_anti").join(
+        body.select("id", (F.col("line_no") - 1).alias("line_no")),
+        ["id", "line_no"],
+        "left_anti",
+    )
     kinds = edges.unionByName(cuts.withColumn("kind", F.lit("hyphen"))).unionByName(words.select("id", "line_no").distinct().withColumn("kind", F.lit("misread")))
     return kinds, words
 
@@ -440,7 +507,9 @@ def repaired_pages(raw: DataFrame, titles: DataFrame | None = None) -> DataFrame
     kinds, words = scan_noise(raw, titles)
     pages = raw.filter("text IS NOT NULL AND id IS NOT NULL AND meta.origin = 'scan'").groupBy("id").agg(F.min("text").alias("text"))
     marks = kinds.groupBy("id").agg(F.collect_list(F.struct("line_no", "kind")).alias("marks"))
-    meant = words.withColumn("meant", F.when(~F.col("meant").endswith("+"), F.col("meant"))).groupBy("id").agg(F.collect_list(F.struct("line_no", "word", "meant")).alias("meant"))
+    meant = words.withColumn("meant", F.when(~F.col("meant").endswith("+"), F.col("meant"))).groupBy("id").agg(
+        F.collect_list(F.struct("line_no", "word", "meant")).alias("meant")
+    )
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -450,7 +519,14 @@ def repaired_pages(raw: DataFrame, titles: DataFrame | None = None) -> DataFrame
                 by_line: dict[int, dict[str, str]] = {}
                 for x in [] if said is None else said:
                     by_line.setdefault(x["line_no"], {})[x["word"]] = x["meant"]
-                texts.append(joined_paragraphs(t, {m["line_no"] for m in marked if m["kind"] in ("header", "page_number")}, {m["line_no"] for m in marked if m["kind"] == "hyphen"}, by_line))
+                texts.append(
+                    joined_paragraphs(
+                        t,
+                        {m["line_no"] for m in marked if m["kind"] in ("header", "page_number")},
+                        {m["line_no"] for m in marked if m["kind"] == "hyphen"},
+                        by_line,
+                    )
+                )
             yield pd.DataFrame({"id": b["id"], "text": texts})
 
     return pages.join(marks, "id", "left").join(meant, "id", "left").mapInPandas(repair, "id string, text string")

@@ -22,7 +22,9 @@ FUNCTION_WORDS = {
     "fr": "le la les des et est une dans que pas".split(), "es": "el los las del y es una que por con".split(),
 }
 ENDING_ABBREVIATIONS = frozenset("a.m p.m b.c a.d etc usw b.c.e c.e u.s u.k".split())
-DEVANAGARI_ABBREVIATIONS = frozenset("डॉ प्रा श्री श्रीमती सौ कु पं स सं ता इ ई इ.स ई.स इ.स.पू ई.पू रु क्र पृ उदा कि.मी कि.ग्रॅ से.मी मि वि अ.क्र चि मा ले क".split()) - {"क"}
+DEVANAGARI_ABBREVIATIONS = frozenset(
+    "डॉ प्रा श्री श्रीमती सौ कु पं स सं ता इ ई इ.स ई.स इ.स.पू ई.पू रु क्र पृ उदा कि.मी कि.ग्रॅ से.मी मि वि अ.क्र चि मा ले क".split()
+) - {"क"}
 THAI_ABBREVIATIONS = ("พ.ศ.", "ค.ศ.", "ดร.", "น.", "ม.", "กม.", "จ.", "อ.", "ต.", "ถ.", "รศ.", "ผศ.", "ศ.", "น.ส.", "ด.ช.", "ด.ญ.")
 #: Words that take up quoted speech where letters have no case.
 ATTRIBUTION = frozenset("असे असं असा अशी ऐसा ऐसे ऐसी म्हणत म्हणाला म्हणाली कहकर इति".split())

@@ -146,7 +146,10 @@ def consistent(rows: DataFrame, column: str) -> DataFrame:
     """rows with the text of ``column`` in its usual form. Nulls and empty texts stay; other columns are untouched."""
     schema = rows.schema
     names = ", ".join("n.form AS t" if f.name == column else f'r."{f.name}"' for f in schema)
-    sql = f"SELECT {names} FROM rows r LEFT JOIN ({NORMAL}) n ON r.t = n.t".replace("r.t = n.t", f'r."{column}" = n.t').replace("DISTINCT t FROM rows WHERE t IS", f'DISTINCT "{column}" AS t FROM rows WHERE "{column}" IS').replace("n.form AS t", f'n.form AS "{column}"')
+    sql = f"SELECT {names} FROM rows r LEFT JOIN ({NORMAL}) n ON r.t = n.t".replace("r.t = n.t", f'r."{column}" = n.t').replace(
+        "DISTINCT t FROM rows WHERE t IS",
+        f'DISTINCT "{column}" AS t FROM rows WHERE "{column}" IS',
+    ).replace("n.form AS t", f'n.form AS "{column}"')
     return rows.mapInArrow(_through_sql(sql), schema)
 
 

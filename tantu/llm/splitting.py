@@ -68,11 +68,21 @@ def split_texts(docs: DataFrame, limit: int, overlap: int, *, key: str = "doc_id
     raw = F.encode(F.col(text), "UTF-8")
     one_a_byte = F.decode(F.col("__raw"), "ISO-8859-1")
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key), raw.alias("__raw")).withColumn("__size", F.length("__raw"))
-    cuts = F.when(F.col("__size") > limit, F.transform(F.regexp_extract_all(one_a_byte, F.lit(boundary_pattern(most)), F.lit(0)), F.length)).otherwise(F.array(F.col("__size")))
+    cuts = F.when(
+        F.col("__size") > limit,
+        F.transform(F.regexp_extract_all(one_a_byte, F.lit(boundary_pattern(most)), F.lit(0)), F.length),
+    ).otherwise(F.array(F.col("__size")))
     rows = rows.withColumn("__cuts", cuts).withColumn("__groups", _ends(F.col("__cuts")))
     rows = rows.withColumn("__before", F.concat(F.array(F.lit(0)), _running(F.transform("__groups", lambda g: g["total"]))))
     ends = F.flatten(F.transform("__groups", lambda g, i: F.transform(g["ends"], lambda e: e + F.get("__before", i))))
-    spans = F.zip_with("__cuts", ends, lambda n, stop: F.struct(F.when(stop == n, F.lit(0)).otherwise(_aligned(F.col("__raw"), stop - n - overlap)).alias("start"), stop.alias("stop")))
+    spans = F.zip_with(
+        "__cuts",
+        ends,
+        lambda n, stop: F.struct(
+            F.when(stop == n, F.lit(0)).otherwise(_aligned(F.col("__raw"), stop - n - overlap)).alias("start"),
+            stop.alias("stop"),
+        ),
+    )
     rows = rows.withColumn("__spans", spans)
     # the pieces are cut before the rows are made, so that no row carries the whole text
     pieces = F.transform(
