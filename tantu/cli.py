@@ -222,7 +222,13 @@ def build_embeddings(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def explore_vocabulary(spark: SparkSession, a: argparse.Namespace) -> None:
     kept = tokens.preprocess(spark.read.parquet(a.input), tokens.Options(a.replace_ner, a.normalize, a.ignore_oov))
-    writers.write_report(spark, vocabulary.report(kept, min_df=a.min_df, max_df=a.max_df).first().asDict() | {"top": [r.asDict() for r in vocabulary.most_frequent(vocabulary.frequencies(kept), a.top_n).collect()]}, a.output)
+    writers.write_report(
+        spark,
+        vocabulary.report(kept, min_df=a.min_df, max_df=a.max_df).first().asDict() | {
+            "top": [r.asDict() for r in vocabulary.most_frequent(vocabulary.frequencies(kept), a.top_n).collect()]
+        },
+        a.output,
+    )
 
 
 def explore_lemma_stats(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -234,10 +240,30 @@ def explore_lemma_stats(spark: SparkSession, a: argparse.Namespace) -> None:
 def explore_embeddings_geometry(spark: SparkSession, a: argparse.Namespace) -> None:
     vectors = spark.read.parquet(f"{a.input}/vectors").withColumnRenamed("idx", "id")
     dims = vectors.select(F.max(F.size("vec"))).first()[0]
-    writers.write_report(spark, geometry.tier_one(vectors, dims, n_pairs=a.n_pairs, k=a.knn_k, sample=a.knn_sample, overlap_sample=a.overlap_sample, seed=a.seed), a.output)
-
-
-COMMANDS = {"upload-files": copy_files, "load-files": copy_files} | {f.__name__.replace("_", "-"): f for f in (discover_links, fetch_pdfs, extract_text, tokenize_text, lemmatize_text, build_vocab, index_corpus, build_tdm, build_svd, build_embeddings, explore_vocabulary, explore_lemma_stats, explore_embeddings_geometry)}
+    writers.write_report(
+        spark,
+        geometry.tier_one(vectors, dims, n_pairs=a.n_pairs, k=a.knn_k, sample=a.knn_sample, overlap_sample=a.overlap_sample, seed=a.seed),
+        a.output,
+    )
+
+
+COMMANDS = {"upload-files": copy_files, "load-files": copy_files} | {
+    f.__name__.replace("_", "-"): f for f in (
+        discover_links,
+        fetch_pdfs,
+        extract_text,
+        tokenize_text,
+        lemmatize_text,
+        build_vocab,
+        index_corpus,
+        build_tdm,
+        build_svd,
+        build_embeddings,
+        explore_vocabulary,
+        explore_lemma_stats,
+        explore_embeddings_geometry,
+    )
+}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -247,9 +273,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("output")
     limit = lambda x: float(x) if "." in x else int(x)
     for name, kind, default in (
-        ("head", int, None), ("lang", str, "mr"), ("state", str, None), ("target-status", str, None), ("min-df", limit, 2), ("max-df", float, 0.9), ("min-tf", int, 1), ("top-n", int, 5), ("vocabulary", str, None),
-        ("fragment-size", int, 8), ("build-id", int, 1), ("weighting-method", str, "log-entropy"), ("k", int, 100), ("n-iter", int, 5), ("oversampling", int, 10), ("random-state", int, 0), ("sigma-power", float, 1.0),
-        ("n-pairs", int, 100_000), ("knn-k", int, 10), ("knn-sample", int, 5000), ("overlap-sample", int, 3000), ("seed", int, 42), ("page-from", int, 1), ("page-to", int, None),
+        ("head", int, None), ("lang", str, "mr"), ("state", str, None), (
+            "target-status",
+            str,
+            None,
+        ), ("min-df", limit, 2), ("max-df", float, 0.9), ("min-tf", int, 1), ("top-n", int, 5), ("vocabulary", str, None),
+        ("fragment-size", int, 8), ("build-id", int, 1), (
+            "weighting-method",
+            str,
+            "log-entropy",
+        ), ("k", int, 100), ("n-iter", int, 5), ("oversampling", int, 10), ("random-state", int, 0), ("sigma-power", float, 1.0),
+        ("n-pairs", int, 100_000), ("knn-k", int, 10), ("knn-sample", int, 5000), (
+            "overlap-sample",
+            int,
+            3000,
+        ), ("seed", int, 42), ("page-from", int, 1), ("page-to", int, None),
         ("registry", str, None), ("from-build", int, None), ("lemmatize-func", str, "suffix"), ("reader", str, "text"), ("stage", str, None),
     ):
         p.add_argument(f"--{name}", type=kind, default=default)

@@ -36,7 +36,9 @@ def is_garbage(token: Column, script: Profile = DEVANAGARI) -> Column:
     if script.virama:
         count = F.length(token) - F.length(F.replace(token, F.lit(script.virama), F.lit("")))
         share = F.try_divide(count.cast("double"), F.length(token))
-        bad = bad | token.rlike(f"{script.virama}[{script.vowels}]") | token.contains(script.virama * 2) | ((F.length(token) > 3) & F.coalesce(share > VIRAMA_SHARE, F.lit(False)))
+        bad = bad | token.rlike(f"{script.virama}[{script.vowels}]") | token.contains(script.virama * 2) | (
+            (F.length(token) > 3) & F.coalesce(share > VIRAMA_SHARE, F.lit(False))
+        )
     return bad
 
 

@@ -39,7 +39,13 @@ def fragments(tokens: DataFrame, sentences: DataFrame, vocabulary: DataFrame, *,
     lists = ids.join(kept, ["doc_id", "chunk"]).groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("sent_no", "tok_no", "idx"))).alias("found"))
     position = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk")) - 1
     out = lists.select("doc_id", position.alias("position"), F.transform("found", lambda x: x["idx"]).alias("token_ids"))
-    return out.select(fragment_id(F.lit(build_id), F.col("doc_id"), F.col("position"), F.col("token_ids")).alias("id"), F.col("doc_id").alias("source_doc_id"), "position", "token_ids", F.lit(build_id).alias("vocab_id"))
+    return out.select(
+        fragment_id(F.lit(build_id), F.col("doc_id"), F.col("position"), F.col("token_ids")).alias("id"),
+        F.col("doc_id").alias("source_doc_id"),
+        "position",
+        "token_ids",
+        F.lit(build_id).alias("vocab_id"),
+    )
 
 
 def counters(tokens: DataFrame, sentences: DataFrame, vocabulary: DataFrame, *, size: int) -> DataFrame:

@@ -78,7 +78,10 @@ def nearest_words(vectors: DataFrame, word: str, n: int, *, words: str = "word",
     """(word, cosine): the n words most similar to one, itself left out. The one vector is sent to all tasks."""
     one = vectors.filter(F.col(words) == word).select(F.col(vector).alias("asked")).limit(1)
     other = vectors.filter((F.col(words) != word) & F.col(vector).isNotNull())
-    return other.crossJoin(F.broadcast(one)).select(words, cosine(F.col(vector), F.col("asked")).alias("cosine")).filter("cosine IS NOT NULL").orderBy(F.desc("cosine"), words).limit(n)
+    return other.crossJoin(F.broadcast(one)).select(
+        words,
+        cosine(F.col(vector), F.col("asked")).alias("cosine"),
+    ).filter("cosine IS NOT NULL").orderBy(F.desc("cosine"), words).limit(n)
 
 
 def label(value: Column, *steps: tuple[float, str], otherwise: str = "POOR", below: bool = True) -> Column:
@@ -103,7 +106,14 @@ def cosine_distribution(vectors: DataFrame, *, n_pairs: int = 100_000, seed: int
     pairs = sampled_pairs(max(n, 1), n_pairs, seed, vectors.sparkSession)
     left, right = vectors.select(F.col("id").alias("i"), F.col("vec").alias("a")), vectors.select(F.col("id").alias("j"), F.col("vec").alias("b"))
     c = pairs.join(left, "i").join(right, "j").select(cosine(F.col("a"), F.col("b")).alias("c"))
-    out = c.agg(F.count("c").alias("n_pairs"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.median("c").alias("median"), F.percentile("c", F.lit(0.05)).alias("p5"), F.percentile("c", F.lit(0.95)).alias("p95"))
+    out = c.agg(
+        F.count("c").alias("n_pairs"),
+        F.avg("c").alias("mean"),
+        F.stddev_pop("c").alias("std"),
+        F.median("c").alias("median"),
+        F.percentile("c", F.lit(0.05)).alias("p5"),
+        F.percentile("c", F.lit(0.95)).alias("p95"),
+    )
     return out.withColumn("quality", label(F.abs("mean"), (0.05, "GOOD"), (0.15, "OK"), (0.30, "MODERATE")))
 
 
@@ -115,7 +125,14 @@ def participation_ratio(vectors: DataFrame, dims: int) -> dict:
     share = np.cumsum(values) / values.sum() if len(values) else np.array([])
     dims_for = lambda p: int(np.searchsorted(share, p) + 1) if len(share) else None
     pr = float(np.trace(c) ** 2 / (c * c).sum()) if len(values) else None
-    return {"participation_ratio": pr, "ratio": pr / dims if pr else None, "dims_90": dims_for(0.9), "dims_95": dims_for(0.95), "top1_share": float(share[0]) if len(share) else None, "top10_share": float(share[min(9, len(share) - 1)]) if len(share) else None}
+    return {
+        "participation_ratio": pr,
+        "ratio": pr / dims if pr else None,
+        "dims_90": dims_for(0.9),
+        "dims_95": dims_for(0.95),
+        "top1_share": float(share[0]) if len(share) else None,
+        "top10_share": float(share[min(9, len(share) - 1)]) if len(share) else None,
+    }
 
 
 def isotropy(vectors: DataFrame, dims: int) -> dict:
@@ -126,7 +143,13 @@ def isotropy(vectors: DataFrame, dims: int) -> dict:
         return {"isotropy": None, "effective_rank": None, "top1_share": None, "condition": None, "quality": "N/A"}
     p = values / values.sum()
     iso = float(values[-1] / values[0])
-    return {"isotropy": iso, "effective_rank": float(np.exp(-(p * np.log(p)).sum())), "top1_share": float(p[0]), "condition": 1 / iso, "quality": "GOOD" if iso > 0.01 else "MODERATE" if iso > 0.001 else "POOR"}
+    return {
+        "isotropy": iso,
+        "effective_rank": float(np.exp(-(p * np.log(p)).sum())),
+        "top1_share": float(p[0]),
+        "condition": 1 / iso,
+        "quality": "GOOD" if iso > 0.01 else "MODERATE" if iso > 0.001 else "POOR",
+    }
 
 
 def occurrences(found: DataFrame, all_ids: DataFrame) -> DataFrame:
@@ -139,7 +162,12 @@ def hubness(found: DataFrame, all_ids: DataFrame) -> DataFrame:
     """One row: population skewness of the occurrences, hubs (more than mean + 2 deviations), antihubs (never found), the most, label."""
     n = occurrences(found, all_ids)
     s = n.agg(F.avg("n").alias("m"), F.stddev_pop("n").alias("s"))
-    out = n.crossJoin(F.broadcast(s)).agg(F.skewness("n").alias("skewness"), F.count_if(F.col("n") > F.col("m") + 2 * F.col("s")).alias("hubs"), F.count_if(F.col("n") == 0).alias("antihubs"), F.max("n").alias("max_n"))
+    out = n.crossJoin(F.broadcast(s)).agg(
+        F.skewness("n").alias("skewness"),
+        F.count_if(F.col("n") > F.col("m") + 2 * F.col("s")).alias("hubs"),
+        F.count_if(F.col("n") == 0).alias("antihubs"),
+        F.max("n").alias("max_n"),
+    )
     return out.withColumn("quality", label(F.col("skewness"), (1.0, "GOOD"), (1.5, "OK"), (2.5, "MODERATE")))
 
 
@@ -159,15 +187,25 @@ def overlap(found: DataFrame, k_values: tuple[int, ...] = (5, 10, 20)) -> DataFr
     rows = found.filter(F.col("rank") <= max(k_values))
     out = None
     for a, b in zip(k_values[:-1], k_values[1:], strict=True):
-        each = rows.groupBy("id").agg(F.collect_set(F.when(F.col("rank") <= a, F.col("other"))).alias("s"), F.collect_set(F.when(F.col("rank") <= b, F.col("other"))).alias("l"))
-        one = each.agg(F.lit(a).alias("k_small"), F.lit(b).alias("k_large"), F.avg(F.try_divide(F.size(F.array_intersect("s", "l")).cast("double"), F.size("s"))).alias("overlap"))
+        each = rows.groupBy("id").agg(
+            F.collect_set(F.when(F.col("rank") <= a, F.col("other"))).alias("s"),
+            F.collect_set(F.when(F.col("rank") <= b, F.col("other"))).alias("l"),
+        )
+        one = each.agg(
+            F.lit(a).alias("k_small"),
+            F.lit(b).alias("k_large"),
+            F.avg(F.try_divide(F.size(F.array_intersect("s", "l")).cast("double"), F.size("s"))).alias("overlap"),
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def frequency_norm(vectors: DataFrame, *, tf: str = "tf", vector: str = "vec", least: int = 10) -> DataFrame:
     """One row: Pearson and Spearman correlation of ln(1 + tf) with the length, over terms with tf > 0; null below ``least`` terms."""
-    rows = vectors.filter((F.col(tf) > 0) & F.col(vector).isNotNull()).select(F.log1p(tf).alias("x"), norm(F.col(vector)).alias("y")).filter(~F.isnan("y") & (F.col("y") < float("inf")))
+    rows = vectors.filter((F.col(tf) > 0) & F.col(vector).isNotNull()).select(
+        F.log1p(tf).alias("x"),
+        norm(F.col(vector)).alias("y"),
+    ).filter(~F.isnan("y") & (F.col("y") < float("inf")))
     rows = materialise(rows, "frequency-norm")
     ranked = average_rank(average_rank(rows, "x", "rx"), "y", "ry")
     out = ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
@@ -216,7 +254,14 @@ def tier_one(vectors: DataFrame, dims: int, *, n_pairs: int = 100_000, k: int =
     found = exact_neighbours(near, near, k)
     part = sampled(vectors, overlap_sample, seed + 1)
     row = lambda df: df.first().asDict()
-    out = {"cosine": row(cosine_distribution(vectors, n_pairs=n_pairs, seed=seed)), "participation": participation_ratio(vectors, dims), "isotropy": isotropy(vectors, dims), "hubness": row(hubness(found, near)), "symmetry": row(symmetry(found)), "overlap": [r.asDict() for r in overlap(exact_neighbours(part, part, 20)).collect()]}
+    out = {
+        "cosine": row(cosine_distribution(vectors, n_pairs=n_pairs, seed=seed)),
+        "participation": participation_ratio(vectors, dims),
+        "isotropy": isotropy(vectors, dims),
+        "hubness": row(hubness(found, near)),
+        "symmetry": row(symmetry(found)),
+        "overlap": [r.asDict() for r in overlap(exact_neighbours(part, part, 20)).collect()],
+    }
     if "tf" in vectors.columns:
         out["frequency_norm"] = row(frequency_norm(vectors))
         for c in ("pearson", "spearman"):

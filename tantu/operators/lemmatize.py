@@ -89,8 +89,24 @@ def analyse_distinct(tokens: DataFrame, lemmatizer: Lemmatizer, *, batch: int =
                         try:
                             out.append(analysed(t, next(iter(lemmatizer.analyse([t])))))
                         except Exception as e:  # noqa: BLE001
-                            out.append({"lemma": t, "pos": None, "analyses": [], "is_oov": True, "is_ambiguous": False, "status": "error", "error": f"{type(e).__name__}: {e}"[:500]})
-            yield pd.concat([frame[["token"]].reset_index(drop=True), pd.DataFrame(out, columns=["lemma", "pos", "analyses", "is_oov", "is_ambiguous", "status", "error"])], axis=1)
+                            out.append(
+                                {
+                                    "lemma": t,
+                                    "pos": None,
+                                    "analyses": [],
+                                    "is_oov": True,
+                                    "is_ambiguous": False,
+                                    "status": "error",
+                                    "error": f"{type(e).__name__}: {e}"[:500],
+                                }
+                            )
+            yield pd.concat(
+                [
+                    frame[["token"]].reset_index(drop=True),
+                    pd.DataFrame(out, columns=["lemma", "pos", "analyses", "is_oov", "is_ambiguous", "status", "error"]),
+                ],
+                axis=1,
+            )
 
     return tokens.select("token").filter(F.col("token").isNotNull()).distinct().mapInPandas(run, f"token string, {ANALYSIS}")
 

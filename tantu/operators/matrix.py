@@ -62,7 +62,10 @@ def frobenius(matrix: DataFrame) -> DataFrame:
 def symmetric(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(i, j, value): co-occurrences of (w1, w2, n) with both words in the vocabulary (idx, word); each pair counts in both directions, repeated ones add up."""
     ids = vocabulary.select("word", "idx")
-    one = pairs.join(ids.withColumnsRenamed({"word": "w1", "idx": "i"}), "w1").join(ids.withColumnsRenamed({"word": "w2", "idx": "j"}), "w2").select("i", "j", F.col("n").alias("value"))
+    one = pairs.join(
+        ids.withColumnsRenamed({"word": "w1", "idx": "i"}),
+        "w1",
+    ).join(ids.withColumnsRenamed({"word": "w2", "idx": "j"}), "w2").select("i", "j", F.col("n").alias("value"))
     both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
     return both.groupBy("i", "j").agg(F.sum("value").alias("value"))
 

@@ -14,14 +14,27 @@ def latest(log: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """The last row of every key by the order given; equal rows count once, nulls are oldest, the other columns decide ties. Combined before the shuffle."""
     keys = [key] if isinstance(key, str) else key
     rest = [c for c in log.columns if c not in keys and c not in order]
-    return log.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__last")).select(*keys, *[F.col(f"__last.{c}").alias(c) for c in log.columns if c not in keys]).select(*log.columns)
+    return log.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("__last")).select(
+        *keys,
+        *[F.col(f"__last.{c}").alias(c) for c in log.columns if c not in keys]
+    ).select(*log.columns)
 
 
 def ok(results: DataFrame) -> DataFrame:
     return results.filter("status = 'ok'")
 
 
-def tasks(documents: DataFrame, done: list[DataFrame], stage: DataFrame, status: str | None = None, *, method: str | None = None, none_is_all: bool = False, key: str = "doc_id", limit: int | None = None) -> DataFrame:
+def tasks(
+    documents: DataFrame,
+    done: list[DataFrame],
+    stage: DataFrame,
+    status: str | None = None,
+    *,
+    method: str | None = None,
+    none_is_all: bool = False,
+    key: str = "doc_id",
+    limit: int | None = None,
+) -> DataFrame:
     """Documents to process at a stage.
 
     done: results of the stages before, of which a document needs status ok in each. status None or pending: without a
@@ -67,7 +80,14 @@ def register(builds: DataFrame, build: DataFrame) -> DataFrame:
 def complete(builds: DataFrame, run_id: int, **values) -> DataFrame:
     """The build's columns set to the values given, null ones too."""
     this = F.col("run_id") == run_id
-    return builds.select(*[F.when(this, F.lit(values[c]).cast(builds.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in builds.columns])
+    return builds.select(
+        *[
+            F.when(
+                this,
+                F.lit(values[c]).cast(builds.schema[c].dataType),
+            ).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in builds.columns
+        ]
+    )
 
 
 def get_build(builds: DataFrame, run_id: int, *, need_ok: bool = False) -> Row:

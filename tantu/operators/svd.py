@@ -110,7 +110,11 @@ def truncated(matrix: DataFrame, k: int, *, n_iter: int = 5, oversampling: int =
         sign[r["d"]] = -1.0 if r["x"] < 0 else 1.0
     u, v = _times(u, np.diag(sign)), _times(v, np.diag(sign))
     spark = matrix.sparkSession
-    return Svd(u.withColumnRenamed("key", "row"), spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "component int, sigma double"), v.withColumnRenamed("key", "col"))
+    return Svd(
+        u.withColumnRenamed("key", "row"),
+        spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "component int, sigma double"),
+        v.withColumnRenamed("key", "col"),
+    )
 
 
 def word_vectors(svd: Svd, *, power: float = 1.0, dims: int | None = None, all_ids: DataFrame | None = None) -> DataFrame:
@@ -137,7 +141,12 @@ def identities(matrix: DataFrame, svd: Svd) -> DataFrame:
     apart = image.join(svd.v, "col").select(F.posexplode(F.zip_with("image", "vec", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("component", "x"))
     residual = apart.join(F.broadcast(svd.sigma), "component").groupBy("component", "sigma").agg(F.sum((F.col("x.a") - F.col("sigma") * F.col("x.b")) ** 2).alias("r"))
     lengths = [d.select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(F.sum(F.col("x") * F.col("x")).alias(n)) for d, n in ((svd.u, "length_u"), (svd.v, "length_v"))]
-    return lengths[0].join(lengths[1], "component").join(residual, "component").select("component", "length_u", "length_v", F.try_divide(F.sqrt("r"), "sigma").alias("residual"))
+    return lengths[0].join(lengths[1], "component").join(residual, "component").select(
+        "component",
+        "length_u",
+        "length_v",
+        F.try_divide(F.sqrt("r"), "sigma").alias("residual"),
+    )
 
 
 def spectrum(sigma: DataFrame, frobenius: DataFrame) -> DataFrame:
@@ -151,13 +160,26 @@ def spectrum(sigma: DataFrame, frobenius: DataFrame) -> DataFrame:
 def spectrum_summary(spec: DataFrame) -> DataFrame:
     """One row: effective ranks (k + 1 where the share is not reached) and the largest, smallest, middle and mean sigma."""
     rank = lambda p: (F.coalesce(F.min(F.when(F.col("cumulative") >= p, F.col("component"))), F.max("component") + 1) + 1).cast("long")
-    return spec.agg(rank(0.9).alias("effective_rank_90"), rank(0.95).alias("effective_rank_95"), F.max("sigma").alias("sigma_max"), F.min("sigma").alias("sigma_min"), F.median("sigma").alias("sigma_median"), F.avg("sigma").alias("sigma_mean"))
+    return spec.agg(
+        rank(0.9).alias("effective_rank_90"),
+        rank(0.95).alias("effective_rank_95"),
+        F.max("sigma").alias("sigma_max"),
+        F.min("sigma").alias("sigma_min"),
+        F.median("sigma").alias("sigma_median"),
+        F.avg("sigma").alias("sigma_mean"),
+    )
 
 
 def norm_stats(vectors: DataFrame, vector: str = "vec") -> DataFrame:
     """One row: mean, population deviation, least and largest length, number of zero vectors."""
     n = vectors.filter(F.col(vector).isNotNull()).select(norm(F.col(vector)).alias("n"))
-    return n.agg(F.avg("n").alias("mean_norm"), F.stddev_pop("n").alias("std_norm"), F.min("n").alias("min_norm"), F.max("n").alias("max_norm"), F.count_if(F.col("n") == 0).alias("n_zero"))
+    return n.agg(
+        F.avg("n").alias("mean_norm"),
+        F.stddev_pop("n").alias("std_norm"),
+        F.min("n").alias("min_norm"),
+        F.max("n").alias("max_norm"),
+        F.count_if(F.col("n") == 0).alias("n_zero"),
+    )
 
 
 def covariance(vectors: DataFrame, dims: int, vector: str = "vec") -> np.ndarray:

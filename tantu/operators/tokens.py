@@ -93,7 +93,9 @@ def normalization_account(tokens: DataFrame, script: Profile = DEVANAGARI) -> Da
     rows = tokens.filter("lemma IS NOT NULL").select("lemma", plain.alias("plain")).withColumn("kind", F.when(is_special(F.col("lemma")), "ok").otherwise(kind))
     count = lambda k: F.count_if(F.col("kind") == k).alias(k)
     return rows.agg(
-        F.count("*").alias("before"), F.count_if(F.col("plain") != F.col("lemma")).alias("changed"), count(f"non_{script.name}"), count(f"invalid_{script.name[:4]}"), count("ocr_garbage"),
+        F.count("*").alias("before"), F.count_if(
+            F.col("plain") != F.col("lemma")
+        ).alias("changed"), count(f"non_{script.name}"), count(f"invalid_{script.name[:4]}"), count("ocr_garbage"),
         F.count_if(F.col("kind") == "ok").alias("accepted"), (F.count_distinct("lemma") - F.count_distinct("plain")).alias("collapsed"),
     )
 
@@ -113,4 +115,9 @@ def doc_token_stats(docs: DataFrame) -> DataFrame:
 def doc_lemma_stats(tokens: DataFrame, script: Profile = DEVANAGARI) -> DataFrame:
     """(doc_id, n_tokens, n_oov, n_ambiguous, n_weird) by document."""
     flag = lambda c, n: F.count_if(F.coalesce(F.col(c), F.lit(False))).alias(n)
-    return tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), flag("is_oov", "n_oov"), flag("is_ambiguous", "n_ambiguous"), F.count_if(is_weird(F.coalesce("token", F.lit("")), script)).alias("n_weird"))
+    return tokens.groupBy("doc_id").agg(
+        F.count("*").alias("n_tokens"),
+        flag("is_oov", "n_oov"),
+        flag("is_ambiguous", "n_ambiguous"),
+        F.count_if(is_weird(F.coalesce("token", F.lit("")), script)).alias("n_weird"),
+    )

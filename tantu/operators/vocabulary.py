@@ -32,7 +32,9 @@ def with_limits(terms: DataFrame, docs: DataFrame, min_df: float, max_df: float,
 
 def filtered(terms: DataFrame, docs: DataFrame, *, min_df: float = 2, max_df: float = 0.9, min_tf: int = 1, policy: str = "build", doc: str = "doc_id") -> DataFrame:
     """The terms within the limits, both inclusive."""
-    kept = with_limits(terms, docs, min_df, max_df, policy=policy, doc=doc).filter((F.col("df") >= F.col("low")) & (F.col("df") <= F.col("high")) & (F.col("tf") >= min_tf))
+    kept = with_limits(terms, docs, min_df, max_df, policy=policy, doc=doc).filter(
+        (F.col("df") >= F.col("low")) & (F.col("df") <= F.col("high")) & (F.col("tf") >= min_tf)
+    )
     return kept.drop("n_docs", "low", "high")
 
 
@@ -70,7 +72,9 @@ def report(tokens: DataFrame, *, min_df: float = 2, max_df: float = 0.9) -> Data
     n, kept_n, kept_tf, tf = F.count("*"), F.count_if(kept), F.sum(F.when(kept, F.col("tf")).otherwise(0)), F.sum("tf")
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     return terms.agg(
-        F.max("n_docs").alias("n_docs"), tf.alias("n_tokens"), n.alias("n_terms"), kept_n.alias("n_kept"), F.count_if(below).alias("filtered_by_min_df"), F.count_if(~below & above).alias("filtered_by_max_df"),
+        F.max("n_docs").alias("n_docs"), tf.alias("n_tokens"), n.alias("n_terms"), kept_n.alias("n_kept"), F.count_if(below).alias(
+            "filtered_by_min_df"
+        ), F.count_if(~below & above).alias("filtered_by_max_df"),
         ratio(n, tf).alias("ttr_raw"), ratio(kept_n, kept_tf).alias("ttr_kept"), ratio(kept_tf, tf).alias("coverage"),
     )
 

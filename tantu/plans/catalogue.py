@@ -86,7 +86,9 @@ def doc_lemma_stats(spark, d):
     return tok.doc_lemma_stats(table(spark, d, "lemma_tokens"))
 
 
-@query("SELECT id, coalesce(len(sentences), 0)::INT AS num_sentences, coalesce(list_sum(list_transform(sentences, lambda s: coalesce(len(s), 0))), 0)::INT AS num_tokens FROM doc_tok")
+@query(
+    "SELECT id, coalesce(len(sentences), 0)::INT AS num_sentences, coalesce(list_sum(list_transform(sentences, lambda s: coalesce(len(s), 0))), 0)::INT AS num_tokens FROM doc_tok"
+)
 def doc_token_stats(spark, d):
     return tok.doc_token_stats(table(spark, d, "doc_tok"))
 
@@ -152,7 +154,9 @@ def vocab_rare(spark, d):
     return voc.rarest(voc.frequencies(t), t, 3)
 
 
-@query(f"WITH {TF}, r AS (SELECT lemma, tf, df, n FROM tf, n ORDER BY df DESC, lemma LIMIT 20) SELECT lemma, tf, df FROM r WHERE df > greatest(1, floor(0.3::DOUBLE * n)) ORDER BY df DESC, lemma LIMIT 5")
+@query(
+    f"WITH {TF}, r AS (SELECT lemma, tf, df, n FROM tf, n ORDER BY df DESC, lemma LIMIT 20) SELECT lemma, tf, df FROM r WHERE df > greatest(1, floor(0.3::DOUBLE * n)) ORDER BY df DESC, lemma LIMIT 5"
+)
 def vocab_frequent(spark, d):
     t = table(spark, d, TOKENS)
     return voc.commonest(voc.frequencies(t), t, 0.3)
@@ -165,7 +169,9 @@ def vocab_report(spark, d):
     return _r(voc.report(table(spark, d, TOKENS)), "ttr_raw", "ttr_kept", "coverage")
 
 
-@query(f"WITH {NUMBERED} SELECT (idx // 4096)::INT AS part, sha256(string_agg(idx || chr(9) || lemma || chr(9) || tf || chr(9) || df, chr(10) ORDER BY idx)) AS sha FROM vocab GROUP BY 1")
+@query(
+    f"WITH {NUMBERED} SELECT (idx // 4096)::INT AS part, sha256(string_agg(idx || chr(9) || lemma || chr(9) || tf || chr(9) || df, chr(10) ORDER BY idx)) AS sha FROM vocab GROUP BY 1"
+)
 def vocab_hash(spark, d):
     t = table(spark, d, TOKENS)
     return voc.content_hash(voc.build(t, t))
@@ -215,7 +221,9 @@ def ner_histogram(spark, d):
     return tok.ner_histogram(table(spark, d, TOKENS))
 
 
-@query("SELECT round(avg(n), 6) AS mean_lemmas, min(n) AS min_lemmas, max(n) AS max_lemmas FROM (SELECT doc_id, count(DISTINCT lemma) AS n FROM lemma_tokens WHERE lemma IS NOT NULL GROUP BY doc_id)")
+@query(
+    "SELECT round(avg(n), 6) AS mean_lemmas, min(n) AS min_lemmas, max(n) AS max_lemmas FROM (SELECT doc_id, count(DISTINCT lemma) AS n FROM lemma_tokens WHERE lemma IS NOT NULL GROUP BY doc_id)"
+)
 def unique_lemmas_per_doc(spark, d):
     return _r(tok.lemmas_per_doc(table(spark, d, TOKENS)), "mean_lemmas")
 
@@ -292,7 +300,9 @@ def tdm_tf(spark, d):
     return _counts(spark, d)
 
 
-@query(f"WITH {TDM}, g AS (SELECT col, count(*) AS df FROM m GROUP BY col) SELECT row, col, round(ln(1 + tf) * ln(rows.n / df), 6) AS value FROM m JOIN g USING (col), rows")
+@query(
+    f"WITH {TDM}, g AS (SELECT col, count(*) AS df FROM m GROUP BY col) SELECT row, col, round(ln(1 + tf) * ln(rows.n / df), 6) AS value FROM m JOIN g USING (col), rows"
+)
 def tdm_tfidf(spark, d):
     return _r(matrix.weighted(_counts(spark, d), "tf-idf"), "value")
 
@@ -305,7 +315,9 @@ def tdm_log_entropy(spark, d):
     return _r(matrix.weighted(_counts(spark, d), "log-entropy"), "value")
 
 
-@query(f"WITH {TDM} SELECT count(DISTINCT row) AS n_rows, (max(col) + 1)::BIGINT AS n_cols, count(*) AS nnz, round(count(*) / (count(DISTINCT row) * (max(col) + 1))::DOUBLE, 9) AS density FROM m")
+@query(
+    f"WITH {TDM} SELECT count(DISTINCT row) AS n_rows, (max(col) + 1)::BIGINT AS n_cols, count(*) AS nnz, round(count(*) / (count(DISTINCT row) * (max(col) + 1))::DOUBLE, 9) AS density FROM m"
+)
 def tdm_stats(spark, d):
     return _r(matrix.stats(_counts(spark, d)), "density", digits=9)
 
@@ -485,7 +497,10 @@ def pca_axes(spark, d):
 
 @query()
 def isotropy(spark, d):
-    return spark.createDataFrame([geometry.isotropy(_embeddings(spark, d), 64)], "isotropy double, effective_rank double, top1_share double, condition double, quality string")
+    return spark.createDataFrame(
+        [geometry.isotropy(_embeddings(spark, d), 64)],
+        "isotropy double, effective_rank double, top1_share double, condition double, quality string",
+    )
 
 
 @query()
@@ -507,7 +522,9 @@ def _documents(spark, d):
     return table(spark, d, "documents").select(F.col("sha256").alias("doc_id"))
 
 
-@query("SELECT doc_id, r.ts AS ts, r.status AS status, r.path AS path FROM (SELECT pdf_sha AS doc_id, max(struct_pack(ts := ts, status := status, path := tokenize_path)) AS r FROM tokenize_manifest GROUP BY pdf_sha)")
+@query(
+    "SELECT doc_id, r.ts AS ts, r.status AS status, r.path AS path FROM (SELECT pdf_sha AS doc_id, max(struct_pack(ts := ts, status := status, path := tokenize_path)) AS r FROM tokenize_manifest GROUP BY pdf_sha)"
+)
 def manifest_latest(spark, d):
     return _stage(spark, d)
 
@@ -525,7 +542,9 @@ def tasks_by_status(spark, d):
     return registry.tasks(_documents(spark, d), [], _stage(spark, d), "error")
 
 
-@query(f"WITH {STAGE} SELECT sha256 AS doc_id FROM documents WHERE sha256 IN (SELECT doc_id FROM stage WHERE status = 'ok') AND sha256 NOT IN (SELECT doc_id FROM lemma_tokens WHERE doc_id IS NOT NULL)")
+@query(
+    f"WITH {STAGE} SELECT sha256 AS doc_id FROM documents WHERE sha256 IN (SELECT doc_id FROM stage WHERE status = 'ok') AND sha256 NOT IN (SELECT doc_id FROM lemma_tokens WHERE doc_id IS NOT NULL)"
+)
 def pending_for_method(spark, d):
     """Tokenized documents without lemmas of the method."""
     done = table(spark, d, TOKENS).select("doc_id").distinct().withColumn("method", F.lit("apertium")).withColumn("status", F.lit("ok"))
@@ -553,7 +572,11 @@ def upsert_results(spark, d):
 SELECT doc_id, CAST(NULL AS BIGINT) AS id, path FROM known UNION ALL SELECT doc_id, r.id, r.path FROM new WHERE doc_id NOT IN (SELECT doc_id FROM known WHERE doc_id IS NOT NULL)""")
 def sync_do_nothing(spark, d):
     """Documents from fetched items, those already there untouched."""
-    known = table(spark, d, "doc_tok").select(F.col("id").alias("doc_id")).distinct().select("doc_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("path"))
+    known = table(spark, d, "doc_tok").select(F.col("id").alias("doc_id")).distinct().select(
+        "doc_id",
+        F.lit(None).cast("long").alias("id"),
+        F.lit(None).cast("string").alias("path"),
+    )
     items = table(spark, d, "fetch_items").select(F.col("sha256").alias("doc_id"), "id", F.col("local_path").alias("path"))
     return registry.insert_missing(known, items, "doc_id", first="id")
 
@@ -593,17 +616,31 @@ def anti_join_at_scale(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY ALL")
 def aggregate_at_scale(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("l_quantity"), 2).alias("quantity"),
+        F.round(F.avg("l_discount"), 6).alias("discount"),
+    )
 
 
-@query(f"SELECT doc_id, 0 AS position, '/d/' || sha256 || '.pdf' AS href, trim(regexp_replace(coalesce(source, 'none') || '  pdf ', '\\s+', ' ', 'g')) AS text FROM documents UNION ALL SELECT doc_id, 1, '/more', 'more' FROM documents")
+@query(
+    f"SELECT doc_id, 0 AS position, '/d/' || sha256 || '.pdf' AS href, trim(regexp_replace(coalesce(source, 'none') || '  pdf ', '\\s+', ' ', 'g')) AS text FROM documents UNION ALL SELECT doc_id, 1, '/more', 'more' FROM documents"
+)
 def html_links(spark, d):
     """Links of a page made of each document."""
     return readers.links(_pages(spark, d), key="doc_id")
 
 
 def _pages(spark, d):
-    html = F.concat(F.lit("<html><body><p>"), F.regexp_replace("text", "(?i)<a", "< a"), F.lit('</p><a class="x" href="/d/'), "sha256", F.lit('.pdf">'), F.coalesce("source", F.lit("none")), F.lit(' <b>pdf</b></a><a href="/more">more</a></body></html>'))
+    html = F.concat(
+        F.lit("<html><body><p>"),
+        F.regexp_replace("text", "(?i)<a", "< a"),
+        F.lit('</p><a class="x" href="/d/'),
+        "sha256",
+        F.lit('.pdf">'),
+        F.coalesce("source", F.lit("none")),
+        F.lit(' <b>pdf</b></a><a href="/more">more</a></body></html>'),
+    )
     return table(spark, d, "documents").select("doc_id", html.alias("html"))
 
 

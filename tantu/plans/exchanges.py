@@ -34,7 +34,11 @@ def page_scan(spark, d):
     """Pages written as JSON lines and scanned with their schema."""
     path = _at(spark, "pages")
     writers.write_json_lines(table(spark, d, "doc_raw"), path)
-    return readers.json_lines(spark, path, readers.PAGE).groupBy("id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("n_chars"), F.max("meta.page_num").alias("page_num"))
+    return readers.json_lines(spark, path, readers.PAGE).groupBy("id").agg(
+        F.count("*").alias("n"),
+        F.max(F.length("text")).alias("n_chars"),
+        F.max("meta.page_num").alias("page_num"),
+    )
 
 
 @query("SELECT id, lang, coalesce(len(sentences), 0)::INT AS n_sentences FROM doc_tok WHERE sentences IS NOT NULL")
@@ -42,7 +46,13 @@ def tokenized_scan(spark, d):
     """A file of both kinds of documents; those with sentences are the tokenized ones."""
     path = _at(spark, "mixed")
     both = table(spark, d, "doc_tok").select("id", "lang", F.lit(None).cast("string").alias("text"), "sentences", "meta")
-    raw = table(spark, d, "doc_raw").select("id", F.lit(None).cast("string").alias("lang"), "text", F.lit(None).cast("array<array<string>>").alias("sentences"), F.lit(None).cast("map<string,string>").alias("meta"))
+    raw = table(spark, d, "doc_raw").select(
+        "id",
+        F.lit(None).cast("string").alias("lang"),
+        "text",
+        F.lit(None).cast("array<array<string>>").alias("sentences"),
+        F.lit(None).cast("map<string,string>").alias("meta"),
+    )
     writers.write_json_lines(both.unionByName(raw), path)
     return readers.documents(spark, path)[1].select("id", "lang", F.size("sentences").alias("n_sentences"))
 
@@ -52,7 +62,9 @@ def lemmatized_scan(spark, d):
     """Lemmatized documents as nested JSON, one record each, read and counted."""
     path = _at(spark, "lemmas")
     row = F.struct("token", "lemma", "pos", "is_ne", "ner_result", "analyses", "is_oov", "is_ambiguous")
-    docs = table(spark, d, TOKENS).groupBy(F.col("doc_id").alias("id"), "sent_no").agg(F.collect_list(row).alias("words")).groupBy("id").agg(F.collect_list("words").alias("sentences"))
+    docs = table(spark, d, TOKENS).groupBy(F.col("doc_id").alias("id"), "sent_no").agg(F.collect_list(row).alias("words")).groupBy("id").agg(
+        F.collect_list("words").alias("sentences")
+    )
     writers.write_json_lines(docs.withColumn("lang", F.lit("mr")), path)
     words = readers.json_lines(spark, path, readers.LEMMATIZED).select("id", F.explode(F.flatten("sentences")).alias("w"))
     return words.groupBy("id").agg(F.count("*").alias("n_tokens"), F.count_if("w.is_ne").alias("n_names"), F.count("w.lemma").alias("n_lemmas"))
@@ -116,7 +128,11 @@ def fetch_tasks(spark, d):
 def manifest_round_trip(spark, d):
     """The log appended to a manifest in two goes; the last line of each id counts."""
     path = _at(spark, "manifest")
-    log = registry.latest(table(spark, d, "tokenize_manifest").filter("status <> 'error'").select(F.col("pdf_sha").alias("id"), "ts", "status"), "id", "ts").select("id", "status")
+    log = registry.latest(
+        table(spark, d, "tokenize_manifest").filter("status <> 'error'").select(F.col("pdf_sha").alias("id"), "ts", "status"),
+        "id",
+        "ts",
+    ).select("id", "status")
     writers.append_manifest(log.withColumn("status", F.lit("running")), path)
     writers.append_manifest(log, path)
     return writers.read_manifest(spark, path, "id string, status string")
@@ -166,7 +182,9 @@ def crawl_pages(spark, d):
 # ---------------------------------------------------------------- state
 
 
-@query("SELECT sha256(text) AS artefact, min(id) AS id FROM doc_raw WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+@query(
+    "SELECT sha256(text) AS artefact, min(id) AS id FROM doc_raw WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL) GROUP BY 1"
+)
 def text_artefacts(spark, d):
     """Page texts by the hash of their content, each once, those known left out."""
     known = table(spark, d, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("artefact"))
@@ -185,7 +203,9 @@ def lemma_all(spark, d):
     return registry.tasks(_documents(spark, d), [_stage(spark, d)], _lemma_results(spark, d), None, method="apertium", none_is_all=True)
 
 
-@query(f"WITH {STAGE} SELECT sha256 AS doc_id FROM documents WHERE sha256 IN (SELECT doc_id FROM stage WHERE status = 'ok') AND sha256 IN (SELECT doc_id FROM lemma_tokens WHERE left(doc_id, 1) >= '8')")
+@query(
+    f"WITH {STAGE} SELECT sha256 AS doc_id FROM documents WHERE sha256 IN (SELECT doc_id FROM stage WHERE status = 'ok') AND sha256 IN (SELECT doc_id FROM lemma_tokens WHERE left(doc_id, 1) >= '8')"
+)
 def lemma_by_status(spark, d):
     return registry.tasks(_documents(spark, d), [_stage(spark, d)], _lemma_results(spark, d), "error", method="apertium")
 
@@ -195,7 +215,9 @@ def pending_limited(spark, d):
     return registry.tasks(_documents(spark, d), [], _stage(spark, d), limit=25)
 
 
-@query("WITH l AS (SELECT DISTINCT doc_id FROM lemma_tokens WHERE doc_id IS NOT NULL) SELECT doc_id, 'apertium' AS method, CASE WHEN left(doc_id, 1) < '8' THEN 'ok' ELSE 'again' END AS status FROM l UNION ALL SELECT doc_id, 'stanza', 'ok' FROM l WHERE left(doc_id, 1) >= '8'")
+@query(
+    "WITH l AS (SELECT DISTINCT doc_id FROM lemma_tokens WHERE doc_id IS NOT NULL) SELECT doc_id, 'apertium' AS method, CASE WHEN left(doc_id, 1) < '8' THEN 'ok' ELSE 'again' END AS status FROM l UNION ALL SELECT doc_id, 'stanza', 'ok' FROM l WHERE left(doc_id, 1) >= '8'"
+)
 def upsert_by_two_keys(spark, d):
     """Results under (doc_id, method): the same method is replaced, another added."""
     old = _lemma_results(spark, d).filter("doc_id IS NOT NULL")
@@ -258,7 +280,9 @@ def labelled_names(spark, d):
     return lemmatize.label_names(words, lemmatize.first_labels(parts)).select("doc_id", "sent_no", "tok_no", "ner_result")
 
 
-@query("SELECT 'ner_ratio' AS key, round(count(*) FILTER (is_ne) / count(*)::DOUBLE, 6) AS value FROM lemma_tokens UNION ALL SELECT coalesce(ner_result, 'None'), count(*)::DOUBLE FROM lemma_tokens WHERE is_ne GROUP BY 1")
+@query(
+    "SELECT 'ner_ratio' AS key, round(count(*) FILTER (is_ne) / count(*)::DOUBLE, 6) AS value FROM lemma_tokens UNION ALL SELECT coalesce(ner_result, 'None'), count(*)::DOUBLE FROM lemma_tokens WHERE is_ne GROUP BY 1"
+)
 def ner_summary(spark, d):
     return tok.ner_summary(table(spark, d, TOKENS)).select(F.explode("summary").alias("key", "value")).withColumn("value", F.round("value", 6))
 
@@ -278,7 +302,9 @@ def analyser_readings(spark, d):
     return rows.select(text.reading(F.array("lemma", F.lit("x")), F.array(F.array("pos", F.lit("sg")), F.array(F.lit("y")))).alias("reading")).distinct()
 
 
-@query("SELECT id, regexp_replace(replace('/' || local_path, '/', chr(92)), '^x', '') IS NOT NULL AS has_path, regexp_replace(local_path, '^/+', '') AS path FROM fetch_items WHERE NOT contains(coalesce(local_path, ''), '..')")
+@query(
+    "SELECT id, regexp_replace(replace('/' || local_path, '/', chr(92)), '^x', '') IS NOT NULL AS has_path, regexp_replace(local_path, '^/+', '') AS path FROM fetch_items WHERE NOT contains(coalesce(local_path, ''), '..')"
+)
 def relative_paths(spark, d):
     """Paths with backslashes and a leading one, made relative."""
     rows = table(spark, d, "fetch_items").filter("NOT contains(coalesce(local_path, ''), '..')")

@@ -101,7 +101,11 @@ def fields(lines: DataFrame, names: list[str], *, column: str = "value") -> Data
 
 def frequency_list(spark: SparkSession, path: str, *, least_id: int = 101, most: int = 50_000) -> DataFrame:
     """(id, word, freq) of a word list, without the ids below ``least_id``, up to the ``most``-th in order of id."""
-    rows = fields(spark.read.text(path), ["id", "word", "freq"]).select(F.expr("try_cast(id AS long)").alias("id"), "word", F.expr("try_cast(freq AS long)").alias("freq"))
+    rows = fields(spark.read.text(path), ["id", "word", "freq"]).select(
+        F.expr("try_cast(id AS long)").alias("id"),
+        "word",
+        F.expr("try_cast(freq AS long)").alias("freq"),
+    )
     return rows.filter((F.col("id") >= least_id) & F.col("freq").isNotNull()).orderBy("id").limit(most)
 
 
@@ -147,7 +151,10 @@ def crawl_pages(spark: SparkSession, template: str, first: int, last: int, limit
     if first < 1:
         raise ValueError("pages count from 1")
     stop = last if limit is None else min(last, first + limit - 1)
-    return spark.range(first, stop + 1).select(F.col("id").cast("int").alias("page"), F.replace(F.lit(template), F.lit("{page}"), F.col("id").cast("string")).alias("url"))
+    return spark.range(first, stop + 1).select(
+        F.col("id").cast("int").alias("page"),
+        F.replace(F.lit(template), F.lit("{page}"), F.col("id").cast("string")).alias("url"),
+    )
 
 
 def fetch_tasks(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
@@ -176,7 +183,11 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
     """(source, target, weight) of a graph as XML (node and edge elements, weight as data), one edge element a line."""
     line = spark.read.text(path).filter(F.col("value").contains("<edge"))
     at = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
-    return line.select(at(r'source="([^"]*)"').alias("source"), at(r'target="([^"]*)"').alias("target"), F.expr("try_cast(regexp_extract(value, '<data[^>]*>([^<]*)</data>', 1) AS double)").alias("weight"))
+    return line.select(
+        at(r'source="([^"]*)"').alias("source"),
+        at(r'target="([^"]*)"').alias("target"),
+        F.expr("try_cast(regexp_extract(value, '<data[^>]*>([^<]*)</data>', 1) AS double)").alias("weight"),
+    )
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tantu.operators.registry import latest
 
 
-def process_new(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, *, format: str = "parquet", files_at_once: int = 1000) -> None:
+def process_new(
+    spark: SparkSession,
+    source: str,
+    schema: str,
+    transform: Callable[[DataFrame], DataFrame],
+    target: str,
+    checkpoint: str,
+    *,
+    format: str = "parquet",
+    files_at_once: int = 1000,
+) -> None:
     """Transform the files of source that no earlier call has seen and append the rows with the number of their batch.
 
     The checkpoint, in a folder all executors share, holds what was seen; a batch that is run again after a
