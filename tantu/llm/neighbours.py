@@ -415,10 +415,11 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, *, recall: float
         n = single.count()
     reach = Reach(len(books[0]), n) if recall is None else measured_reach(single, books, n, k, recall=recall, asked=asked, seed=seed)
     found = _searched(single, books, n, k, reach)
+    # an id may hold several vectors; an id's answers meet in one shuffle, at most k from each bucket it asked
+    found = found.repartition("id").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     if not n_groups:
-        # an id may hold several vectors
-        return _best(found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")), k)
-    found = materialise(_best(found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")), k), "nearest")
+        return _best(found, k)
+    found = materialise(_best(found, k), "nearest")
     members = materialise(rows.join(groups, ["h", "g"]).select("rep", "id").distinct(), "equal-vectors")
     order = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     few = members.withColumn("place", order).filter(F.col("place") <= k + 1).select("rep", F.col("id").alias("member"))
